@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findloom.llm import quality, simhash
+from findloom.llm import packing, pii, quality, simhash
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,21 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one_of_each(docs, groups)
 
 
+def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the personal data in its text masked and its length counted anew."""
+    return pii.redact(docs, pii.train(docs), length_col="n_chars")
+
+
+def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every document in token-budget batches of its length bucket."""
+    return packing.pack(docs, packing.word_count(docs["text"]))
+
+
 STAGES = [
     ("quality_rules", good_documents),
     ("simhash_dedup", distinct_documents),
+    ("pii", masked_documents),
+    ("packing", packed_documents),
 ]
 
 ORACLE_SQL = None
