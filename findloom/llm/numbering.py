@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 def number_within(df: DataFrame, group: list[str], order: list[str], number: str, chunks: int) -> DataFrame:
     """``df`` with ``number``: 0, 1, 2, ... inside each group.
 
-    A group is dealt to ``chunks`` parts by a hash of its order columns. Rows
-    are numbered inside each part, and a part begins where the parts before it
+    A group is dealt to ``chunks`` parts by a hash of its first order column (an
+    id; only that and the group are read to size the parts). Rows are numbered
+    inside each part, and a part begins where the parts before it
     end; only the part sizes (at most groups times chunks rows) meet. Rows that
     agree in all order columns may swap numbers among themselves.
     """
     part = "__part"
-    dealt = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(order[0]), F.lit(chunks)))
     sizes = dealt.groupBy(*group, part).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))

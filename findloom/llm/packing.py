@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import number_within
+from .storage import cut
 
 BUCKETS = 16
 BUDGET = 16_384
@@ -88,7 +89,7 @@ def pack(
     inside a bucket and ``place`` inside a batch.
     """
     spark = docs.sparkSession
-    lengths = docs.select(docs[id_col].alias("doc_id"), length.cast("long").alias("n_tokens"))
+    lengths = cut(docs.select(docs[id_col].alias("doc_id"), length.cast("long").alias("n_tokens")))  # texts are read once
     padded = F.greatest(F.ceil(F.col("n_tokens") / align), F.lit(1)).cast("long") * align
     histogram = lengths.groupBy(padded.alias("padded")).agg(F.count("*").alias("n")).toArrow().sort_by("padded")
     ends = best_boundaries(
