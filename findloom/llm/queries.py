@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, sharding, simhash
+from . import chat, packing, pieces, pii, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,16 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), words=4, max_bits=4, segments=6)
 
 
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.turns_as_calls(_table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.TURN_TOOLS)
+
+
+def op6_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model_file = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode(_table(spark, sf_dir, "documents"), model_file, digests=True)
+
+
 def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = pii.pii_spans(docs, pii.train(docs))
@@ -41,6 +52,8 @@ def queries() -> dict:
     return {
         "op1_weighted_tree_sharding": op1_weighted_tree_sharding,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op4_tool_call_linking": op4_tool_call_linking,
+        "op6_distinct_chunk_pieces": op6_distinct_chunk_pieces,
         "op7_skip_chain_pii": op7_skip_chain_pii,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
