@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pieces, pii, quality, sharding, simhash
+from . import chat, embeddings, packing, pieces, pii, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_weighted_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 24)
 
 
+def op2_projection_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), words=4, max_bits=4, segments=6)
 
@@ -51,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_weighted_tree_sharding": op1_weighted_tree_sharding,
+        "op2_projection_forest_dedup": op2_projection_forest_dedup,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_tool_call_linking": op4_tool_call_linking,
         "op6_distinct_chunk_pieces": op6_distinct_chunk_pieces,
