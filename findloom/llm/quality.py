@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .hashing import word_hashes
+
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 WINDOW = 5
-_STEP = np.uint64(0x9E3779B97F4A7C15)  # odd: it has an inverse modulo 2**64
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 _SLICE = 256
 
@@ -50,20 +50,6 @@ class Limits:
     repeat_percent: int = 20
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash for each word: differences of one prefix hash, shifted to a common origin."""
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(data)), out=prefix[1:])
-    back = _powers(_BACK, len(data) + 1)
-    return (prefix[end] - prefix[start]) * back[start] ^ (end - start).astype(np.uint64)
-
-
 def _repeated(hashes: np.ndarray) -> np.ndarray:
     """True where a hash is found twice or more."""
     order = np.argsort(hashes, kind="stable")
@@ -108,7 +94,7 @@ def measure(text: str | None, limits: Limits) -> tuple:
 
     n_repeat, worst, over = 0, 0.0, False
     if n_words >= WINDOW:
-        words = _word_hashes(data, start, end)
+        words = word_hashes(data, start, end)
         gram = words
         for n in range(2, max([WINDOW, *limits.grams]) + 1):
             if n > n_words:

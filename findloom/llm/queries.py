@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, packing, pieces, pii, quality, sharding, simhash
+from . import chat, embeddings, lm, packing, pieces, pii, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_tool_calls(calls, results, chat.TURN_TOOLS)
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 2
+    return lm.score_documents(docs, held_out)
+
+
 def op6_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model_file = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode(_table(spark, sf_dir, "documents"), model_file, digests=True)
@@ -58,6 +64,7 @@ def queries() -> dict:
         "op2_projection_forest_dedup": op2_projection_forest_dedup,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_tool_call_linking": op4_tool_call_linking,
+        "op5_deleted_interpolation": op5_deleted_interpolation,
         "op6_distinct_chunk_pieces": op6_distinct_chunk_pieces,
         "op7_skip_chain_pii": op7_skip_chain_pii,
         "op9_packing": op9_packing,
