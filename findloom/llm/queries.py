@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, lm, packing, pieces, pii, quality, sharding, simhash
+from . import chat, embeddings, lm, packing, pieces, pii, quality, sharding, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op8_path_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(docs, packing.word_count(docs["text"]))
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op5_deleted_interpolation": op5_deleted_interpolation,
         "op6_distinct_chunk_pieces": op6_distinct_chunk_pieces,
         "op7_skip_chain_pii": op7_skip_chain_pii,
+        "op8_path_template_filter": op8_path_template_filter,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
     }
