@@ -16,7 +16,7 @@ the one key that its first viable chain names.
 Scale: equal fingerprints are one row before any key is made, so copies cost
 nothing. A key of two segments has about ``2 * 64 / m`` bits; take enough that
 ``2 ** bits`` is near the number of distinct fingerprints. Keys with over
-``BLOCK`` fingerprints are cut into blocks, and each pair of blocks is one
+about ``BLOCK`` fingerprints are cut into blocks, and each pair of blocks is one
 bounded group: the links stay whole while no task holds more than two blocks.
 A big group yields a spanning forest of its links (enough for components), not
 its pairs.
@@ -30,6 +30,8 @@ than the id and the text are not read by ``simhash_groups``.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,30 +39,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .hashing import mixed
 from .storage import cut
 
 BITS = 64
 SEED = 42
 BLOCK = 4096
 SMALL = 48
+PART = 16  # of so many parts one is counted to find the keys that need blocks
+LISTED = 10_000  # keys that a broadcast may hold; more are joined by a shuffle
+_FAMILY, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SLICE = 256
 
 
-def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
-    """The text's SimHash over shingles of so many words, as an unsigned integer."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of so many words, repeats included; of the whole sequence if it is shorter."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
-    if not parts:
-        return 0
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, SEED)] if parts else [], dtype="<u8")
     size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1
     end = np.cumsum(size)
     starts, ends = (end - size)[: len(parts) - words + 1].tolist(), (end[words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts)
+    return np.fromiter(
+        (digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=len(starts)
     )
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
     for low in range(0, len(hashes), 65536):
         rows = hashes[low : low + 65536].view(np.uint8).reshape(-1, 8)
@@ -68,6 +75,11 @@ def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """The text's SimHash over shingles of so many words, as an unsigned integer; 0 without words."""
+    return _majority(_shingle_hashes(text, words))
+
+
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, families: int = 1
 ) -> DataFrame:
@@ -79,8 +91,9 @@ def fingerprints(
             found = np.empty((families, batch.num_rows), dtype=np.uint64)
             for low in range(0, batch.num_rows, _SLICE):
                 for i, text in enumerate(batch.column(1).slice(low, _SLICE).to_pylist(), low):
-                    for f in range(families):
-                        found[f, i] = fingerprint(text, words, SEED + f)
+                    hashes = _shingle_hashes(text, words)
+                    for f in range(families):  # further families scramble the same hashes
+                        found[f, i] = _majority(mixed(hashes ^ np.uint64(f * _FAMILY & _ALL)) if f else hashes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(row.view(np.int64)) for row in found)],
                 ["doc_id", *(f"fp{f}" for f in range(families))],
@@ -163,17 +176,21 @@ def ring_filter(diff: np.ndarray, number: np.ndarray, segments: int, max_bits: i
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links that span the components of one group: each found fingerprint is compared with those not yet found."""
+    """Links that span the components of one group: each found fingerprint is compared with those not yet found.
+
+    It begins with the first one (the smallest node), so that groups with
+    other keys and the same members name the same links.
+    """
     rest = np.arange(len(fps))
     links = []
     while len(rest):
-        front, rest = [rest[0]], rest[1:]
+        front, rest = deque([rest[0]]), rest[1:]
         while front and len(rest):
-            at = front.pop()
+            at = front.popleft()
             near = np.bitwise_count(fps[rest] ^ fps[at]) <= max_bits
             if near.any():
                 links += [(at, x) for x in rest[near]]
-                front += rest[near].tolist()
+                front.extend(rest[near].tolist())
                 rest = rest[~near]
     return links
 
@@ -235,10 +252,16 @@ def fingerprint_links(fps: DataFrame, max_bits: int, segments: int) -> DataFrame
     """
     keys = F.array(*segment_keys(F.col("fp"), segments, max_bits))
     rows = fps.select("fp", "node", F.explode(keys).alias("key"))
+    # Which keys need blocks shows in a part of the fingerprints; every row is dealt all the same.
+    some = rows.where(F.pmod(F.xxhash64("fp"), F.lit(PART)) == 0)
     heavy = (
-        rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        some.groupBy("key").agg((F.count("*") * PART).alias("n")).where(F.col("n") > BLOCK)
         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
+    listed = heavy.limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:  # a bounded list can go to every task
+        schema = "key long, blocks int"
+        heavy = F.broadcast(fps.sparkSession.createDataFrame([(r["key"], r["blocks"]) for r in listed], schema))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = (
         rows.join(heavy, "key", "left")
@@ -249,7 +272,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int, segments: int) -> DataFrame
         )
     )
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    grouped = dealt.repartition(parts, "key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b")
+    grouped = dealt.repartition(parts, "key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b", "node")
     return grouped.mapInArrow(_linker(segments, max_bits), "a long, b long")
 
 
