@@ -6,7 +6,7 @@ the highest strength (1-100) that any of its mentions has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -33,10 +33,17 @@ def build_terms(rows: DataFrame, stopwords: dict[str, list[str]] | None = None)
     all else is split into words. One shuffle, after counting on the map side.
     """
     lang = F.col("lang")
-    spelled = F.flatten(F.transform(tx.words(F.col("text")), lambda w: tx.forms(w, lang, stopwords)))
     whole = (F.col("field") == "concept") & F.col("text").startswith("#")
-    terms = F.when(whole, F.array(F.col("text"))).otherwise(spelled)
-    mentions = rows.select("doc_id", "lang", "field", "strength", F.explode(terms).alias("term"))
+    # A text is folded as a whole, so its words keep their places in both spellings.
+    once = F.transform(tx.words(tx.fold(F.col("text"))), lambda w: F.struct(w.alias("norm"), F.lit(None).cast("string").alias("spelled")))
+    twice = F.arrays_zip(tx.words(tx.fold(F.col("text"))).alias("norm"), tx.words(tx.german(F.col("text"))).alias("spelled"))
+    asis = F.array(F.struct(F.col("text").alias("norm"), F.lit(None).cast("string").alias("spelled")))
+    spelled = F.when(whole, asis).when(lang == "de", twice).otherwise(once)
+    words = rows.select("doc_id", "lang", "field", "strength", whole.alias("whole"), F.inline(spelled))
+    kept = words.where(F.col("whole") | tx.indexable(F.col("norm"), lang, stopwords))
+    second = (F.col("spelled") != F.col("norm")) & (F.octet_length("spelled") <= lx.MAX_TERM_BYTES)
+    both = F.when(second, F.array("norm", "spelled")).otherwise(F.array("norm"))
+    mentions = kept.select("doc_id", "lang", "field", "strength", F.explode(both).alias("term"))
     found = []
     for field in lx.COUNT_FIELDS:
         found.append(F.least(F.count_if(F.col("field") == field), F.lit(65535)).cast("int").alias(field))
@@ -69,6 +76,14 @@ def write_index(terms: DataFrame, docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/docs")
 
 
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(terms, docs)`` of a written index."""
+    return tuple(
+        spark.read.option("mergeSchema", "false").parquet(f"{path}/{name}").withColumn("lang", F.col("lang").cast("string"))
+        for name in ("terms", "docs")
+    )
+
+
 def place_rows(places: DataFrame) -> DataFrame:
     """``places(doc_id, lang, pos, level, name, tag)``, continent first, to field rows of ``place``.
 

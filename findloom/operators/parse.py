@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..sources.storage import cut
 
 
 def parse(
     queries: DataFrame, stopwords: dict | None = None, synonyms: list[tuple[str, str, str]] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(q, qv)`` with word, plural and synonym variants; the first of these kinds that makes a term wins."""
+    """``(q, qv)`` with word, plural and synonym variants; the first of these kinds that makes a term wins.
+
+    Both are computed at once and kept: they are small beside an index and every later step uses them.
+    """
     spark = queries.sparkSession
     cleaned = queries.select("qid", "lang", tx.clean(F.col("query")).alias("query"))
     lang = F.col("lang")
@@ -26,7 +30,7 @@ def parse(
     found = found.withColumn("token", tx.fold(F.col("raw"))).where(tx.indexable(F.col("token"), lang, stopwords))
     first = found.groupBy("qid", "lang", "token").agg(F.min(F.struct("pos", "raw")).alias("first"))
     order = Window.partitionBy("qid").orderBy("first.pos")
-    groups = (
+    groups = cut(
         first.withColumn("g", F.row_number().over(order) - 1).where(F.col("g") < lx.MAX_GROUPS)
         .select("qid", "lang", "g", "token", F.col("first.raw").alias("raw"))
     )
@@ -48,7 +52,7 @@ def parse(
         *keys, "term", F.get(F.array(*(F.lit(lx.VARIANTS[k]) for k in kinds)), F.col("prio")).alias("weight"),
         F.get(F.array(*map(F.lit, kinds)), F.col("prio")).alias("kind"),
     )
-    return q, qv
+    return cut(q), cut(qv)
 
 
 def expand_prefixes(qv: DataFrame, terms: DataFrame) -> DataFrame:
@@ -66,11 +70,10 @@ def expand_prefixes(qv: DataFrame, terms: DataFrame) -> DataFrame:
         .where(F.col("term").startswith(F.col("token")) & (F.col("term") != F.col("token")))
     )
     order = Window.partitionBy("qid", "g").orderBy("term")
-    cut = longer.withColumn("at", F.row_number().over(order)).where(F.col("at") <= lx.PREFIX_TERMS)
-    new = cut.join(qv.select("qid", "g", "term"), ["qid", "g", "term"], "left_anti")
-    return qv.unionByName(
-        new.select(*qv.columns[:5], "term", F.lit(lx.VARIANTS["prefix"]).alias("weight"), F.lit("prefix").alias("kind"))
-    )
+    capped = longer.withColumn("at", F.row_number().over(order)).where(F.col("at") <= lx.PREFIX_TERMS)
+    new = capped.join(qv.select("qid", "g", "term"), ["qid", "g", "term"], "left_anti")
+    longer_terms = new.select(*qv.columns[:5], "term", F.lit(lx.VARIANTS["prefix"]).alias("weight"), F.lit("prefix").alias("kind"))
+    return cut(qv.unionByName(longer_terms))
 
 
 def attach_concepts(

@@ -18,6 +18,7 @@ from ..operators import rank as rk
 from ..operators import recover as rc
 from ..sources import html as ht
 from ..sources import tables as tb
+from ..sources.storage import new_folder
 from ..streaming import log as sl
 from . import oracle
 
@@ -39,7 +40,7 @@ def _docs(spark, d):
 
 @_query
 def token_counts(spark, d):
-    rows = _docs(spark, d).select("doc_id", "lang", F.explode(F.transform(tx.words(F.col("text")), tx.fold)).alias("term"))
+    rows = _docs(spark, d).select("doc_id", "lang", F.explode(tx.words(tx.fold(F.col("text")))).alias("term"))
     return rows.groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf"))
 
 
@@ -52,18 +53,18 @@ def fold_distinct(spark, d):
 
 @_query
 def terms_wide(spark, d):
-    return tb.index(spark, d)[0].select("doc_id", "lang", "term", "title", "content", "taxonomy", "place")
+    return tb.build_index(spark, d)[0].select("doc_id", "lang", "term", "title", "content", "taxonomy", "place")
 
 
 @_query
 def term_df(spark, d):
-    terms = tb.index(spark, d)[0]
+    terms = tb.build_index(spark, d)[0]
     return terms.groupBy("lang", "term").agg(F.count("*").alias("df"), F.sum("content").alias("occurrences"))
 
 
 @_query
 def stopword_filtered(spark, d):
-    rows = _docs(spark, d).select("lang", F.explode(F.transform(tx.words(F.col("text")), tx.fold)).alias("term"))
+    rows = _docs(spark, d).select("lang", F.explode(tx.words(tx.fold(F.col("text")))).alias("term"))
     kept = F.count_if(tx.indexable(F.col("term"), F.col("lang")))
     return rows.groupBy("lang").agg(F.count("*").alias("words"), kept.alias("kept"))
 
@@ -286,7 +287,7 @@ def stream_log_counts(spark, d):
     files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4)
     # A stream reads folders; the table may be one file in its folder.
     live = files.option("pathGlobFilter", "events.parquet").parquet(d) if _is_file(spark, f"{d}/events.parquet") else files.parquet(f"{d}/events.parquet")
-    folder = sl.stream_folder(spark)
+    folder = new_folder(spark, "stream")
     sl.run_counters(tb.search_events(live), folder)
     return sl.latest(spark, folder)
 
@@ -430,7 +431,7 @@ def index_plan(spark, d):
 
 @_query
 def index_stats(spark, d):
-    return mt.index_stats(tb.index(spark, d)[0]).select("rows", "terms", "in_title", "in_content", "in_taxonomy", "in_place")
+    return mt.index_stats(tb.build_index(spark, d)[0]).select("rows", "terms", "in_title", "in_content", "in_taxonomy", "in_place")
 
 
 @_query

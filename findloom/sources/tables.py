@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import index as ix
+from .storage import new_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,8 +39,8 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", "lang", F.inline(chain), F.lit(None).cast("string").alias("tag"))
 
 
-def index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``(terms, docs)`` of the documents."""
+def build_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(terms, docs)`` of the documents, computed anew."""
     p = posts(spark, folder)
     rows = ix.field_rows(
         p, {"title": "title", "content": "content", "taxonomy": "tag"}, ix.place_rows(places(spark, folder))
@@ -47,6 +48,19 @@ def index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return ix.build_terms(rows), ix.build_docs(p)
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(terms, docs)`` of the documents, built once per application and read from Parquet."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _BUILT:
+        path = new_folder(spark, "index")
+        ix.write_index(*build_index(spark, folder), path)
+        _BUILT[key] = path
+    return ix.read_index(spark, _BUILT[key])
+
+
 def benchmark_queries(spark: SparkSession, folder: str, quotes: bool = False) -> DataFrame:
     """One to three first words of each ``benchmark`` text, asked in four languages; some in quotes."""
     found = tx.words(F.col("text"))

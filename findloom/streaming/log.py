@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.analytics import log_counts
-
 
 def counters(events: DataFrame, lateness: str = "40 days") -> DataFrame:
     """Streaming ``events(query, lang, ts, results, fallback)`` to changed counters.
@@ -48,12 +44,3 @@ def latest(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/counters/*")
     order = Window.partitionBy("query", "lang", "day").orderBy(F.desc("batch"))
     return rows.withColumn("at", F.row_number().over(order)).where("at = 1").drop("at", "batch")
-
-
-def stream_folder(spark: SparkSession) -> str:
-    """A new folder for a stream, under the one that the cluster shares where there is one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-__all__ = ["counters", "latest", "log_counts", "run_counters", "stream_folder"]
