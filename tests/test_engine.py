@@ -87,7 +87,7 @@ def ids(found):
 def test_ranking(spark, corpus):
     assert ids(search(spark, corpus, "londres"))[0] == 1
     assert set(ids(search(spark, corpus, "londres"))) == {1, 2, 3}
-    assert ids(search(spark, corpus, "london")) == [1, 2, 3] or set(ids(search(spark, corpus, "london"))) == {1, 2, 3}
+    assert set(ids(search(spark, corpus, "london"))) == {1, 2, 3}
     assert ids(search(spark, corpus, "london", "en")) == [6]
     assert ids(search(spark, corpus, "où dormir à Londres"))[0] == 2
     assert ids(search(spark, corpus, "le la les")) == []
@@ -99,7 +99,9 @@ def test_german_spellings(spark, corpus, text):
 
 
 def test_plural_and_prefix(spark, corpus):
-    assert ids(search(spark, corpus, "plages")) == ids(search(spark, corpus, "plage"))
+    # The word as asked comes first; the singular weighs 0.85 and a longer word 0.5.
+    assert ids(search(spark, corpus, "plages")) == [3, 5]
+    assert ids(search(spark, corpus, "plage")) == [5, 3]
 
 
 def test_fallback_and_missing_words(spark, corpus):
