@@ -16,7 +16,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
-    groups = simhash.simhash_groups(docs, words=5, families=6, min_similarity=0.8)
+    groups = simhash.similar_groups(docs, words=5, min_similarity=0.8)
     return simhash.keep_one_of_each(docs, groups)
 
 

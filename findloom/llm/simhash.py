@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .hashing import mixed
+from .hashing import mixed, word_hashes
 from .storage import cut
 
 BITS = 64
@@ -48,6 +48,9 @@ BLOCK = 4096
 SMALL = 48
 PART = 16  # of so many parts one is counted to find the keys that need blocks
 LISTED = 10_000  # keys that a broadcast may hold; more are joined by a shuffle
+COMMON = 100_000  # common shingles that go to every task, to be put last in the order of shingles
+SEEN = 1_000_000  # texts that a task knows again
+STARS = 3
 _FAMILY, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SLICE = 256
 
@@ -276,34 +279,288 @@ def fingerprint_links(fps: DataFrame, max_bits: int, segments: int) -> DataFrame
     return grouped.mapInArrow(_linker(segments, max_bits), "a long, b long")
 
 
-def _similar(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """The links whose texts share at least ``least`` of their distinct shingles (Jaccard)."""
-    ends = links.select("a").union(links.select("b")).distinct()
+def _similar(links: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The links whose texts share at least ``least`` of their distinct shingles (Jaccard); ``docs(node, text)``."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(low, _SLICE)
-                sets = []
-                for text in part.column(1).to_pylist():
-                    got = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                    grams = {b" ".join(got[i : i + words]) for i in range(max(1, len(got) - words + 1))}
-                    sets.append(sorted(xxhash.xxh64_intdigest(g, SEED) - (1 << 63) for g in grams))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"]
-                )
+                sets = [shingles(text, words).tobytes() for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "grams"])
 
-    texts = docs.select(docs[id_col].alias("node"), docs[text_col].alias("text")).join(
-        ends.withColumnRenamed("a", "node"), "node", "left_semi"
-    )
-    # A repeated id is one node; its first text in order stands for it.
-    texts = texts.groupBy("node").agg(F.min("text").alias("text"))
-    sets = texts.mapInArrow(run, "node long, grams array<long>")
+    def compare(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(low, _SLICE)
+                keep = []
+                for x, y in zip(part.column(2), part.column(3), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(shared >= least * (len(x) + len(y) - shared))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    texts = docs.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = texts.mapInArrow(run, "node long, grams binary")
     both = links.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b"
     )
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles, split and folded as for fingerprints; one for all texts without words."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    blank = np.concatenate(([True], (data == 32) | ((data >= 9) & (data <= 13)), [True]))
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    if not len(edge):
+        return np.zeros(1, dtype=np.uint64)
+    word = mixed(word_hashes(data, edge[0::2], edge[1::2]))
+    size = min(words, len(word))
+    last = len(word) - size + 1
+    out = word[:last]
+    for i in range(1, size):
+        out = mixed(out * np.uint64(_FAMILY) + word[i : last + i])
+    return np.unique(out)
+
+
+def _overlap(x, y, least: float):
+    """How many shingles sets of these sizes must share; the small term keeps rounding from asking for one more."""
+    return np.ceil(least / (1 + least) * (x + y) - 1e-9)
+
+
+def _may_be_similar(size_x, at_x, size_y, at_y, least: float):
+    """Whether two sets whose first common shingle is at these places can share enough."""
+    return np.minimum(size_x - at_x, size_y - at_y) >= _overlap(size_x, size_y, least)
+
+
+def _prefixes(words: int, least: float, common: np.ndarray, rank: np.ndarray):
+    """Arrow batches (node, text) to (token, node, size, at): the shingles of which similar sets share one.
+
+    In one order of all shingles, two sets with Jaccard similarity ``least``
+    share one of their first ``n - ceil(least * n) + 1``. Any order is right;
+    common shingles come last, so that few sets meet under one.
+    """
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for low in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(low, _SLICE)
+                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if node in seen:
+                        continue  # a copy; those of other tasks go when their rows meet
+                    if len(seen) < SEEN:
+                        seen.add(node)
+                    token = shingles(text, words)
+                    n = len(token)
+                    if len(common):
+                        place = np.minimum(np.searchsorted(common, token), len(common) - 1)
+                        weight = np.where(common[place] == token, rank[place], 0)
+                        token = token[np.argsort(weight, kind="stable")]
+                    token = token[: n - int(np.ceil(least * n - 1e-9)) + 1]
+                    out.append((token, np.full(len(token), node), np.full(len(token), n), np.arange(len(token))))
+            if out:
+                token, node, size, at = map(np.concatenate, zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))],
+                    ["token", "node", "size", "at"],
+                )
+
+    return run
+
+
+def _met(batches):
+    """Rows sorted by (token, node) without repeats and without tokens of a single node."""
+    held = None  # the last row, and whether an earlier one has its token
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held[0], cols, strict=True)]
+        fresh = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
+        cols = [c[fresh] for c in cols]
+        same = cols[0][1:] == cols[0][:-1]
+        before = np.concatenate(([held is not None and held[1]], same))
+        keep = (before | np.concatenate((same, [False])))[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in cols], ["token", "node", "size", "at"])
+        held = [c[-1:] for c in cols], bool(before[-1])
+    if held is not None and held[1]:
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["token", "node", "size", "at"])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _stars(least: float):
+    """Rows (token, node, size, at, component), sorted by token, to pairs of each token's first row with its others."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            token, node, size, at, part = cols
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], token[1:] != token[:-1])), np.arange(len(token)), 0))
+            pick = (part != part[start]) & _may_be_similar(size, at, size[start], at[start], least)
+            yield _pairs(node[pick], node[start[pick]])
+            held = [c[start[-1] : start[-1] + 1] for c in cols]
+
+    return run
+
+
+def _cross(least: float):
+    """Rows (token, block_a, block_b, own, node, size, at, component), sorted by the first three, to all their pairs."""
+
+    def pairs_of(token, block_a, block_b, own, node, size, at, part):
+        def good(i, j):
+            ok = (part[i] != part[j]) & ((block_a[i] == block_b[i]) | (own[i] != own[j]))
+            return ok & _may_be_similar(size[i], at[i], size[j], at[j], least)
+
+        new = np.flatnonzero((token[1:] != token[:-1]) | (block_a[1:] != block_a[:-1]) | (block_b[1:] != block_b[:-1])) + 1
+        edge = np.concatenate(([0], new, [len(token)]))
+        many = np.diff(edge)
+        group = np.repeat(np.arange(len(many)), many)
+        i = np.flatnonzero((many[group] <= SMALL) & (many[group] > 1))
+        for step in range(1, SMALL):
+            i = i[i + step < len(token)]
+            i = i[group[i] == group[i + step]]
+            if not len(i):
+                break
+            pick = i[good(i, i + step)]
+            yield _pairs(node[pick], node[pick + step])
+        for g in np.flatnonzero(many > SMALL):
+            a, b = [], []
+            for i in range(edge[g], edge[g + 1] - 1):
+                j = np.arange(i + 1, edge[g + 1])
+                j = j[good(i, j)]
+                a.append(np.full(len(j), node[i]))
+                b.append(node[j])
+                if len(a) == SMALL:  # bounded batches, whatever the group's size
+                    yield _pairs(np.concatenate(a), np.concatenate(b))
+                    a, b = [], []
+            if a:
+                yield _pairs(np.concatenate(a), np.concatenate(b))
+
+    def run(batches):
+        held = None  # the last group may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
+            cut_at = other[-1] + 1 if len(other) else 0
+            held = [c[cut_at:] for c in cols]
+            if cut_at:
+                yield from pairs_of(*(c[:cut_at] for c in cols))
+        if held is not None:
+            yield from pairs_of(*held)
+
+    return run
+
+
+def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """``docs(node, text)``, a text's copies under one node, to ``(node, component)`` of the linked nodes.
+
+    Links are all pairs of texts with Jaccard similarity ``least`` or more of
+    their distinct shingles; none is missed. Pairs that share no shingle of
+    their prefixes (``_prefixes``) cannot be similar. Of the others, first those
+    with one node under each shingle are compared, in ``STARS`` rounds with other
+    nodes, so that groups of near copies become few components; then every pair
+    under a shingle that is not yet in one component, in blocks. Each pair is
+    checked on the sets themselves before it links anything.
+    """
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def tokens(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, _SLICE):
+                found = [shingles(text, words) for text in batch.column(1).slice(low, _SLICE).to_pylist()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+
+    some = docs.where(F.pmod("node", F.lit(PART)) == 0)
+    listed = (
+        some.mapInArrow(tokens, "token long").groupBy("token").count().where("count > 1")
+        .orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    )
+    common = np.array([r["token"] for r in listed], dtype=np.int64).view(np.uint64)
+    order = np.argsort(common)
+    rank = np.array([r["count"] for r in listed], dtype=np.int64)[order]
+    rows = docs.mapInArrow(_prefixes(words, least, common[order], rank), "token long, node long, size int, at int")
+    met = cut(
+        rows.repartition(parts, "token").sortWithinPartitions("token", "node")
+        .mapInArrow(_met, "token long, node long, size int, at int")
+    )
+    links = tried = groups = None
+    for turn in range(STARS + 1):
+        now = met.withColumn("component", F.col("node"))
+        if groups is not None:
+            now = met.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if turn < STARS:
+            sort = ["token", F.xxhash64("node", F.lit(turn)), "node"]
+            pairs = (
+                now.select("token", "node", "size", "at", "component").repartition(parts, "token")
+                .sortWithinPartitions(*sort).mapInArrow(_stars(least), "a long, b long")
+            )
+        else:
+            still = (
+                now.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+                .where("x <> y").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+            )
+            key = ["token", "block_a", "block_b"]
+            pairs = (
+                now.join(still, "token")
+                .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                .select(
+                    "token", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
+                    "own", "node", "size", "at", "component",
+                )
+                .repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_cross(least), "a long, b long")
+            )
+        pairs = pairs.distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = cut(_similar(pairs, docs, words, least))
+        tried, links = (pairs, found) if links is None else (tried.union(pairs), links.union(found))
+        groups = cut(connected_components(links))
+    return groups
+
+
+def row_hash(docs: DataFrame):
+    """A hash of a row's columns; which of them are null counts too."""
+    columns = [docs[c] for c in docs.columns]
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8
+) -> DataFrame:
+    """``(row, doc_id, component_id, group)``: one row per row of ``docs``.
+
+    Groups are components of all pairs of texts whose shingle sets have at
+    least that Jaccard similarity. ``component_id`` is a group's smallest id
+    (null if it has none), ``group`` its own name, and ``row`` is ``row_hash``.
+    """
+    rows = docs.select(
+        row_hash(docs).alias("row"), docs[id_col].alias("doc_id"),
+        F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("node"), docs[text_col].alias("text"),
+    )
+    components = similar_components(rows.select("node", "text"), words, min_similarity)
+    named = rows.drop("text").join(components, "node", "left").select(
+        "row", "doc_id", F.coalesce("component", "node").alias("group")
+    )
+    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "group").select("row", "doc_id", "component_id", "group")
 
 
 def simhash_groups(
@@ -319,10 +576,18 @@ def simhash_groups(
     """``(doc_id, fingerprint, component_id)``: one row per row of ``docs``.
 
     ``families`` over 1 links texts that any of so many independent SimHashes
-    puts within ``max_bits``; ``min_similarity`` then keeps the links whose
-    shingle sets have at least that Jaccard similarity. ``fingerprint`` is the
-    first family's, as 16 hex digits.
+    puts within ``max_bits``. With ``min_similarity`` the links are instead all
+    pairs whose shingle sets have at least that Jaccard similarity, within
+    ``max_bits`` or not (``similar_groups``, whose ``row`` and ``group`` are
+    columns too). ``fingerprint`` is the first family's, as 16 hex digits.
     """
+    if min_similarity is not None:
+        groups = similar_groups(docs, id_col, text_col, words, min_similarity)
+        marked = docs.select(row_hash(docs).alias("row"), docs[text_col].alias("text"))
+        prints = fingerprints(marked, "row", "text", words).select(F.col("doc_id").alias("row"), "fp0").distinct()
+        return groups.join(prints, "row").select(
+            "doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id", "row", "group"
+        )
     prints = cut(fingerprints(docs, id_col, text_col, words, families))
     names = [f"fp{f}" for f in range(families)]
     # Rows equal in every family are one node, named by its smallest id.
@@ -338,8 +603,6 @@ def simhash_groups(
                 .select(F.col("node").alias("a"), "b")
             )
         links = found if links is None else links.union(found)
-    if min_similarity is not None:
-        links = _similar(cut(links.distinct()), docs, id_col, text_col, words, min_similarity)
     groups = connected_components(links)
     labelled = nodes.join(groups, "node", "left").select(
         *names, F.coalesce("component", "node").alias("component_id")

@@ -169,6 +169,37 @@ def test_copies_go_and_one_stays(spark):
     assert sorted(kept) == list(range(30))
 
 
+def plain_shingles(text, n=5):
+    words = WORD.findall(low(text))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def plain_similar(texts, least=0.8):
+    """Components of ids by the Jaccard similarity of all pairs."""
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    near = [
+        (a, b) for a, b in itertools.combinations(sets, 2)
+        if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
+    ]
+    return plain_components(sets, near), near
+
+
+def test_every_pair_of_similar_texts_is_linked(spark, docs):
+    rng = np.random.default_rng(8)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i in range(40):  # pairs from 0.8 up, which no SimHash brings within four bits for sure
+        words = [f"v{x}" for x in rng.integers(0, 5000, 40 + 10 * i)]
+        other = list(words)
+        for at in rng.choice(len(words), len(words) // 50, replace=False):
+            other[at] = "changed"
+        texts |= {10_000 + 2 * i: " ".join(words), 10_001 + 2 * i: " ".join(other)}
+    want, near = plain_similar(texts)
+    assert len(near) > 40
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = simhash.simhash_groups(table, words=5, families=6, min_similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == want
+
+
 def test_connected_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (5, 5)], "a long, b long")
     found = {r["node"]: r["component"] for r in components.connected_components(chain).collect()}
