@@ -24,7 +24,8 @@ its pairs.
 Defined results: a null text counts as an empty one; texts without words have
 fingerprint zero and link like any other; texts with fewer words than a shingle
 are hashed whole; ids may repeat (each row is returned) or be null (a null id
-never names a component); an empty table gives an empty result; columns other
+never names a component); with a similarity, nodes are texts, so rows with null
+or repeated ids are grouped by their texts like any other; an empty table gives an empty result; columns other
 than the id and the text are not read by ``simhash_groups``.
 """
 
@@ -615,6 +616,12 @@ def simhash_groups(
 
 
 def keep_one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The document of each group that names it, with all its columns; a repeated id is kept once."""
-    named = groups.where("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(named, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+    """One document of each group of ``similar_groups``, with all its columns.
+
+    It is the one with the smallest id (a null id comes last; of equal ids the
+    smallest row hash), so every group keeps one row, whether or not its
+    documents have ids and whether or not their ids repeat elsewhere.
+    """
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    named = docs.withColumn("__row", row_hash(docs)).join(first.select(F.col("first.row").alias("__row")), "__row", "left_semi")
+    return named.dropDuplicates(["__row"]).select(docs.columns)

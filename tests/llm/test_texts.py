@@ -200,6 +200,22 @@ def test_every_pair_of_similar_texts_is_linked(spark, docs):
     assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == want
 
 
+def test_one_of_each_group_stays_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    a, b, c, d, e = (" ".join(f"x{x}" for x in rng.integers(0, 9000, 60)) for _ in range(5))
+    rows = [
+        (None, a, "z"), (None, a, "y"), (None, b, None), (None, b, None), (1, c, "k"), (1, d, "k"), (1, d, "j"), (2, c, None), (3, e, None), (None, e, "n"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    found = []
+    for part in (table, table.repartition(5)):
+        groups = simhash.simhash_groups(part, words=5, families=6, min_similarity=0.8)
+        found.append(sorted(map(tuple, simhash.keep_one_of_each(part, groups).collect()), key=repr))
+    assert found[0] == found[1]
+    assert sorted(r[1] for r in found[0]) == sorted([a, b, c, d, e])
+    assert {r[1]: r[0] for r in found[0]} == {a: None, b: None, c: 1, d: 1, e: 3}
+
+
 def test_connected_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (5, 5)], "a long, b long")
     found = {r["node"]: r["component"] for r in components.connected_components(chain).collect()}
