@@ -200,6 +200,26 @@ def test_every_pair_of_similar_texts_is_linked(spark, docs):
     assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == want
 
 
+def test_big_groups_of_mixed_similarity_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "SMALL", 8)
+    rng = np.random.default_rng(11)
+    template = "alpha beta gamma delta epsilon " * 200  # governs every fingerprint, but is five shingles of each set
+    texts = {}
+    for i in range(25):
+        words = [f"u{x}" for x in rng.integers(0, 9000, 90)]
+        for k in range(3):
+            words[20 + 30 * k] = "changed"
+            texts[len(texts)] = template + " ".join(words)
+    for i in range(60):  # windows that move on: the ends of the chain are unlike
+        texts[len(texts)] = " ".join(f"c{x}" for x in range(4 * i, 4 * i + 300))
+    want, _ = plain_similar(texts)
+    assert len(set(want.values())) > 20
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = simhash.simhash_groups(table, words=5, families=6, min_similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == want
+
+
 def test_one_of_each_group_stays_with_null_and_repeated_ids(spark):
     rng = np.random.default_rng(12)
     a, b, c, d, e = (" ".join(f"x{x}" for x in rng.integers(0, 9000, 60)) for _ in range(5))
