@@ -377,45 +377,97 @@ def test_weight_changes_move_rows_only_into_their_subtree(spark):
 # --- language model ----------------------------------------------------------
 
 
-def test_scores_equal_a_plain_model(spark, monkeypatch):
+def plain_model(texts, held, mix=None):
+    """Counts of a plain model: (tokens, single, pairs, before, p(h, w) under given weights)."""
+    tokens = {i: [*WORD.findall(low(t)), None] for i, t in texts.items()}
+    taught = [t for i, t in tokens.items() if not held(i)]
+    single = Counter(w for t in taught for w in t)
+    pairs = Counter(p for t in taught for p in zip(["<s>", *t[:-1]], t, strict=True))
+    before = Counter(h for t in taught for h in ["<s>", *t[:-1]])
+    n, v = sum(single.values()), len(single)
+
+    def p(h, w):
+        c = before[h]
+        m = mix[1 + int(np.log2(c)) if c else 0]
+        return m[0] * pairs[h, w] / max(c, 1) + m[1] * single[w] / max(n, 1) + m[2] / (v + 1)
+
+    return tokens, single, pairs, before, p
+
+
+def plain_weights(pairs, single, before, n, v, rounds=100):
+    """Expectation-maximisation on deleted counts, without any grid."""
+    rows = {}
+    for (h, w), k in pairs.items():
+        c = before[h]
+        p = ((k - 1) / (c - 1) if c > 1 else 0.0, (single[w] - 1) / (n - 1), 1 / (v + 1))
+        rows.setdefault(1 + int(np.log2(c)), []).append((p, k))
+    out = {}
+    for b, found in rows.items():
+        p, k = np.array([x for x, _ in found]), np.array([x for _, x in found], dtype=float)
+        mix = np.full(3, 1 / 3)
+        for _ in range(rounds):
+            share = p * mix
+            share = share / share.sum(axis=1, keepdims=True) * k[:, None]
+            mix = (share.sum(axis=0) + 0.5) / (share.sum() + 1.5)
+        out[b] = mix
+    return out
+
+
+@pytest.mark.parametrize("contexts", [65_536, 8, 0])
+def test_scores_equal_a_plain_model(spark, monkeypatch, contexts):
     rng = np.random.default_rng(11)
     words = [f"w{i}" for i in range(60)]
-    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(120)] + ["New words only Here", "", None]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts = [" ".join(words[min(59, int(x))] for x in rng.exponential(9, rng.integers(0, 40))) for _ in range(120)]
+    texts = dict(enumerate([*texts, "New words only Here", "", None, "New w1 New w2 Here w3"]))
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     mixes = []
     learn = lm.mixture_weights
     monkeypatch.setattr(lm, "mixture_weights", lambda *a: mixes.append(learn(*a)) or mixes[-1])
-    got = {r["doc_id"]: r for r in lm.score_documents(table, F.col("doc_id") % 5 == 2).collect()}
-    tokens = {i: [*WORD.findall(low(t)), None] for i, t in enumerate(texts)}
-    taught = [t for i, t in tokens.items() if i % 5 != 2]
-    single = Counter(w for t in taught for w in t)
-    pairs = Counter(p for t in taught for p in zip(["<s>", *t[:-1]], t, strict=True))
-    before = Counter(h for t in taught for h in ["<s>", *t[:-1]])
-    n, v, mix = sum(single.values()), len(single), mixes[0]
+    got = {r["doc_id"]: r for r in lm.score_documents(table, F.col("doc_id") % 5 == 2, contexts=contexts).collect()}
+    tokens, single, pairs, before, p = plain_model(texts, lambda i: i % 5 == 2, mixes[0])
+    n, v = sum(single.values()), len(single)
     for i, t in tokens.items():
         row = got[i]
         assert (row["held_out"], row["n_tokens"], row["train_tokens"]) == (i % 5 == 2, len(t), n)
         assert row["n_known"] == sum(w in single for w in t)
         assert row["base_score"] == pytest.approx(sum(np.log10((single[w] + 1) / (n + v + 1)) for w in t))
-        score = 0
-        for h, w in zip(["<s>", *t[:-1]], t, strict=True):
-            c = before[h]
-            m = mix[1 + int(np.log2(c)) if c else 0]
-            score += np.log10(m[0] * pairs[h, w] / max(c, 1) + m[1] * single[w] / n + m[2] / (v + 1))
-        assert row["score"] == pytest.approx(score)
+        assert row["score"] == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True)))
+    # All words and one unknown word have probability 1 together, after any context, seen or not.
+    for h in ["<s>", "w0", "w59", "never seen"]:
+        assert sum(p(h, w) for w in single) + p(h, "unknown") == pytest.approx(1)
+    for b, mix in plain_weights(pairs, single, before, n, v).items():
+        assert mixes[0][b] == pytest.approx(mix, abs=0.05)
 
 
-def test_rare_words_take_the_same_counts_by_the_other_way(spark, docs):
+def test_scores_do_not_depend_on_partitions_or_the_table_of_common_words(spark, docs, monkeypatch):
     held = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 2
     all_common = {r["doc_id"]: r for r in lm.score_documents(docs, held).collect()}
-    few = {r["doc_id"]: r for r in lm.score_documents(docs, held, contexts=50).collect()}
+    monkeypatch.setattr(lm, "TOKENS", 3000)
+    monkeypatch.setattr(lm, "LEAST_ENTRIES", 8)
+    few = {r["doc_id"]: r for r in lm.score_documents(docs.repartition(7), held, contexts=50).collect()}
     for i, r in all_common.items():
         assert (r["n_tokens"], r["n_known"], r["held_out"]) == (few[i]["n_tokens"], few[i]["n_known"], few[i]["held_out"])
-        assert r["base_score"] == pytest.approx(few[i]["base_score"])
+        assert r["base_score"] == pytest.approx(few[i]["base_score"]) and r["score"] == pytest.approx(few[i]["score"], rel=1e-3)
     out = [r for r in all_common.values() if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_tables_with_little_or_nothing_to_learn_from(spark):
+    texts = ["a b", "c", None, "a b c d", ""] * 9
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lm.score_documents(table, F.lit(True)).collect()
+    assert len(rows) == len(texts) and all(r["score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in rows)
+    for held, parts in ((F.col("doc_id") != 3, 40), (F.col("doc_id") == 0, 1)):
+        rows = lm.score_documents(table.repartition(parts), held).collect()
+        assert len(rows) == len(texts) and all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "90")
+        assert lm.score_documents(table.where("doc_id < 2"), F.col("doc_id") == 1).count() == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_odd_rows_of_the_language_model(odd, empty):
     rows = lm.score_documents(odd, F.lit(None).cast("boolean")).collect()
     assert len(rows) == len(ODD) and {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3, 4)} == {1}
