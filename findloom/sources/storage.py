@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a session that names none (a local test) gets a temporary folder."""
+    """``spark.checkpoint.dir``. A session in one process that names none (a local test) gets a temporary folder;
+    on a cluster that is an error, since executors do not share such folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="findloom-"))
     return sc.getCheckpointDir()
 
