@@ -22,7 +22,7 @@ def op2_projection_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(_table(spark, sf_dir, "documents"), words=4, max_bits=4, segments=6)
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"), words=4, max_bits=4)
 
 
 def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,22 +4,22 @@ A text's fingerprint has 64 bits; a bit is set when it is set in over half of
 the hashes of the text's word shingles. Two fingerprints within ``max_bits``
 differing bits are linked.
 
-Candidates: the 64 bits are cut into ``segments`` parts on a ring. If two
+Candidates: the 64 bits are cut into ``m`` segments on a ring. If two
 fingerprints differ in at most ``t`` bits, the ring has a segment from which
 every chain of ``l`` consecutive segments differs in at most ``l * t / m`` bits
-(the pigeonring principle). With ``m > t`` the chain's first segment is equal,
-and so is another one soon after it, so each fingerprint is put under one key
-per such pair of segments. Inside a key, the cumulative differences along the
-ring prune pairs before the full Hamming check, and a pair counts only under
-the one key that its first viable chain names.
+(the pigeonring principle). With ``m > t`` that chain's first segment is equal
+and ``m - t`` segments are equal in all, so each fingerprint is put under one key
+per set of ``m - t`` segments. Inside a key, the cumulative differences along the
+ring prune pairs before the full Hamming check, and a pair counts only under the
+one key that its first viable chain names: that segment and the next equal ones.
 
 Scale: equal fingerprints are one row before any key is made, so copies cost
-nothing. A key of two segments has about ``2 * 64 / m`` bits; take enough that
-``2 ** bits`` is near the number of distinct fingerprints. Keys with over
-about ``BLOCK`` fingerprints are cut into blocks, and each pair of blocks is one
-bounded group: the links stay whole while no task holds more than two blocks.
-A big group yields a spanning forest of its links (enough for components), not
-its pairs.
+nothing. A key has ``64 * (m - t) / m`` bits, and ``m`` follows the number of
+distinct fingerprints (``segments_for``), so keys hold a handful each at any
+size. Keys with over about ``BLOCK`` fingerprints are cut into blocks, and each
+pair of blocks is one bounded group: the links stay whole while no task holds
+more than two blocks. A big group yields a spanning forest of its links (enough
+for components), not its pairs.
 
 Defined results: a null text counts as an empty one; texts without words have
 fingerprint zero and link like any other; texts with fewer words than a shingle
@@ -31,6 +31,7 @@ than the id and the text are not read by ``simhash_groups``.
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import mixed, word_hashes
-from .storage import cut
+from ..sources.storage import cut
 
 BITS = 64
 SEED = 42
@@ -52,6 +53,7 @@ LISTED = 10_000  # keys that a broadcast may hold; more are joined by a shuffle
 COMMON = 100_000  # common shingles that go to every task, to be put last in the order of shingles
 SEEN = 1_000_000  # texts that a task knows again
 STARS = 3
+MAX_BITS = 4  # of the SimHashes that name the first candidates of similar texts
 _FAMILY, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SLICE = 256
 
@@ -113,51 +115,48 @@ def _cuts(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def _reach(segments: int, max_bits: int) -> int:
-    """A viable chain's first segment is equal; within so many steps another one is."""
-    for step in range(1, segments):
-        if (step + 1) * max_bits // segments < step:
-            return step
-    raise ValueError("the pigeonring filter needs more segments than bits that may differ, by two")
+def segments_for(n: int, max_bits: int) -> int:
+    """The fewest segments whose keys split n fingerprints into groups of a few (at most ``max_bits + 5``)."""
+    for m in range(max_bits + 2, max_bits + 5):
+        if n <= 2 ** (BITS * (m - max_bits) // m + 3):
+            return m
+    return max_bits + 5
+
+
+def key_names(segments: int, max_bits: int) -> dict[tuple[int, ...], int]:
+    """Sets of segments that may be equal together, with the number of their key."""
+    if segments <= max_bits:
+        raise ValueError("the pigeonring filter needs more segments than bits that may differ")
+    return {chosen: i for i, chosen in enumerate(itertools.combinations(range(segments), segments - max_bits))}
+
+
+def _key_width(segments: int, max_bits: int) -> int:
+    return max(w for _, w in _cuts(segments)) * (segments - max_bits)
 
 
 def segment_keys(fp, segments: int, max_bits: int):
-    """The keys of a fingerprint column: an equal first segment and the next equal one after it."""
+    """The keys of a fingerprint column: the values of each set of segments, behind the set's number."""
     cuts = _cuts(segments)
     value = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in cuts]
     width = max(w for _, w in cuts)
     keys = []
-    for first in range(segments):
-        for step in range(1, _reach(segments, max_bits) + 1):
-            second = (first + step) % segments
-            if any(k[:2] == (second, first) for k in keys):
-                continue  # the same two segments, met from the other side
-            number = len(keys)
-            keys.append((first, second, (F.lit(number << (2 * width)) + F.shiftleft(value[first], width) + value[second])))
-    return [k[2] for k in keys]
-
-
-def key_names(segments: int, max_bits: int) -> dict[tuple[int, int], int]:
-    """(first, second) segment of a key, either way round, to the key's number."""
-    names: dict[tuple[int, int], int] = {}
-    number = 0
-    for first in range(segments):
-        for step in range(1, _reach(segments, max_bits) + 1):
-            second = (first + step) % segments
-            if (first, second) in names:
-                continue
-            names[first, second] = names[second, first] = number
-            number += 1
-    return names
+    for chosen, number in key_names(segments, max_bits).items():
+        key = F.lit(number).cast("long")
+        for at in chosen:
+            key = F.shiftleft(key, width) + value[at]
+        keys.append(key)
+    return keys
 
 
 def ring_filter(diff: np.ndarray, number: np.ndarray, segments: int, max_bits: int) -> np.ndarray:
     """Which XORs of pairs pass the chain budgets and belong to the key of this number."""
-    cuts = _cuts(segments)
     parts = np.stack(
-        [np.bitwise_count(diff >> np.uint64(s) & np.uint64((1 << w) - 1)) for s, w in cuts]
+        [np.bitwise_count(diff >> np.uint64(s) & np.uint64((1 << w) - 1)) for s, w in _cuts(segments)]
     ).astype(np.int16)
-    names = key_names(segments, max_bits)
+    equal = segments - max_bits
+    names = np.full(1 << segments, -1, dtype=np.int64)
+    for chosen, i in key_names(segments, max_bits).items():
+        names[sum(1 << at for at in chosen)] = i
     open_ = np.ones(len(diff), dtype=bool)
     out = np.zeros(len(diff), dtype=bool)
     for first in range(segments):
@@ -170,28 +169,34 @@ def ring_filter(diff: np.ndarray, number: np.ndarray, segments: int, max_bits: i
                 break
         if not viable.any():
             continue
-        second = np.full(len(diff), -1, dtype=np.int64)
-        for step in range(_reach(segments, max_bits), 0, -1):
+        chosen, many = np.full(len(diff), 1 << first, dtype=np.int64), np.ones(len(diff), dtype=np.int64)
+        for step in range(1, segments):
             at = (first + step) % segments
-            second[parts[at] == 0] = names[first, at]
-        out |= viable & (second == number)
+            take = (parts[at] == 0) & (many < equal)
+            chosen |= take.astype(np.int64) << at
+            many += take
+        out |= viable & (names[chosen] == number)
         open_ &= ~viable  # the pair's first viable chain names its key
     return out
 
 
-def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links that span the components of one group: each found fingerprint is compared with those not yet found.
+def _near(diff: np.ndarray, number: np.ndarray, segments: int, max_bits: int) -> np.ndarray:
+    """``ring_filter`` behind a cheap first cut of far pairs."""
+    out = np.bitwise_count(diff) <= 4 * max_bits
+    pick = np.flatnonzero(out)
+    out[pick] = ring_filter(diff[pick], number[pick], segments, max_bits)
+    return out
+
 
-    It begins with the first one (the smallest node), so that groups with
-    other keys and the same members name the same links.
-    """
+def _forest(fps: np.ndarray, number: np.ndarray, segments: int, max_bits: int) -> list[tuple[int, int]]:
+    """Links that span the components of one group: each found fingerprint is compared with those not yet found."""
     rest = np.arange(len(fps))
     links = []
     while len(rest):
         front, rest = deque([rest[0]]), rest[1:]
         while front and len(rest):
             at = front.popleft()
-            near = np.bitwise_count(fps[rest] ^ fps[at]) <= max_bits
+            near = _near(fps[rest] ^ fps[at], number[rest], segments, max_bits)
             if near.any():
                 links += [(at, x) for x in rest[near]]
                 front.extend(rest[near].tolist())
@@ -201,7 +206,7 @@ def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 def _linker(segments: int, max_bits: int):
     """A function on sorted Arrow batches (key, block_a, block_b, fp, node) that yields links."""
-    shift = np.int64(2 * max(w for _, w in _cuts(segments)))
+    shift = np.int64(_key_width(segments, max_bits))
 
     def links_of(key, block_a, block_b, fp, node):
         new = np.flatnonzero(np.diff(key) | np.diff(block_a) | np.diff(block_b)) + 1
@@ -216,14 +221,12 @@ def _linker(segments: int, max_bits: int):
             at = at[group[at] == group[at + step]]
             if not len(at):
                 break
-            diff = fp[at] ^ fp[at + step]
-            pick = np.flatnonzero(np.bitwise_count(diff) <= 4 * max_bits)  # cheap first cut of far pairs
-            pick = pick[ring_filter(diff[pick], key[at[pick]] >> shift, segments, max_bits)]
+            pick = np.flatnonzero(_near(fp[at] ^ fp[at + step], key[at] >> shift, segments, max_bits))
             a.append(node[at[pick]])
             b.append(node[at[pick] + step])
         for g in np.flatnonzero(size > SMALL):
             lo, hi = edge[g], edge[g + 1]
-            found = np.array(_forest(fp[lo:hi], max_bits), dtype=np.int64).reshape(-1, 2)
+            found = np.array(_forest(fp[lo:hi], key[lo:hi] >> shift, segments, max_bits), dtype=np.int64).reshape(-1, 2)
             a.append(node[lo:hi][found[:, 0]])
             b.append(node[lo:hi][found[:, 1]])
         return np.concatenate([*a, node[:0]]), np.concatenate([*b, node[:0]])
@@ -248,12 +251,14 @@ def _linker(segments: int, max_bits: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int, segments: int | None = None) -> DataFrame:
     """``fps(fp, node)`` with distinct ``fp`` to ``links(a, b)`` between nodes.
 
     Holds every link of groups up to ``SMALL`` and, of larger groups, enough
-    links to join what is linked in them.
+    links to join what is linked in them. ``segments`` follow the number of
+    fingerprints if none are given.
     """
+    segments = segments or segments_for(fps.count(), max_bits)
     keys = F.array(*segment_keys(F.col("fp"), segments, max_bits))
     rows = fps.select("fp", "node", F.explode(keys).alias("key"))
     # Which keys need blocks shows in a part of the fingerprints; every row is dealt all the same.
@@ -473,14 +478,24 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
     """``docs(node, text)``, a text's copies under one node, to ``(node, component)`` of the linked nodes.
 
     Links are all pairs of texts with Jaccard similarity ``least`` or more of
-    their distinct shingles; none is missed. Pairs that share no shingle of
-    their prefixes (``_prefixes``) cannot be similar. Of the others, first those
-    with one node under each shingle are compared, in ``STARS`` rounds with other
+    their distinct shingles; none is missed, and each pair is checked on the
+    sets themselves before it links anything. The first candidates are the pairs
+    whose SimHashes are equal or pass the pigeonring filter within ``MAX_BITS``
+    bits: they find most near copies. SimHash alone cannot find all at such a
+    similarity, so the rest follow exactly: pairs that share no shingle of their
+    prefixes (``_prefixes``) cannot be similar; of the others, first those with
+    one node under each shingle are compared, in ``STARS`` rounds with other
     nodes, so that groups of near copies become few components; then every pair
-    under a shingle that is not yet in one component, in blocks. Each pair is
-    checked on the sets themselves before it links anything.
+    under a shingle that is not yet in one component, in blocks.
     """
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    prints = cut(
+        fingerprints(docs, "node", "text", words).select(F.col("fp0").alias("fp"), F.col("doc_id").alias("node")).distinct()
+    )
+    first = cut(prints.groupBy("fp").agg(F.min("node").alias("node")))
+    same = prints.join(first.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    hashed = same.union(fingerprint_links(first, MAX_BITS))
+    hashed = cut(hashed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def tokens(batches):
         for batch in batches:
@@ -502,11 +517,10 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
         rows.repartition(parts, "token").sortWithinPartitions("token", "node")
         .mapInArrow(_met, "token long, node long, size int, at int")
     )
-    links = tried = groups = None
+    tried, links = hashed, cut(_similar(hashed, docs, words, least))
+    groups = cut(connected_components(links))
     for turn in range(STARS + 1):
-        now = met.withColumn("component", F.col("node"))
-        if groups is not None:
-            now = met.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = met.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn < STARS:
             sort = ["token", F.xxhash64("node", F.lit(turn)), "node"]
             pairs = (
@@ -530,9 +544,8 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
                 .repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_cross(least), "a long, b long")
             )
         pairs = pairs.distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = cut(_similar(pairs, docs, words, least))
-        tried, links = (pairs, found) if links is None else (tried.union(pairs), links.union(found))
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried, links = tried.union(pairs), links.union(cut(_similar(pairs, docs, words, least)))
         groups = cut(connected_components(links))
     return groups
 
@@ -570,7 +583,7 @@ def simhash_groups(
     text_col: str = "text",
     words: int = 4,
     max_bits: int = 4,
-    segments: int = 6,
+    segments: int | None = None,
     families: int = 1,
     min_similarity: float | None = None,
 ) -> DataFrame:

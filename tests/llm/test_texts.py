@@ -124,14 +124,15 @@ def test_simhash_groups_equal_brute_force(docs):
     assert {i: r["component_id"] for i, r in got.items()} == plain_components(prints, near)
 
 
-def test_big_groups_are_cut_into_blocks_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("segments", [None, 7, 8, 9])
+def test_big_groups_are_cut_into_blocks_without_loss(spark, monkeypatch, segments):
     monkeypatch.setattr(simhash, "BLOCK", 32)
     monkeypatch.setattr(simhash, "SMALL", 8)
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
     fps = sorted({b ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 7), replace=False)) for b in base for _ in range(60)})
     rows = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long")
-    links = simhash.fingerprint_links(rows, 4, 6)
+    links = simhash.fingerprint_links(rows, 4, segments)
     found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
     near = [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(fps), 2) if (a ^ b).bit_count() <= 4]
     want = plain_components(range(len(fps)), near)
@@ -139,14 +140,18 @@ def test_big_groups_are_cut_into_blocks_without_loss(spark, monkeypatch):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=7))
-def test_a_pair_passes_the_ring_under_one_key_if_it_is_near(fp, bits):
+@given(st.sets(st.integers(0, 63), max_size=7), st.integers(6, 9))
+def test_a_pair_passes_the_ring_under_one_key_if_it_is_near(bits, segments):
     diff = np.array([sum(1 << b for b in bits)], dtype=np.uint64)
-    keys = set(simhash.key_names(6, 4).values())
-    passed = sum(bool(simhash.ring_filter(diff, np.array([k]), 6, 4)[0]) for k in keys)
+    keys = set(simhash.key_names(segments, 4).values())
+    passed = sum(bool(simhash.ring_filter(diff, np.array([k]), segments, 4)[0]) for k in keys)
     assert passed == (len(bits) <= 4)
 
 
+def test_segments_follow_the_number_of_fingerprints():
+    assert [simhash.segments_for(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**13)] == [6, 6, 7, 8, 9]
+
+
 def test_odd_rows_of_simhash(odd, empty):
     rows = simhash.simhash_groups(odd).collect()
     assert len(rows) == len(ODD) and simhash.simhash_groups(empty).count() == 0
