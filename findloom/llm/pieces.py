@@ -1,12 +1,21 @@
-"""SentencePiece encoding and decoding over a table of distinct chunks.
+"""SentencePiece encoding and decoding over one table of distinct chunks.
 
 In the models this serves no piece has a whitespace marker after another
 character, so merges never cross from one marked word into the next: a text's
 ids are its chunks' ids, one after another. A chunk is a run of markers and the
-characters up to the next one. Each batch of documents is split into chunks,
-each distinct chunk is segmented (and decoded) once, and ids come back by
-position. A table of chunks is kept across a task's batches up to ``TABLE``
-entries, then begun anew, so memory stays bounded.
+characters up to the next one.
+
+Method. Tasks cut their documents into batches; a batch becomes its distinct
+chunks and, for every document, the places of its chunks among them. The chunks
+of all batches meet in a shuffle by chunk, sorted, so each distinct chunk of the
+corpus is segmented (and decoded) once. Its ids go back to every batch that has
+it, by place, and each batch puts its documents together.
+
+Scale: a batch names a chunk once however often its documents hold it, so the
+two shuffles have a row per batch and distinct chunk (with ``TOKENS`` chunks in
+a batch, a few hundredths of the corpus), and no chunk, not even the commonest
+word, has more rows than there are batches. A batch's places are packed and
+written once, in the shared folder. A task holds one batch at a time.
 
 Requirements on the model, checked on loading: identity normalisation, the dummy
 prefix, no removal of extra blanks, and no piece with an inner marker.
@@ -23,18 +32,24 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.storage import new_folder
 
 MARK = "▁"
-TABLE = 200_000
-LONG = 64  # longer chunks are rarely met again and are not kept
+TOKENS = 1_500_000  # chunks of a batch
+CHARS = 256_000_000  # characters of its texts
 _SLICE = 256
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
-class ChunkTable:
-    """Ids, their decimal text and the decoded text of distinct chunks."""
+class Segmenter:
+    """The model, applied to chunks."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -48,24 +63,13 @@ class ChunkTable:
         if self.model.decode(self.model.encode("a  b ")) != "a  b ":
             raise ValueError("this model does not keep blanks")
         # A text's last blank is a chunk of one marker, which the library cannot be given alone.
-        mark = self.model.piece_to_id(MARK)
-        self.lone = ([mark], str(mark), "")
-        self.known: dict[str, tuple[list[int], str, str]] = {}
-
-    def add(self, chunks) -> dict:
-        """A dictionary that has all these chunks, each segmented once."""
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > TABLE:
-            self.known, new = {}, list(chunks)
-        found = {}
-        for low in range(0, len(new), 4096):
-            part = new[low : low + 4096]
-            ids = self.model.encode(part, num_threads=1)
-            texts = self.model.decode(ids, num_threads=1)
-            for c, i, t in zip(part, ids, texts, strict=True):
-                found[c] = (i, " ".join(map(str, i)), t) if c else self.lone
-        self.known.update((c, v) for c, v in found.items() if len(c) <= LONG)
-        return found
+        self.lone = [self.model.piece_to_id(MARK)]
+
+    def segment(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
+        """The ids and the decoded text of each chunk."""
+        ids = self.model.encode(chunks, num_threads=1)
+        texts = self.model.decode(ids, num_threads=1)
+        return [i if c else self.lone for c, i in zip(chunks, ids, strict=True)], texts
 
 
 def chunks_of(text: str) -> list[str]:
@@ -78,18 +82,127 @@ def chunks_of(text: str) -> list[str]:
     return [c[1:] for c in _CHUNK.findall(" " + text)]
 
 
-def encode_batch(table: ChunkTable, texts: list[str | None]) -> list[tuple[list[int], str, str]]:
-    """For each text its ids with the end id, the ids in decimal joined by blanks, and the decoded text."""
-    split = [chunks_of(t or "") for t in texts]
-    fresh = table.add(dict.fromkeys(c for chunks in split for c in chunks))
-    known, out = table.known, []
-    for chunks in split:
-        rows = [fresh[c] if c in fresh else known[c] for c in chunks]
-        ids = [i for row in rows for i in row[0]]
-        ids.append(table.end_id)
-        decimal = " ".join([*(row[1] for row in rows if row[1]), str(table.end_id)])
-        out.append((ids, decimal, " ".join(row[2] for row in rows)))
-    return out
+class Batch:
+    """Documents as the places of their chunks in a list of distinct ones."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.places: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.ids: list = []
+        self.tokens = self.chars = 0
+
+    def add(self, doc_id, text: str | None) -> None:
+        place, chunks = self.place, chunks_of(text or "")
+        at = np.fromiter((place.setdefault(c, len(place)) for c in chunks), dtype=np.uint32, count=len(chunks))
+        self.chars += len(text or "")
+        self.tokens += len(chunks)
+        self.places.append(at)
+        self.sizes.append(len(chunks))
+        self.ids.append(doc_id)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Integers by byte planes, which compress well."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def _split(id_type: pa.DataType):
+    """Documents to one row per batch."""
+    names = ["batch", "chunks", "places", "sizes", "ids"]
+
+    def row(batch: Batch, number: int) -> pa.RecordBatch:
+        places = np.concatenate([np.zeros(0, np.uint32), *batch.places])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([TaskContext.get().partitionId() << 32 | number]), pa.array([list(batch.place)], pa.list_(pa.string())),
+                pa.array([_packed(places)]), pa.array([batch.sizes], pa.list_(pa.int32())), pa.array([batch.ids], pa.list_(id_type)),
+            ],
+            names,
+        )
+
+    def run(batches):
+        number, held = 0, Batch()
+        for batch in batches:
+            for low in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(low, _SLICE)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    held.add(doc_id, text)
+                    if held.tokens >= TOKENS or held.chars >= CHARS:
+                        yield row(held, number)
+                        number, held = number + 1, Batch()
+        if held.ids:
+            yield row(held, number)
+
+    return run
+
+
+def _id_bytes(ids: list[int]) -> bytes:
+    """Ids in two bytes each, marked by one more byte, or else in four."""
+    if max(ids, default=0) > 65535:
+        return np.array(ids, dtype="<u4").tobytes()
+    return np.array(ids, dtype="<u2").tobytes() + b"."
+
+
+def _segmented(model_file: str):
+    """Rows (chunk, batch, pos), sorted by chunk, to (batch, pos, ids, text); text only where it is not the chunk."""
+
+    def run(batches):
+        model, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            model = model or Segmenter(model_file)
+            chunk = batch.column(0)
+            new = np.concatenate(([True], pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False)))
+            distinct = chunk.take(pa.array(np.flatnonzero(new))).to_pylist()
+            known = last is not None and last[0] == distinct[0]  # goes on from the batch before
+            ids, texts = model.segment(distinct[1:] if known else distinct)
+            if known:
+                ids, texts = [last[1], *ids], [last[2], *texts]
+            last = distinct[-1], ids[-1], texts[-1]
+            which = pa.array(np.cumsum(new) - 1)
+            packed = pa.array(list(map(_id_bytes, ids)), pa.binary())
+            changed = pa.array([None if t == c else t for c, t in zip(distinct, texts, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(2), packed.take(which), changed.take(which)], ["batch", "pos", "ids", "text"]
+            )
+
+    return run
+
+
+def _ids(packed: bytes) -> np.ndarray:
+    """What ``_id_bytes`` has packed."""
+    return np.frombuffer(packed[:-1], "<u2") if len(packed) % 2 else np.frombuffer(packed, "<u4")
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def put_together(places, sizes, ids: list[np.ndarray], texts: list[str], end_id: int, digests: bool):
+    """(token counts, ids or their digests, texts or their digests) of a batch's documents."""
+    many = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    edge = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    counts, first, second = [], [], []
+    decimal = [" ".join(map(str, i.tolist())) for i in ids] if digests else None
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        own = places[a:b]
+        counts.append(int(many[own].sum()) + 1)
+        listed = own.tolist()
+        text = " ".join([texts[i] for i in listed])
+        if digests:
+            first.append(_sha(" ".join([*[d for d in map(decimal.__getitem__, listed) if d], str(end_id)])))
+            second.append(_sha(text))
+        else:
+            first.append(np.concatenate([*(ids[i] for i in listed), [end_id]]).astype(np.int32))
+            second.append(text)
+    return counts, first, second
 
 
 def encode(
@@ -99,30 +212,46 @@ def encode(
 
     The model file is named by its path on every machine; it is read once per task.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def sha(text: str) -> str:
-        return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    id_type, end_id = to_arrow_type(kind), Segmenter(model_file).end_id
+    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
+    picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    path = new_folder(spark, "chunks")
+    (
+        picked.mapInArrow(
+            _split(id_type), f"batch long, chunks array<string>, places binary, sizes array<int>, ids array<{kind.simpleString()}>"
+        ).write.option("compression", "zstd").parquet(path)
+    )
+    batches = spark.read.parquet(path)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    table = (
+        batches.select("batch", F.posexplode("chunks").alias("pos", "chunk")).select("chunk", "batch", "pos")
+        .repartition(parts, "chunk").sortWithinPartitions("chunk")
+        .mapInArrow(_segmented(model_file), "batch long, pos int, ids binary, text string")
+    )
 
-    def run(batches):
-        table = ChunkTable(model_file)
-        for batch in batches:
-            for low in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(low, _SLICE)
-                rows = encode_batch(table, part.column(1).to_pylist())
-                counts = pa.array([len(r[0]) for r in rows], pa.int64())
-                if digests:
-                    ids = pa.array([sha(r[1]) for r in rows], pa.string())
-                    texts = pa.array([sha(r[2]) for r in rows], pa.string())
-                else:
-                    ids = pa.array([r[0] for r in rows], pa.list_(pa.int32()))
-                    texts = pa.array([r[2] for r in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), counts, ids, texts], names)
+    def together(own: pa.Table, found: pa.Table) -> pa.Table:
+        columns = [[], [], [], []]
+        for row in own.to_pylist():  # one
+            chunks, pos = row["chunks"], found.column("pos").to_numpy()
+            ids, texts = [None] * len(chunks), chunks
+            for at, i, t in zip(pos.tolist(), found.column("ids").to_pylist(), found.column("text").to_pylist(), strict=True):
+                ids[at] = _ids(i)
+                if t is not None:
+                    texts[at] = t
+            made = put_together(_unpacked(row["places"], np.uint32), row["sizes"], ids, texts, end_id, digests)
+            for column, values in zip(columns, [row["ids"], *made], strict=True):
+                column += values
+        types = [id_type, pa.int64(), *([pa.string()] if digests else [pa.list_(pa.int32())]), pa.string()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return picked.mapInArrow(run, f"doc_id {kind}, n_tokens long, {last}")
+    return batches.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(
+        together, f"doc_id {kind.simpleString()}, n_tokens long, {last}"
+    )
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

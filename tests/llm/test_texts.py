@@ -1,5 +1,6 @@
 """Quality rules, SimHash, PII, SentencePiece and packing against plain versions and odd tables."""
 
+import hashlib
 import itertools
 import re
 import zlib
@@ -311,19 +312,41 @@ PROCESSOR = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet="ab  ▁é日😀\n\t.<s>\x00", max_size=40), max_size=5))
 def test_chunks_encode_as_the_library_does(texts):
-    found = pieces.encode_batch(pieces.ChunkTable(MODEL), texts)
-    for text, (ids, decimal, decoded) in zip(texts, found, strict=True):
+    batch, model = pieces.Batch(), pieces.Segmenter(MODEL)
+    for i, text in enumerate(texts):
+        batch.add(i, text)
+    ids, decoded = model.segment(list(batch.place))
+    places = np.concatenate([np.zeros(0, np.uint32), *batch.places])
+    packed = [pieces._ids(pieces._id_bytes(i)) for i in ids]
+    found = pieces.put_together(places, batch.sizes, packed, decoded, model.end_id, False)
+    for text, n, got, back in zip(texts, *found, strict=True):
         want = PROCESSOR.encode(text, add_eos=True)
-        assert ids == want and decimal == " ".join(map(str, want)) and decoded == PROCESSOR.decode(want)
+        assert got.tolist() == want and n == len(want) and back == PROCESSOR.decode(want)
 
 
-def test_encoding_documents_and_back(docs, odd):
+def test_encoding_documents_and_back(docs, odd, empty, monkeypatch):
+    monkeypatch.setattr(pieces, "TOKENS", 5_000)  # several batches a task
     encoded = pieces.encode(docs, MODEL)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in encoded.collect():
+    rows = encoded.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
         assert r["ids"] == PROCESSOR.encode(texts[r["doc_id"]], add_eos=True) and r["n_tokens"] == len(r["ids"])
     assert {r["doc_id"]: r["text"] for r in pieces.decode(encoded, MODEL).collect()} == texts
-    assert pieces.encode(odd, MODEL, digests=True).count() == len(ODD)
+    assert pieces.encode(empty, MODEL).count() == 0
+
+
+def test_digests_of_odd_rows(odd):
+    rows = pieces.encode(odd, MODEL, digests=True).collect()
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    want = []
+    for doc_id, text, _ in ODD:
+        ids = PROCESSOR.encode(text or "", add_eos=True)
+        want.append((doc_id, len(ids), digest(" ".join(map(str, ids))), digest(PROCESSOR.decode(ids))))
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
 
 
 # --- packing -----------------------------------------------------------------
