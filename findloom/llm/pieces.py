@@ -7,15 +7,16 @@ characters up to the next one.
 
 Method. Tasks cut their documents into batches; a batch becomes its distinct
 chunks and, for every document, the places of its chunks among them. The chunks
-of all batches meet in a shuffle by chunk, sorted, so each distinct chunk of the
-corpus is segmented (and decoded) once. Its ids go back to every batch that has
-it, by place, and each batch puts its documents together.
+go to the table's ``BUCKETS`` by their hash, packed, one row per batch and bucket.
+A bucket meets in one task, which segments (and decodes) each distinct chunk
+once and adds the ids to the rows. These go back to their batch, where the
+documents are put together by place.
 
-Scale: a batch names a chunk once however often its documents hold it, so the
-two shuffles have a row per batch and distinct chunk (with ``TOKENS`` chunks in
-a batch, a few hundredths of the corpus), and no chunk, not even the commonest
-word, has more rows than there are batches. A batch's places are packed and
-written once, in the shared folder. A task holds one batch at a time.
+Scale: a batch names a chunk once however often its documents hold it, and a
+bucket keeps only its distinct chunks in memory while rows stream by, so the
+commonest word costs no more than a row per batch. Both shuffles together move
+about as many bytes as the texts have. Rows number batches times ``BUCKETS``, so
+they grow with the data; raise ``BUCKETS`` beyond some 100 million distinct chunks.
 
 Requirements on the model, checked on loading: identity normalisation, the dummy
 prefix, no removal of extra blanks, and no piece with an inner marker.
@@ -34,16 +35,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..sources.storage import new_folder
 
 MARK = "▁"
-TOKENS = 1_500_000  # chunks of a batch
-CHARS = 256_000_000  # characters of its texts
+BUCKETS = 1024
+TOKENS = 4_000_000  # chunks of a batch
+CHARS = 64_000_000  # characters of its texts
 _SLICE = 256
 _CHUNK = re.compile(" *[^ ]+| +")
 
@@ -103,28 +103,57 @@ class Batch:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Integers by byte planes, which compress well."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Integers by byte planes, compressed."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _unpacked(data: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
 
 
-def _split(id_type: pa.DataType):
-    """Documents to one row per batch."""
-    names = ["batch", "chunks", "places", "sizes", "ids"]
+def _joined(chunks: list[str]) -> bytes:
+    """Texts without markers as one."""
+    return zstandard.ZstdCompressor(level=1).compress(MARK.join(chunks).encode("utf-8", "surrogatepass"))
+
+
+def _parted(data: bytes) -> list[str]:
+    return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass").split(MARK)
+
+
+_ROW = "bucket int, batch long, low int, chunks binary, ids binary, sizes binary"
+
+
+def _lead(id_type: pa.DataType) -> list[tuple[str, pa.DataType]]:
+    """What a batch's own row has, which needs no table."""
+    return [("places", pa.binary()), ("docs", pa.list_(id_type)), ("many", pa.list_(pa.int32()))]
+
 
-    def row(batch: Batch, number: int) -> pa.RecordBatch:
+def _split(id_type: pa.DataType):
+    """Documents to rows by bucket: a batch's chunks, ordered by bucket, from place ``low`` on; and its lead row."""
+
+    def rows(batch: Batch, number: int) -> pa.RecordBatch:
+        name = TaskContext.get().partitionId() << 32 | number
+        chunks = list(batch.place)
+        bucket = np.fromiter(
+            (xxhash.xxh32_intdigest(c.encode("utf-8", "surrogatepass")) % BUCKETS for c in chunks), dtype=np.int64, count=len(chunks)
+        )
+        order = np.array(sorted(range(len(chunks)), key=lambda i: (bucket[i], chunks[i])), dtype=np.int64)
+        place = np.empty(len(chunks), dtype=np.uint32)
+        place[order] = np.arange(len(chunks))
         places = np.concatenate([np.zeros(0, np.uint32), *batch.places])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([TaskContext.get().partitionId() << 32 | number]), pa.array([list(batch.place)], pa.list_(pa.string())),
-                pa.array([_packed(places)]), pa.array([batch.sizes], pa.list_(pa.int32())), pa.array([batch.ids], pa.list_(id_type)),
-            ],
-            names,
-        )
+        found, begin = np.unique(bucket[order], return_index=True)
+        spans = list(zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(chunks)], strict=True)) if len(found) else []
+        out = [(b, name, low, _joined([chunks[i] for i in order[low:high].tolist()]), None, None) for b, low, high in spans]
+        out.append((name % BUCKETS, name, -1, None, None, None))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        own = [_packed(place[places]), batch.ids, batch.sizes]
+        arrays += [pa.array([*[None] * len(spans), v], k) for v, (_, k) in zip(own, _lead(id_type), strict=True)]
+        names = [c.split()[0] for c in _ROW.split(", ")]
+        return pa.RecordBatch.from_arrays(arrays, [*names, *(n for n, _ in _lead(id_type))])
 
     def run(batches):
         number, held = 0, Batch()
@@ -134,73 +163,75 @@ def _split(id_type: pa.DataType):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     held.add(doc_id, text)
                     if held.tokens >= TOKENS or held.chars >= CHARS:
-                        yield row(held, number)
+                        yield rows(held, number)
                         number, held = number + 1, Batch()
         if held.ids:
-            yield row(held, number)
+            yield rows(held, number)
 
     return run
 
 
-def _id_bytes(ids: list[int]) -> bytes:
-    """Ids in two bytes each, marked by one more byte, or else in four."""
-    if max(ids, default=0) > 65535:
-        return np.array(ids, dtype="<u4").tobytes()
-    return np.array(ids, dtype="<u2").tobytes() + b"."
-
-
 def _segmented(model_file: str):
-    """Rows (chunk, batch, pos), sorted by chunk, to (batch, pos, ids, text); text only where it is not the chunk."""
+    """Rows sorted by bucket, with the ids (and, where it differs, the text) of their chunks."""
 
     def run(batches):
-        model, last = None, None
+        model, bucket, known = None, None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            model = model or Segmenter(model_file)
-            chunk = batch.column(0)
-            new = np.concatenate(([True], pc.not_equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False)))
-            distinct = chunk.take(pa.array(np.flatnonzero(new))).to_pylist()
-            known = last is not None and last[0] == distinct[0]  # goes on from the batch before
-            ids, texts = model.segment(distinct[1:] if known else distinct)
-            if known:
-                ids, texts = [last[1], *ids], [last[2], *texts]
-            last = distinct[-1], ids[-1], texts[-1]
-            which = pa.array(np.cumsum(new) - 1)
-            packed = pa.array(list(map(_id_bytes, ids)), pa.binary())
-            changed = pa.array([None if t == c else t for c, t in zip(distinct, texts, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), packed.take(which), changed.take(which)], ["batch", "pos", "ids", "text"]
-            )
+            rows = batch.select(["bucket", "chunks"]).to_pylist()
+            texts, ids, sizes = [], [], []
+            for row in rows:
+                if row["chunks"] is None:
+                    texts.append(None), ids.append(None), sizes.append(None)
+                    continue
+                model = model or Segmenter(model_file)
+                if row["bucket"] != bucket:
+                    bucket, known = row["bucket"], {}
+                chunks = _parted(row["chunks"])
+                new = [c for c in chunks if c not in known]
+                known.update(zip(new, zip(*model.segment(new), strict=True), strict=True) if new else ())
+                found = [known[c] for c in chunks]
+                same = all(t == c for c, (_, t) in zip(chunks, found, strict=True))
+                texts.append(row["chunks"] if same else _joined([t for _, t in found]))
+                ids.append(_packed(np.array([i for x, _ in found for i in x], dtype=np.uint32)))
+                sizes.append(_packed(np.array([len(x) for x, _ in found], dtype=np.uint32)))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns |= {n: pa.array(v, pa.binary()) for n, v in (("chunks", texts), ("ids", ids), ("sizes", sizes))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def _ids(packed: bytes) -> np.ndarray:
-    """What ``_id_bytes`` has packed."""
-    return np.frombuffer(packed[:-1], "<u2") if len(packed) % 2 else np.frombuffer(packed, "<u4")
-
-
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def put_together(places, sizes, ids: list[np.ndarray], texts: list[str], end_id: int, digests: bool):
-    """(token counts, ids or their digests, texts or their digests) of a batch's documents."""
-    many = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    edge = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+def put_together(places, many, ids, sizes, texts: list[str], end_id: int, digests: bool):
+    """(token counts, ids or their digests, texts or their digests) of a batch's documents.
+
+    ``many`` are the chunks of each document, ``ids`` those of all distinct
+    chunks, one after another, and ``sizes`` how many ids each chunk has.
+    """
+    begin = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    edge = np.concatenate(([0], np.cumsum(many))).astype(np.int64)
     counts, first, second = [], [], []
-    decimal = [" ".join(map(str, i.tolist())) for i in ids] if digests else None
+    if digests:
+        flat = list(map(str, ids.tolist()))
+        decimal = [" ".join(flat[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        del flat
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         own = places[a:b]
-        counts.append(int(many[own].sum()) + 1)
+        n = sizes[own].astype(np.int64)
+        total = int(n.sum())
+        counts.append(total + 1)
         listed = own.tolist()
         text = " ".join([texts[i] for i in listed])
         if digests:
-            first.append(_sha(" ".join([*[d for d in map(decimal.__getitem__, listed) if d], str(end_id)])))
+            first.append(_sha(" ".join([*filter(None, map(decimal.__getitem__, listed)), str(end_id)])))
             second.append(_sha(text))
         else:
-            first.append(np.concatenate([*(ids[i] for i in listed), [end_id]]).astype(np.int32))
+            before = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n
+            at = np.repeat(begin[own] - before, n) + np.arange(total)
+            first.append(np.append(ids[at], end_id).astype(np.int32))
             second.append(text)
     return counts, first, second
 
@@ -214,44 +245,30 @@ def encode(
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     id_type, end_id = to_arrow_type(kind), Segmenter(model_file).end_id
     names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
+    types = [id_type, pa.int64(), *([pa.string()] if digests else [pa.list_(pa.int32())]), pa.string()]
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    path = new_folder(spark, "chunks")
-    (
-        picked.mapInArrow(
-            _split(id_type), f"batch long, chunks array<string>, places binary, sizes array<int>, ids array<{kind.simpleString()}>"
-        ).write.option("compression", "zstd").parquet(path)
-    )
-    batches = spark.read.parquet(path)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    row = f"{_ROW}, places binary, docs array<{kind.simpleString()}>, many array<int>"
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     table = (
-        batches.select("batch", F.posexplode("chunks").alias("pos", "chunk")).select("chunk", "batch", "pos")
-        .repartition(parts, "chunk").sortWithinPartitions("chunk")
-        .mapInArrow(_segmented(model_file), "batch long, pos int, ids binary, text string")
+        picked.mapInArrow(_split(id_type), row).repartition(parts, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_segmented(model_file), row)
     )
 
-    def together(own: pa.Table, found: pa.Table) -> pa.Table:
-        columns = [[], [], [], []]
-        for row in own.to_pylist():  # one
-            chunks, pos = row["chunks"], found.column("pos").to_numpy()
-            ids, texts = [None] * len(chunks), chunks
-            for at, i, t in zip(pos.tolist(), found.column("ids").to_pylist(), found.column("text").to_pylist(), strict=True):
-                ids[at] = _ids(i)
-                if t is not None:
-                    texts[at] = t
-            made = put_together(_unpacked(row["places"], np.uint32), row["sizes"], ids, texts, end_id, digests)
-            for column, values in zip(columns, [row["ids"], *made], strict=True):
-                column += values
-        types = [id_type, pa.int64(), *([pa.string()] if digests else [pa.list_(pa.int32())]), pa.string()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    def together(found: pa.Table) -> pa.Table:
+        rows = sorted(found.to_pylist(), key=lambda r: r["low"])
+        lead, chunks = rows[0], rows[1:]  # the lead's place is -1
+        del found, rows
+        cat = lambda name: np.concatenate([np.zeros(0, np.uint32), *(_unpacked(r.pop(name), np.uint32) for r in chunks)])
+        ids, sizes = cat("ids"), cat("sizes")
+        texts = [t for r in chunks for t in _parted(r.pop("chunks"))]
+        made = put_together(_unpacked(lead["places"], np.uint32), lead["many"], ids, sizes, texts, end_id, digests)
+        return pa.table([pa.array(c, t) for c, t in zip([lead["docs"], *made], types, strict=True)], names)
 
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return batches.groupBy("batch").cogroup(table.groupBy("batch")).applyInArrow(
-        together, f"doc_id {kind.simpleString()}, n_tokens long, {last}"
-    )
+    return table.groupBy("batch").applyInArrow(together, f"doc_id {kind.simpleString()}, n_tokens long, {last}")
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
