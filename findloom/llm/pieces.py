@@ -8,9 +8,9 @@ characters up to the next one.
 Method. Tasks cut their documents into batches; a batch becomes its distinct
 chunks and, for every document, the places of its chunks among them. The chunks
 go to the table's ``BUCKETS`` by their hash, packed, one row per batch and bucket.
-A bucket meets in one task, which segments (and decodes) each distinct chunk
-once and adds the ids to the rows. These go back to their batch, where the
-documents are put together by place.
+A bucket meets in one task, which segments each distinct chunk once and puts ids
+in the place of chunks. These go back to their batch, where the documents are put
+together by place.
 
 Scale: a batch names a chunk once however often its documents hold it, and a
 bucket keeps only its distinct chunks in memory while rows stream by, so the
@@ -65,11 +65,9 @@ class Segmenter:
         # A text's last blank is a chunk of one marker, which the library cannot be given alone.
         self.lone = [self.model.piece_to_id(MARK)]
 
-    def segment(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
-        """The ids and the decoded text of each chunk."""
-        ids = self.model.encode(chunks, num_threads=1)
-        texts = self.model.decode(ids, num_threads=1)
-        return [i if c else self.lone for c, i in zip(chunks, ids, strict=True)], texts
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of each chunk."""
+        return [i if c else self.lone for c, i in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]
 
 
 def chunks_of(text: str) -> list[str]:
@@ -128,7 +126,7 @@ _ROW = "bucket int, batch long, low int, chunks binary, ids binary, sizes binary
 
 def _lead(id_type: pa.DataType) -> list[tuple[str, pa.DataType]]:
     """What a batch's own row has, which needs no table."""
-    return [("places", pa.binary()), ("docs", pa.list_(id_type)), ("many", pa.list_(pa.int32()))]
+    return [("places", pa.binary()), ("order", pa.binary()), ("docs", pa.list_(id_type)), ("many", pa.list_(pa.int32()))]
 
 
 def _split(id_type: pa.DataType):
@@ -141,16 +139,18 @@ def _split(id_type: pa.DataType):
             (xxhash.xxh32_intdigest(c.encode("utf-8", "surrogatepass")) % BUCKETS for c in chunks), dtype=np.int64, count=len(chunks)
         )
         order = np.array(sorted(range(len(chunks)), key=lambda i: (bucket[i], chunks[i])), dtype=np.int64)
-        place = np.empty(len(chunks), dtype=np.uint32)
-        place[order] = np.arange(len(chunks))
         places = np.concatenate([np.zeros(0, np.uint32), *batch.places])
+        # Common chunks get small places, which pack better.
+        often = np.argsort(-np.bincount(places, minlength=len(chunks)), kind="stable")
+        rank = np.empty(len(chunks), dtype=np.uint32)
+        rank[often] = np.arange(len(chunks))
         found, begin = np.unique(bucket[order], return_index=True)
         spans = list(zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(chunks)], strict=True)) if len(found) else []
         out = [(b, name, low, _joined([chunks[i] for i in order[low:high].tolist()]), None, None) for b, low, high in spans]
-        out.append((name % BUCKETS, name, -1, None, None, None))
+        out.append(((TaskContext.get().partitionId() + 31 * number) % BUCKETS, name, -1, None, None, None))
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-        own = [_packed(place[places]), batch.ids, batch.sizes]
+        own = [_packed(rank[places]), _packed(rank[order]), batch.ids, batch.sizes]
         arrays += [pa.array([*[None] * len(spans), v], k) for v, (_, k) in zip(own, _lead(id_type), strict=True)]
         names = [c.split()[0] for c in _ROW.split(", ")]
         return pa.RecordBatch.from_arrays(arrays, [*names, *(n for n, _ in _lead(id_type))])
@@ -172,30 +172,29 @@ def _split(id_type: pa.DataType):
 
 
 def _segmented(model_file: str):
-    """Rows sorted by bucket, with the ids (and, where it differs, the text) of their chunks."""
+    """Rows sorted by bucket, with ids in the place of their chunks."""
 
     def run(batches):
         model, bucket, known = None, None, {}
         for batch in batches:
             rows = batch.select(["bucket", "chunks"]).to_pylist()
-            texts, ids, sizes = [], [], []
+            ids, sizes = [], []
             for row in rows:
                 if row["chunks"] is None:
-                    texts.append(None), ids.append(None), sizes.append(None)
+                    ids.append(None), sizes.append(None)
                     continue
                 model = model or Segmenter(model_file)
                 if row["bucket"] != bucket:
                     bucket, known = row["bucket"], {}
                 chunks = _parted(row["chunks"])
                 new = [c for c in chunks if c not in known]
-                known.update(zip(new, zip(*model.segment(new), strict=True), strict=True) if new else ())
+                if new:
+                    known.update(zip(new, model.segment(new), strict=True))
                 found = [known[c] for c in chunks]
-                same = all(t == c for c, (_, t) in zip(chunks, found, strict=True))
-                texts.append(row["chunks"] if same else _joined([t for _, t in found]))
-                ids.append(_packed(np.array([i for x, _ in found for i in x], dtype=np.uint32)))
-                sizes.append(_packed(np.array([len(x) for x, _ in found], dtype=np.uint32)))
+                ids.append(_packed(np.array([i for x in found for i in x], dtype=np.uint32)))
+                sizes.append(_packed(np.array([len(x) for x in found], dtype=np.uint32)))
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns |= {n: pa.array(v, pa.binary()) for n, v in (("chunks", texts), ("ids", ids), ("sizes", sizes))}
+            columns |= {n: pa.array(v, pa.binary()) for n, v in (("chunks", [None] * len(rows)), ("ids", ids), ("sizes", sizes))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -205,33 +204,35 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def put_together(places, many, ids, sizes, texts: list[str], end_id: int, digests: bool):
+def put_together(places, many, order, ids, sizes, model: Segmenter, digests: bool):
     """(token counts, ids or their digests, texts or their digests) of a batch's documents.
 
     ``many`` are the chunks of each document, ``ids`` those of all distinct
-    chunks, one after another, and ``sizes`` how many ids each chunk has.
+    chunks, one after another, ``sizes`` how many ids each chunk has, and
+    ``order`` the chunks' places.
     """
     begin = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    flat = ids.tolist()
+    listed = [flat[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+    del flat
+    texts: list = [None] * len(listed)
+    decimal: list = [None] * len(listed)
+    for at, own, text in zip(order.tolist(), listed, model.model.decode(listed, num_threads=1) if listed else [], strict=True):
+        texts[at], decimal[at] = text, " ".join(map(str, own)) if digests else own
+    del listed
+    n_ids = np.empty(len(sizes), dtype=np.int64)
+    n_ids[order] = sizes
     edge = np.concatenate(([0], np.cumsum(many))).astype(np.int64)
     counts, first, second = [], [], []
-    if digests:
-        flat = list(map(str, ids.tolist()))
-        decimal = [" ".join(flat[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-        del flat
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        own = places[a:b]
-        n = sizes[own].astype(np.int64)
-        total = int(n.sum())
-        counts.append(total + 1)
-        listed = own.tolist()
-        text = " ".join([texts[i] for i in listed])
+        own = places[a:b].tolist()
+        counts.append(int(n_ids[places[a:b]].sum()) + 1)
+        text = " ".join([texts[i] for i in own])
         if digests:
-            first.append(_sha(" ".join([*filter(None, map(decimal.__getitem__, listed)), str(end_id)])))
+            first.append(_sha(" ".join([*filter(None, map(decimal.__getitem__, own)), str(model.end_id)])))
             second.append(_sha(text))
         else:
-            before = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n
-            at = np.repeat(begin[own] - before, n) + np.arange(total)
-            first.append(np.append(ids[at], end_id).astype(np.int32))
+            first.append([*(x for i in own for x in decimal[i]), model.end_id])
             second.append(text)
     return counts, first, second
 
@@ -246,11 +247,12 @@ def encode(
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
-    id_type, end_id = to_arrow_type(kind), Segmenter(model_file).end_id
+    id_type = to_arrow_type(kind)
+    Segmenter(model_file)  # an unfit model fails here
     names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
     types = [id_type, pa.int64(), *([pa.string()] if digests else [pa.list_(pa.int32())]), pa.string()]
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    row = f"{_ROW}, places binary, docs array<{kind.simpleString()}>, many array<int>"
+    row = f"{_ROW}, places binary, order binary, docs array<{kind.simpleString()}>, many array<int>"
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     table = (
         picked.mapInArrow(_split(id_type), row).repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -263,8 +265,8 @@ def encode(
         del found, rows
         cat = lambda name: np.concatenate([np.zeros(0, np.uint32), *(_unpacked(r.pop(name), np.uint32) for r in chunks)])
         ids, sizes = cat("ids"), cat("sizes")
-        texts = [t for r in chunks for t in _parted(r.pop("chunks"))]
-        made = put_together(_unpacked(lead["places"], np.uint32), lead["many"], ids, sizes, texts, end_id, digests)
+        places, order = _unpacked(lead["places"], np.uint32), _unpacked(lead["order"], np.uint32)
+        made = put_together(places, lead["many"], order, ids, sizes, Segmenter(model_file), digests)
         return pa.table([pa.array(c, t) for c, t in zip([lead["docs"], *made], types, strict=True)], names)
 
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
