@@ -28,3 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that what follows has a short plan."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again.
+
+    For loops of joins: unlike ``cut``, what is read has the size of its files,
+    where a checkpoint carries on the product of the sizes of all joins before it.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
