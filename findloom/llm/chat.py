@@ -37,7 +37,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import stored
 
 #: JSON types and how the schema of a parsed value names them.
 _TYPES = {
@@ -84,7 +84,7 @@ def _depths(calls: DataFrame) -> DataFrame:
     """``(call_id, depth)`` of ``calls(call_id, after)`` with unique ids; -1 on or behind a cycle."""
     known = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("known"))
     # up: the nearest ancestor not yet passed; steps: how far it is; null when the chain's first call is passed.
-    state = cut(
+    state = stored(
         calls.join(known, "after", "left").select(
             "call_id",
             F.when(F.col("known") & (F.col("after") != F.col("call_id")), F.col("after")).alias("up"),
@@ -94,7 +94,7 @@ def _depths(calls: DataFrame) -> DataFrame:
     left = state.where("up is not null").count()
     while left:
         above = state.select(F.col("call_id").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"))
-        state = cut(
+        state = stored(
             state.join(above, "up", "left").select(
                 "call_id", F.col("far").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
             )

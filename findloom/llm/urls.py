@@ -3,15 +3,16 @@
 Paths of a host form a tree of segments. Level by level, variable segments
 become wildcards of their kind (a kind of segment under one node with many
 distinct values for its rows), and sibling branches whose children look alike,
-and whose labels agree, merge into one. Each host and template then has a
-smoothed purity: of its labelled rows, the share that is blocked. Rows that no
-rule judges are blocked where the template's purity reaches ``PURITY``; a
-template without labels stays at the prior, and so is allowed.
+labelled or not, and whose labels, where they have some, agree, merge into one.
+Each host and template then has a smoothed purity: of its labelled rows, the
+share that is blocked. Rows that no rule judges are blocked where the template's
+purity reaches ``PURITY``; a template without labels stays at the prior, and so
+is allowed.
 
-Scale: only aggregates by (host, node, segment) and joins back to rows, each
-with one row per key on the aggregate's side, so AQE can split a host that holds
-a third of all rows. Paths deeper than ``DEPTH`` share one tail segment below
-that, which bounds the number of levels; no row is left out.
+Scale: the tree is over distinct paths with their counts. Every level costs
+aggregates by (host, node, segment) and joins back to paths; a node of one path
+is done, so there are as many levels as paths share, however deep they are. Keys
+that hold many rows, as one host may, are dealt out (``skew``).
 
 Defined results: a null url or one without ``://`` has an empty host and path
 and forms a template with its like; rules compare case-sensitively in the path;
@@ -26,9 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import stored
+from .skew import spread_join
 
-DEPTH = 8
 MANY_WORDS, MANY_OTHERS = 8, 2  # distinct values of a variable segment, at least: words, other kinds
 SHARE = 0.3  # ... and per row
 PRIOR, STRENGTH = 0.5, 4.0
@@ -98,68 +99,60 @@ def _kind(segment: Column) -> Column:
     )
 
 
-def path_templates(rows: DataFrame) -> DataFrame:
-    """``rows(row, host, path, label)`` with ``template``; ``label`` is 1 blocked, 0 allowed or null."""
+def path_templates(paths: DataFrame) -> DataFrame:
+    """Distinct ``paths(host, path, n, labelled, blocked)``, counts of rows, with ``template``."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    deep = F.size(segments) > DEPTH
-    state = cut(
-        rows.withColumn("segments", F.when(deep, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments))
-        .withColumn("template", F.lit(""))
-    )
-    deepest = state.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(deepest):
+    node, counts = ["host", "template"], ["n", "labelled", "blocked"]
+    state = stored(paths.withColumn("segments", segments).withColumn("template", F.lit("")))
+    done, level = [state.where("size(segments) = 0")], 0
+    state = state.where("size(segments) > 0")
+    while not state.isEmpty():
         here = F.get("segments", F.lit(level))
-        inside = state.where(here.isNotNull()).select("host", "template", here.alias("segment"), "segments", "label")
-        values = (
-            inside.groupBy("host", "template", "segment")
-            .agg(
-                F.count("*").alias("n"),
-                F.count("label").alias("labelled"),
-                F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"),
-                *(
-                    F.count_if(_kind(F.get("segments", F.lit(level + 1))) == k).alias(f"k{i}")
-                    for i, k in enumerate(_KINDS)
-                ),
-            )
-            .withColumn("kind", _kind(F.col("segment")))
-        )
+        child = _kind(F.get("segments", F.lit(level + 1)))
+        state = state.withColumn("segment", here).withColumn("kind", _kind(here))
+        values = state.groupBy(*node, "kind", "segment").agg(
+            *(F.sum(c).alias(c) for c in counts), F.count("*").alias("paths"),
+            *(F.sum(F.when(child == k, F.col("n")).otherwise(0)).alias(f"k{i}") for i, k in enumerate(_KINDS)),
+        )
+        values = stored(values)
         # Variable segments of a node become one wildcard per kind.
-        spread = values.groupBy("host", "template", "kind").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
+        spread = values.groupBy(*node, "kind").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
         many = F.when(F.col("kind") == "word", MANY_WORDS).otherwise(MANY_OTHERS)
         variable = (F.col("n_values") >= many) & (F.col("n_values") >= SHARE * F.col("n_rows"))
-        wild = spread.where(variable).select("host", "template", "kind", F.lit(True).alias("wild"))
-        branches = (
-            values.join(wild, ["host", "template", "kind"], "left_anti")
-            .withColumn("told", F.col("labelled") > 0)
-        )
-        # A literal branch joins its siblings if its children and labels look like all of theirs together.
-        pool = branches.groupBy("host", "template", "told").agg(
-            F.count("*").alias("siblings"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"),
-            F.sum("blocked").alias("all_blocked"), *(F.sum(f"k{i}").alias(f"all{i}") for i in range(len(_KINDS))),
+        wild = spread.where(variable).select(*node, "kind", F.lit(True).alias("wild"))
+        branches = spread_join(values, wild, [*node, "kind"], ["segment"]).where("wild is null").drop("wild")
+        # A branch joins its siblings if its children, and its labels if there are any, look like all of theirs together.
+        pool = branches.groupBy(*node).agg(
+            F.count("*").alias("siblings"), *(F.sum(c).alias(f"all_{c}") for c in counts),
+            *(F.sum(f"k{i}").alias(f"all{i}") for i in range(len(_KINDS))),
         )
         expected = [F.col(f"all{i}") * F.col("n") / F.col("all_n") for i in range(len(_KINDS))]
         chi2 = sum(
-            (F.when(e > 0, (F.col(f"k{i}") - e) * (F.col(f"k{i}") - e) / e).otherwise(0.0) for i, e in enumerate(expected)),
+            (F.coalesce(F.try_divide((F.col(f"k{i}") - e) * (F.col(f"k{i}") - e), e), F.lit(0.0)) for i, e in enumerate(expected)),
             F.lit(0.0),
         )
-        rate = F.col("all_blocked") / F.col("all_labelled")
-        slack = 1.96 * F.sqrt(rate * (1 - rate) / F.col("labelled"))
-        agree = ~F.col("told") | (F.abs(F.col("blocked") / F.col("labelled") - rate) <= slack)
-        alike = (
-            branches.join(pool, ["host", "template", "told"])
-            .where((F.col("siblings") >= 2) & (chi2 <= CHI2) & agree)
-            .select("host", "template", "segment", F.when(F.col("told"), "{labelled}").otherwise("{plain}").alias("merged"))
+        rate = F.try_divide("all_blocked", "all_labelled")
+        slack = 1.96 * F.sqrt(F.try_divide(rate * (1 - rate), F.col("labelled")))
+        agree = (F.col("labelled") == 0) | (F.abs(F.try_divide("blocked", "labelled") - rate) <= slack + 1e-9)
+        like = F.coalesce((F.col("siblings") >= 2) & (chi2 <= CHI2) & agree, F.lit(False))
+        told = spread_join(branches, pool.where("siblings > 1"), node, ["segment"]).select(
+            *node, "segment", like.alias("like"), (~like & (F.col("paths") == 1)).alias("alone")
         )
-        kind = _kind(here)
-        step = (
-            state.withColumn("segment", here).withColumn("kind", kind)
-            .join(wild, ["host", "template", "kind"], "left")
-            .join(alike, ["host", "template", "segment"], "left")
-        )
-        name = F.when(F.col("wild"), F.concat(F.lit("{"), "kind", F.lit("}"))).otherwise(F.coalesce("merged", "segment"))
-        grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))
-        state = cut(step.select("row", "host", "path", "label", "segments", grown.alias("template")))
-    return state.drop("segments")
+        step = spread_join(state, wild, [*node, "kind"], ["path"])
+        step = spread_join(step, told.where("like or alone"), [*node, "segment"], ["path"])
+        name = F.when(F.col("wild"), F.concat(F.lit("{"), "kind", F.lit("}"))).when(F.col("like"), "{like}").otherwise(F.col("segment"))
+        rest = F.when(F.col("alone"), F.slice("segments", level + 2, 1 << 20)).otherwise(F.array().cast("array<string>"))
+        parts = F.concat(F.array("template", name), rest)
+        last = F.coalesce("alone", F.lit(False)) | (F.size("segments") == level + 1)
+        step = stored(
+            step.select("host", "path", *counts, "segments", F.array_join(parts, "/").alias("template"), last.alias("last"))
+        )
+        done.append(step.where("last").drop("last"))
+        state, level = step.where("not last").drop("last"), level + 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.drop("segments")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -169,13 +162,18 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, id_col: str =
     parsed = pages.select(pages[id_col].alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     found = rule_of(F.col("host"), F.col("path"), rules)
     blocks = F.array(*(F.lit(1 if r.verdict == "block" else 0) for r in rules)) if rules else F.array(F.lit(0))
-    labelled = parsed.withColumn("label", F.get(blocks, found))
-    rows = path_templates(labelled)
-    purity = rows.groupBy("host", "template").agg(
-        ((F.coalesce(F.sum("label"), F.lit(0)) + PRIOR * STRENGTH) / (F.count("label") + STRENGTH)).alias("purity")
-    )
     names = F.array(*(F.lit(r.target) for r in rules)) if rules else F.array(F.lit(""))
-    judged = rows.join(purity, ["host", "template"]).withColumn("found", found)
+    paths = parsed.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("label", F.get(blocks, found))
+    paths = paths.select(
+        "host", "path", "n", F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("labelled"),
+        (F.coalesce("label", F.lit(0)) * F.col("n")).alias("blocked"),
+    )
+    templates = path_templates(paths)
+    purity = templates.groupBy("host", "template").agg(
+        ((F.sum("blocked") + PRIOR * STRENGTH) / (F.sum("labelled") + STRENGTH)).alias("purity")
+    )
+    known = spread_join(templates.select("host", "path", "template"), purity, ["host", "template"], ["path"])
+    judged = spread_join(parsed, known, ["host", "path"], ["row"], "inner").withColumn("found", found)
     verdict = F.when(F.coalesce(F.get(blocks, F.col("found")), (F.col("purity") >= PURITY).cast("int")) == 1, "block")
     return judged.select(
         F.col("row").alias("page_id"), "host", "path", F.get(names, F.col("found")).alias("rule"),
