@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from findloom.llm import chat, embeddings, queries, skew, urls
+from findloom.llm import chat, embeddings, skew, urls
+from findloom.llm import queries as queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -72,14 +73,33 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     rows = chat.link_tool_calls(calls, results, TOOLS).collect()
     got = sorted((r["call_id"] or "", r["depth"], r["n_results"], r["errors"]) for r in rows)
     assert got == sorted([
-        ("a", 0, 2, ""), ("a", 0, 0, "repeated id"), ("b", 1, 0, "missing x; type of y"), ("c", 2, 0, "bad arguments"),
+        ("a", 0, 2, ""), ("a", 0, 0, "repeated id"), ("a", 0, 1, "repeated result"), ("b", 1, 0, "missing x; type of y"), ("c", 2, 0, "bad arguments"),
         ("c", 0, 0, "repeated id; unknown tool"), ("p", -1, 0, "cycle; type of x; unknown z"), ("q", -1, 0, "cycle; bad arguments"),
-        ("", 0, 0, "no id; unknown dependency; missing x"), ("zzz", 0, 1, "no call"), ("", 0, 1, "no call"),
+        ("", 0, 0, "no id; unknown dependency; missing x"), ("zzz", 0, 1, "no call"), ("", 0, 1, "no id; no call"),
     ])
     assert '{"arguments":{"x":1,"y":"s"},"id":"a","result":"r0","tool":"t"}' in {r["line"] for r in rows}
+    for conv in {r["conv_id"] for r in rows}:
+        own = sorted((r for r in rows if r["conv_id"] == conv), key=lambda r: r["order"])
+        assert [r["order"] for r in own] == list(range(len(own)))
+        assert [(r["depth"], r["position"]) for r in own] == sorted((r["depth"], r["position"]) for r in own)
     assert chat.link_tool_calls(calls.where("false"), results.where("false"), TOOLS).count() == 0
 
 
+def test_hot_identifiers_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    tools = {"t": [chat.Parameter("x", "integer", least=0, most=9), chat.Parameter("s", "string", False, most=2)]}
+    calls = [(1, i, f"c{i}", "t", f'{{"x":{i}}}', "c0" if i else None, "-") for i in range(12)]
+    calls += [(1, 20, "c5", "t", '{"x":1,"s":"abc"}', None, "-")] * 1500 + [(None, None, "n", None, '{"x":1}', None, "-")]
+    results = [(1, 50 + i % 2, "c0", f"r{i % 3}", "-") for i in range(9)]
+    rows = chat.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), tools).collect()
+    assert len(rows) == len(calls) + len(results) - 1
+    by_id = {r["call_id"]: r for r in rows if r["errors"] in ("", "range of x")}
+    assert [by_id[f"c{i}"]["depth"] for i in range(12)] == [0] + [1] * 11 and by_id["c0"]["n_results"] == 9
+    assert by_id["c9"]["valid"] and not by_id["c10"]["valid"] and '"result":"r0"' in by_id["c0"]["line"]
+    assert sum(r["errors"] == "repeated id; range of s" for r in rows) == 1500 and sum(r["errors"] == "repeated result" for r in rows) == 8
+    assert sorted(r["order"] for r in rows if r["conv_id"] == 1) == list(range(len(rows) - 1))
+
+
 def test_a_long_chain_of_calls(spark):
     rows = [(1, i, f"c{i}", "t", '{"x":1}', f"c{i - 1}" if i else None, "-") for i in range(100)]
     calls = spark.createDataFrame(rows, CALLS)
@@ -88,18 +108,27 @@ def test_a_long_chain_of_calls(spark):
 
 
 def test_conversations_become_calls(spark):
-    turns = spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()
-    got = {r["call_id"]: r for r in queries.op4_tool_call_linking(spark, FOLDER).collect()}
-    at = {(r["conv_id"], r["turn"]): r for r in turns}
-    asked = {k for k, r in at.items() if r["role"] != "assistant"}
-    assert {f"{c}:{t}" for c, t in asked} <= set(got)
-    for c, t in asked:
-        depth, back = 0, t
-        while at[c, back]["role"] == "user" and (c, back - 2) in asked:
-            depth, back = depth + 1, back - 2
-        answer = at.get((c, t + 1))
-        assert got[f"{c}:{t}"]["depth"] == depth
-        assert got[f"{c}:{t}"]["n_results"] == (answer is not None and answer["role"] == "assistant")
+    turns = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    odd = spark.createDataFrame([(None, 1, "user", "x"), (1, None, "assistant", "y"), (10**6, 0, "tool", "z"), (10**6, 1, None, None)], turns.select("conv_id", "turn", "role", "text").schema)
+    rows = turns.select("conv_id", "turn", "role", "text").union(odd)
+    table = rows.collect()
+    out = chat.link_tool_calls(*chat.turns_as_calls(rows), chat.TURN_TOOLS).collect()
+    first, answers = {}, {}
+    for r in sorted((r for r in table if r["conv_id"] is not None and r["turn"] is not None), key=lambda r: str(r["text"])):
+        key = r["conv_id"], r["turn"]
+        if r["role"] == "assistant":
+            answers[key[0], key[1] - 1] = answers.get((key[0], key[1] - 1), 0) + 1
+        else:
+            first.setdefault(key, r)
+    taken = sum(1 for k in first if answers.get(k))
+    assert len(out) == len(table) - taken  # every turn is a row, but for results that a call has taken
+    got = {r["call_id"]: r for r in out if "repeated" not in r["errors"] and "no call" not in r["errors"]}
+    for (conv, turn), r in first.items():
+        row = got[f"{conv}:{turn}"]
+        assert row["n_results"] == answers.get((conv, turn), 0)
+        long, known = len(r["text"] or "") > 2000, r["role"] in ("user", "system")
+        assert row["valid"] == (known and bool(r["text"]) and not long and (r["role"] == "user" or turn == 0) and "dependency" not in row["errors"])
+    assert sum("unknown tool" in r["errors"] for r in out) == 2 and sum(r["call_id"] is None for r in out) == 2
 
 
 def plain_url(url):
