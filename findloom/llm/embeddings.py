@@ -8,17 +8,23 @@ checked by cosine in double precision, in blocks, and linked ones are joined.
 
 Scale: equal vectors of a label are one row with a weight before anything is
 compared. Trees are fitted on at most ``SAMPLE`` vectors, chosen by a hash of
-their id, and every vector is routed through all of them. A leaf with over
-``BLOCK`` vectors of a label is cut into blocks, and each pair of blocks is one
-bounded group, so nothing is left out however large a leaf is. A pair counts in
-the first leaf that its two vectors share. Groups return one row per vector
-(its links, and one link to the smallest vector of its part), never pairs.
+their id, and every vector is routed through all of them. Leaves that are still
+large are split on, round after round, along fresh random directions at the
+median of all their vectors, as long as that makes them smaller, so leaves do
+not grow with the data. What no split divides (a dense cluster of near copies)
+is cut into blocks, and each pair of blocks is one bounded group, so nothing is
+left out however large a leaf is. A pair counts in the first leaf that its two
+vectors share. Groups return one row per vector (its links, and one link to the
+smallest vector of its part), never pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components, and those with a null label, link with nothing and stay; vectors of
-different lengths are not compared; a repeated id is one row per row, and equal
-vectors with equal ids still count each other; a null id names no component; an
-empty table gives an empty result; other columns are not read.
+components, and those with a null label, link with nothing and stay; others link
+whatever their length, also where its square overflows; vectors of different
+dimensions are not compared; a repeated id is one row per row, and equal vectors
+with equal ids still count each other; a vector with a null id links and counts
+like any other, but names no component: it is kept only where its component has
+no id at all (``component_id`` is null then); an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,13 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from ..sources.storage import cut
+from ..sources.storage import cut, stored
+from .skew import spread_join
 
 SAMPLE = 20_000
 LEAF = 256
 LEAST = 24  # sampled vectors that a split needs
 BLOCK = 1024
 TREES = 4
+LARGE = 4 * BLOCK  # vectors of a leaf that is split on
+ROUNDS = 24  # of splits, at most; each halves what it can
+_NONE = np.iinfo(np.int64).min  # no leaf
+_NAMELESS = 1 << 62  # nodes without an id come after all with one
 
 
 class Forest:
@@ -89,6 +100,12 @@ def _matrix(column) -> np.ndarray:
     return x
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by the largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _usable(vector):
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return vector.isNotNull() & ~bad & F.exists(vector, lambda v: v != 0)
@@ -106,7 +123,7 @@ def _group_links(x, weight, node, leaves, sides, leaf, least):
         a, b = a[keep], b[keep]
         for cut_at in range(0, len(a), 50_000):
             i, j = a[cut_at : cut_at + 50_000], b[cut_at : cut_at + 50_000]
-            same = (leaves[i][:, :, None] == leaves[j][:, None, :]) & (leaves[i] >= 0)[:, :, None]
+            same = (leaves[i][:, :, None] == leaves[j][:, None, :]) & (leaves[i] != _NONE)[:, :, None]
             first = np.where(same.any(axis=2), leaves[i], np.iinfo(np.int64).max).min(axis=1)
             # In two blocks, pairs inside one block count where it meets itself.
             once = (first == leaf) & ((sides[i] != sides[j]) | (sides.min() == sides.max()))
@@ -147,10 +164,9 @@ def _compare(least: float):
             if group.num_rows < 2:
                 continue
             group = group.sort_by("node").combine_chunks()
-            x = _matrix(group.column("vector").chunk(0))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(_matrix(group.column("vector").chunk(0)))
             lists = group.column("leaves").to_pylist()
-            leaves = np.full((len(lists), max(map(len, lists))), -1, dtype=np.int64)
+            leaves = np.full((len(lists), max(map(len, lists))), _NONE, dtype=np.int64)
             for i, row in enumerate(lists):
                 leaves[i, : len(row)] = row
             found = _group_links(
@@ -162,6 +178,69 @@ def _compare(least: float):
     return run
 
 
+def _along(batches):
+    """Rows (leaf, dim, vector, ...) with the projection of the unit vector on a random direction of the leaf's own."""
+    ways: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        leaf, dim = batch.column("leaf").to_numpy(), batch.column("dim").to_numpy()
+        out = np.zeros(batch.num_rows)
+        pairs, which = np.unique(np.stack([leaf, dim]), axis=1, return_inverse=True)
+        for i, (name, size) in enumerate(pairs.T.tolist()):
+            if (name, size) not in ways:
+                ways = ways if len(ways) < 10_000 else {}
+                way = np.random.default_rng([name & 0xFFFFFFFF, name >> 32 & 0xFFFFFFFF, size]).standard_normal(size)
+                ways[name, size] = way / np.linalg.norm(way)
+            at = np.flatnonzero(which.ravel() == i)
+            out[at] = _unit(_matrix(batch.column("vector").take(pa.array(at)))) @ ways[name, size]
+        columns = [batch.column(n) for n in ("label", "leaf", "dim", "key", "vector")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], ["label", "leaf", "dim", "key", "vector", "along"])
+
+
+def _split_on(routed: DataFrame, margin: float) -> DataFrame:
+    """``routed`` with leaves over ``LARGE`` split until they are small or no split makes them smaller."""
+    names = ["label", "leaf", "dim"]
+    routed = stored(routed, "leaves")
+    sizes = routed.select("label", F.explode("leaves").alias("leaf"), "dim").groupBy(*names).agg(F.count("*").alias("n"))
+    big = stored(sizes.where(F.col("n") > LARGE), "leaves")
+    if big.isEmpty():
+        return routed
+    every = routed.select("label", F.explode("leaves").alias("leaf"), "dim", "key", "vector")
+    whole = spread_join(every, big, names, ["key"])
+    small = whole.where("n is null").select("key", "leaf")
+    rows = stored(whole.where("n is not null").select(*names, "key", "vector"), "leaves")
+    for _ in range(ROUNDS):
+        placed = stored(rows.mapInArrow(_along, "label long, leaf long, dim int, key long, vector array<double>, along double"), "leaves")
+        middle = placed.groupBy(*names).agg(F.percentile_approx("along", 0.5, 1000).alias("middle"), F.count("*").alias("n"))
+        sided = spread_join(placed, middle, names, ["key"])
+        sides = F.array_compact(F.array(
+            F.when(F.col("along") <= F.col("middle") + margin, F.lit(0)), F.when(F.col("along") > F.col("middle") - margin, F.lit(1))
+        ))
+        split = stored(sided.withColumn("side", F.explode(sides)).select(*names, "key", "vector", "n", "side"), "leaves")
+        halves = split.groupBy(*names, "side", "n").agg(F.count("*").alias("half"))
+        # A split that leaves nine tenths or more on one side is not made.
+        made = halves.groupBy(*names).agg(
+            (F.max("half") < 0.9 * F.max("n")).alias("made"), F.max(F.when(F.col("side") == 0, F.col("half"))).alias("low"),
+            F.max(F.when(F.col("side") == 1, F.col("half"))).alias("high"),
+        )
+        told = spread_join(split, made, names, ["key"])
+        old = told.where("not made").select("key", "leaf").distinct()
+        size = F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high"))
+        new = stored(
+            told.where("made").select(
+                "label", F.xxhash64("leaf", "side").alias("leaf"), "dim", "key", "vector", (size > LARGE).alias("large")
+            ),
+            "leaves",
+        )
+        small = small.unionByName(old).unionByName(new.where("not large").select("key", "leaf"))
+        rows = new.where("large").drop("large")
+        if rows.isEmpty():
+            break
+    else:
+        small = small.unionByName(rows.select("key", "leaf"))
+    lists = small.groupBy("key").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+    return routed.drop("leaves").join(lists, "key")
+
+
 def embedding_groups(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -177,10 +256,12 @@ def embedding_groups(
         vectors[vector_col].cast("array<double>").alias("vector"),
         vectors[label_col].cast("long").alias("label"),
     )
-    usable = _usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    usable = _usable(F.col("vector")) & F.col("label").isNotNull()
+    nameless = F.lit(_NAMELESS) + F.shiftrightunsigned(F.xxhash64("label", "vector"), 2)
     nodes = cut(
         rows.where(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
-        .withColumn("dim", F.size("vector"))
+        .withColumn("node", F.coalesce("node", nameless)).withColumn("dim", F.size("vector"))
+        .withColumn("key", F.monotonically_increasing_id())
     )
     sizes = nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     total = sizes["n"] if sizes else 0
@@ -196,7 +277,7 @@ def embedding_groups(
         .select("vector", "node").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()
     )
     unit = np.array(sample.column("vector").to_pylist(), dtype=np.float64).reshape(-1, dim)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = _unit(unit) if len(unit) else unit
     margin = math.sqrt(max(0.0, 2 - 2 * min_cosine) / dim)
     forest = Forest(unit, trees if depth else 1, depth, margin)
 
@@ -205,15 +286,15 @@ def embedding_groups(
             same = np.flatnonzero(batch.column("dim").to_numpy() == dim)
             lists = [[0]] * batch.num_rows
             if len(same):
-                x = _matrix(batch.column("vector").take(pa.array(same)))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(_matrix(batch.column("vector").take(pa.array(same))))
                 for i, found in zip(same.tolist(), forest.leaves(x), strict=True):
                     lists[i] = found
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "leaves"]
             )
 
-    routed = nodes.mapInArrow(route, "label long, vector array<double>, node long, weight long, dim int, leaves array<long>")
+    schema = "label long, vector array<double>, node long, weight long, dim int, key long, leaves array<long>"
+    routed = _split_on(nodes.mapInArrow(route, schema), margin)
     spread = routed.withColumn("leaf", F.explode("leaves"))
     heavy = (
         spread.groupBy("label", "leaf", "dim").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
@@ -243,10 +324,10 @@ def embedding_groups(
         )
     )
     joined = rows.withColumn("label", F.when(usable, F.col("label"))).join(found, ["label", "vector"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.when(F.coalesce("component", F.lit(0)) >= _NAMELESS, None).otherwise(F.coalesce("component", "vec_id"))
     return joined.select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
+        (component.isNull() | F.coalesce(component == F.col("vec_id"), F.lit(False))).alias("kept"),
     )

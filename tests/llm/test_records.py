@@ -25,8 +25,10 @@ def test_embedding_links_equal_brute_force(spark):
     assert (links <= n).all() and links.sum() >= 0.9 * n.sum()
 
 
-def test_forest_recall_blocks_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "LEAF", 40)
+@pytest.mark.parametrize("large", [embeddings.LARGE, 50])
+def test_forest_recall_blocks_and_copies(spark, monkeypatch, large):
+    monkeypatch.setattr(embeddings, "LARGE", large)
+    monkeypatch.setattr(embeddings, "LEAF", 40 if large > 50 else 400)
     monkeypatch.setattr(embeddings, "BLOCK", 64)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((300, 16))
@@ -46,11 +48,15 @@ def test_odd_vectors(spark):
         (1, [1.0, 0.0], 0, "x"), (2, [2.0, 0.0], 0, "x"), (3, [0.0, 0.0], 0, "x"), (4, None, 0, "x"), (5, [nan, 1.0], 0, "x"),
         (6, [inf, 1.0], 0, "x"), (7, [1.0, 0.0], None, "x"), (8, [1.0, 0.0], 1, "x"), (9, [1.0, 0.0, 0.0], 0, "x"),
         (10, [], 0, "x"), (2, [2.0, 0.0], 0, "x"), (11, [None, 1.0], 0, "x"), (None, [1.0, 0.0], 0, "x"),
+        (20, [1e200, 0.0], 3, "x"), (21, [2e200, 0.0], 3, "x"), (22, [1e-200, 0.0], 3, "x"), (23, [3e-310, 0.0], 3, "x"),
+        (None, [1.0, 2.0], 4, "x"), (None, [2.0, 4.0], 4, "x"), (0, [0.5] * 9 + [1e9], 0, "long" * 50_000),
     ]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node string")
     got = sorted(map(tuple, embeddings.embedding_groups(table).collect()), key=repr)
     by_id = {r[0]: r for r in got}
-    assert len(got) == len(rows) and by_id[1] == (1, 2, 1, True) and by_id[2] == (2, 2, 1, False)
+    assert len(got) == len(rows) and by_id[1] == (1, 3, 1, True) and by_id[2] == (2, 3, 1, False)
+    assert sorted((r[1:] for r in got if r[0] is None), key=repr) == [(1, None, True), (1, None, True), (3, 1, False)]
+    assert all(by_id[i] == (i, 3, 20, i == 20) for i in (20, 21, 22, 23))
     assert all(by_id[i] == (i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11))
     assert embeddings.embedding_groups(table.where("false")).count() == 0
 
