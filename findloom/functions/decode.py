@@ -6,7 +6,7 @@ import re
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,3 +34,12 @@ def _decoded(texts: pd.Series) -> pd.DataFrame:
 def decoded(query: Column) -> Column:
     """Struct ``(text, rounds, valid)``."""
     return _decoded(F.coalesce(query, F.lit("")))
+
+
+def with_decoded(table: DataFrame, column: str, into: str) -> DataFrame:
+    """``table`` with the struct of ``decoded``; only rows with a percent sign go through Python."""
+    value = F.coalesce(F.col(column), F.lit(""))
+    plain = F.struct(value.alias("text"), F.lit(0).alias("rounds"), F.lit(True).alias("valid"))
+    encoded = F.contains(value, F.lit("%"))
+    some = table.where(encoded).withColumn(into, _decoded(F.coalesce(F.col(column), F.lit(""))))
+    return table.where(~encoded).withColumn(into, plain).unionByName(some)

@@ -5,20 +5,24 @@ from __future__ import annotations
 # --- Fixed values: results are only right with exactly these ---------------
 
 STOPWORDS = {
-    "fr": (
-        "le la les un une des de du et ou où à au aux en dans par pour sur avec ce cet cette ces qui que quoi est "
-        "sont il elle ils elles on nous vous je tu ne pas se sa son ses leur leurs mon ma mes notre nos votre vos y "
-        "qu lui mais donc car ni"
-    ).split(),
-    "en": (
-        "the a an and or of in on at to for with by from is are was were be it its this that these those as our we "
-        "you your my me he she they them their but not so"
-    ).split(),
-    "de": (
-        "der die das den dem des ein eine einen einem einer eines und oder in im an am auf aus bei mit nach von vom "
-        "zu zum zur für ist sind es sie wir ihr ich du er wie wo was nicht auch aber unser unsere euch uns"
-    ).split(),
-}
+    "fr": [
+        "le", "la", "les", "un", "une", "des", "de", "du", "et", "ou", "où", "à", "au", "aux", "en", "dans", "par",
+        "pour", "sur", "avec", "ce", "cet", "cette", "ces", "qui", "que", "quoi", "est", "sont", "il", "elle", "ils",
+        "elles", "on", "nous", "vous", "je", "tu", "ne", "pas", "se", "sa", "son", "ses", "leur", "leurs", "mon",
+        "ma", "mes", "notre", "nos", "votre", "vos", "y", "qu", "lui", "mais", "donc", "car", "ni",
+    ],
+    "en": [
+        "the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "with", "by", "from", "is", "are", "was",
+        "were", "be", "it", "its", "this", "that", "these", "those", "as", "our", "we", "you", "your", "my", "me",
+        "he", "she", "they", "them", "their", "but", "not", "so",
+    ],
+    "de": [
+        "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "und", "oder",
+        "in", "im", "an", "am", "auf", "aus", "bei", "mit", "nach", "von", "vom", "zu", "zum", "zur", "für", "ist",
+        "sind", "es", "sie", "wir", "ihr", "ich", "du", "er", "wie", "wo", "was", "nicht", "auch", "aber", "unser",
+        "unsere", "euch", "uns",
+    ],
+}
 
 #: Sets of words of which each finds the others.
 SYNONYM_SETS = {
@@ -80,9 +84,33 @@ LANGUAGES = ["fr", "en", "de"]
 PROBES = [
     r"\b(?:union\s+(?:all\s+)?select|insert\s+into|drop\s+table|information_schema|waitfor\s+delay|xp_cmdshell|dbms_pipe)\b",
     r"\b(?:sleep|pg_sleep|benchmark|md5|sha1|concat|char|chr|extractvalue|updatexml|load_file|print|eval|exec|system|phpinfo|base64_decode|sysdate|now)\(",
-    r"@@[a-z]", r"\$\{", r"\{\{", r"<\?", r"\bjndi:", r"/etc/(?:passwd|hosts|shadow)", r"win\.ini", "web-inf", r"\.\.[/\\]",
-    r"bxss\.me", r"\.acu/", "vulnweb", "acunetix", "burpcollaborator", "oastify", r"interact\.sh", r"\boast\.[a-z]",
-    "dnslog", "nslookup", r"response\.write",
+    r"@@[a-z]", r"\$\{", r"\{\{", r"<\?", r"\bjndi:", r"/etc/(?:passwd|hosts|shadow)", r"win\.ini", r"web-inf", r"\.\.[/\\]",
+    r"bxss\.me", r"\.acu/", r"vulnweb", r"acunetix", r"burpcollaborator", r"oastify", r"interact\.sh", r"\boast\.[a-z]", r"dnslog", r"nslookup", r"response\.write",
     r"\b(?:and|or|xor)\s+\d[\d\s+*-]*[=<>]",
 ]
+
+#: Other marks of a query that no visitor types.
+JUNK_LETTERS = r"[\\<>{}$=;|^*@`\x00-\x1f\x7f]"
+BREAKER_RUN, BREAKER_BRACKET, BREAKER_QUOTE = r"[()'\"’,.]{4,}", r"[()]", r"['\"’]"
+JUNK_PATH = r"(?i)/(?:[a-z]{2}-[a-z]{2}|page/[0-9]+)(/|$)"
+JUNK_QUOTES, JUNK_CHARS = 2, 100
+GLUED_WORD = r"^(?U:\s*)(\p{L}{3,12})[()'\"’,.\\<>]"
+MAX_NEW_PER_DAY = 2000
+
+#: HTML elements that end a line, and those whose content nobody reads.
+BLOCK_TAGS = (
+    "p|div|section|article|aside|header|footer|blockquote|figure|figcaption|li|ul|ol|dl|dt|dd|table|thead|tbody|tr|td|th|"
+    "h[1-6]|pre|hr|details|summary"
+)
+UNSEEN_TAGS = "script|style|noscript|iframe|svg|template|object"
+UNMARKED_TAGS = "script|style|textarea|mark|title|noscript"
+
+#: Shapes of paths that lead to no article.
+FILE_PATH = r"\.(?!html?$)[a-z0-9]{1,6}$"
+SYSTEM_PATH = r"(^|/)(\.|wp-(admin|content|includes|json)(/|$))"
+PATH_BYTES, PATH_SEGMENTS = 200, 6
+
+#: Excerpts: characters of one, the fewest, and what may close a sentence that ends with one.
+EXCERPT_CHARS, EXCERPT_LEAST = 450, 60
+CLOSING = ".!?…)»\""
 # --- end of fixed values ----------------------------------------------------

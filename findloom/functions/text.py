@@ -30,11 +30,12 @@ def _marked_letters() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, special letters spelled out."""
+    """Lower case without accents, special letters spelled out. Plain ASCII, found by its length, only needs the case."""
     out = F.lower(text)
     for special, plain in lx.SPECIAL:
         out = F.replace(out, F.lit(special), F.lit(plain))
-    return F.regexp_replace(F.translate(out, *_marked_letters()), r"\p{Mn}+", "")
+    whole = F.regexp_replace(F.translate(out, *_marked_letters()), r"\p{Mn}+", "")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(whole)
 
 
 def normalize(text: Column) -> Column:
@@ -131,11 +132,16 @@ def quoted(query: Column) -> Column:
 
 
 def clean(query: Column) -> Column:
-    """A query as typed: tags out, blanks collapsed, at most 200 characters."""
+    """A decoded query as typed: tags out, blanks collapsed, at most 200 characters."""
     plain = F.regexp_replace(F.coalesce(query, F.lit("")), "<[^>]*>", "")
     return F.trim(F.left(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), F.lit(lx.MAX_QUERY_CHARS)))
 
 
+def parts(text: Column) -> Column:
+    """The text cut into words and what lies between them, in turn; joined again they are the text."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{WORD}|{NOT_WORD}"), 0)
+
+
 def synonym_rows(
     sets: dict[str, list[list[str]]] | None = None, one_way: dict[str, dict[str, list[str]]] | None = None
 ) -> list[tuple[str, str, str]]:

@@ -6,6 +6,12 @@ the highest strength (1-100) that any of its mentions has.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,36 +32,55 @@ def field_rows(posts: DataFrame, fields: dict[str, str | Column], extra: DataFra
     return rows.unionByName(extra.select(rows.columns)) if extra is not None else rows
 
 
-def build_terms(rows: DataFrame, stopwords: dict[str, list[str]] | None = None) -> DataFrame:
-    """Field rows to ``terms(doc_id, lang, term, <fields>)``.
+def build_terms(
+    rows: DataFrame, stopwords: dict[str, list[str]] | None = None, fields: list[str] | None = None
+) -> DataFrame:
+    """Field rows to ``terms(doc_id, lang, term, <fields>)``; only the given fields, if any are, can hold something.
 
     Text of the ``concept`` field that starts with ``#`` is a term as it is;
-    all else is split into words. One shuffle, after counting on the map side.
+    all else is split into words. The texts, not their words, are shuffled, by
+    document, so that a document's words are counted where they are made.
     """
-    lang = F.col("lang")
-    whole = (F.col("field") == "concept") & F.col("text").startswith("#")
-    # A text is folded as a whole, so its words keep their places in both spellings.
-    once = F.transform(tx.words(tx.fold(F.col("text"))), lambda w: F.struct(w.alias("norm"), F.lit(None).cast("string").alias("spelled")))
-    twice = F.arrays_zip(tx.words(tx.fold(F.col("text"))).alias("norm"), tx.words(tx.german(F.col("text"))).alias("spelled"))
-    asis = F.array(F.struct(F.col("text").alias("norm"), F.lit(None).cast("string").alias("spelled")))
-    spelled = F.when(whole, asis).when(lang == "de", twice).otherwise(once)
-    words = rows.select("doc_id", "lang", "field", "strength", whole.alias("whole"), F.inline(spelled))
+    lang, raw = F.col("lang"), F.col("raw")
+    fields = lx.FIELDS if fields is None else fields
+    whole = (F.col("field") == "concept") & F.col("text").startswith("#") if "concept" in fields else F.lit(False)
+    split = F.when(whole, F.array("text")).otherwise(tx.words(F.col("text"))) if "concept" in fields else tx.words(F.col("text"))
+    words = rows.repartition("doc_id").select("doc_id", "lang", "field", "strength", whole.alias("whole"), F.explode(split).alias("raw"))
+    words = words.withColumn("norm", F.when(F.col("whole"), raw).otherwise(tx.fold(raw)))
     kept = words.where(F.col("whole") | tx.indexable(F.col("norm"), lang, stopwords))
+    spelled = F.when((lang == "de") & ~F.col("whole") & raw.rlike("[äöüÄÖÜ]"), tx.german(raw))
+    kept = kept.withColumn("spelled", spelled)
     second = (F.col("spelled") != F.col("norm")) & (F.octet_length("spelled") <= lx.MAX_TERM_BYTES)
     both = F.when(second, F.array("norm", "spelled")).otherwise(F.array("norm"))
     mentions = kept.select("doc_id", "lang", "field", "strength", F.explode(both).alias("term"))
     found = []
     for field in lx.COUNT_FIELDS:
-        found.append(F.least(F.count_if(F.col("field") == field), F.lit(65535)).cast("int").alias(field))
+        count = F.least(F.count_if(F.col("field") == field), F.lit(65535)) if field in fields else F.first(F.lit(0))
+        found.append(count.cast("int").alias(field))
     for field in lx.STRENGTH_FIELDS:
         strength = F.greatest(F.least(F.col("strength"), F.lit(100)), F.lit(1))
-        found.append(
-            F.coalesce(F.max(F.when((F.col("field") == field) & (F.col("strength") > 0), strength)), F.lit(0)).cast("int").alias(field)
-        )
-    any_field = " or ".join(f"{f} > 0" for f in lx.FIELDS)
+        most = F.coalesce(F.max(F.when((F.col("field") == field) & (F.col("strength") > 0), strength)), F.lit(0))
+        found.append((most if field in fields else F.first(F.lit(0))).cast("int").alias(field))
+    any_field = " or ".join(f"{f} > 0" for f in fields)
     return mentions.groupBy("doc_id", "lang", "term").agg(*found).where(any_field)
 
 
+def vocabulary_of(terms: DataFrame) -> DataFrame:
+    """``(lang, term, head, docs, strong)``: each term with its first letters, its documents, and those that have it in
+    a title, place, hub or guide."""
+    strong = F.count_if((F.col("title") > 0) | (F.col("place") > 0) | (F.col("hub") > 0) | (F.col("guide") > 0))
+    known = terms.groupBy("lang", "term").agg(F.count("*").alias("docs"), strong.alias("strong"))
+    return known.withColumn("head", F.left("term", F.lit(lx.MIN_PREFIX)))
+
+
+def rules_version(
+    stopwords: dict[str, list[str]] | None = None, taxonomies: tuple[str, ...] = (), custom_fields: tuple[str, ...] = ()
+) -> str:
+    """A hash of what an index was built by; documents indexed under another one are stale."""
+    rules = [lx.STOPWORDS if stopwords is None else stopwords, sorted(taxonomies), sorted(custom_fields)]
+    return hashlib.md5(json.dumps(rules, sort_keys=True).encode()).hexdigest()
+
+
 def build_docs(posts: DataFrame) -> DataFrame:
     """``posts`` with ``title_norm``, a boost within [0.1, 10], and a source hash."""
     boost = F.least(F.greatest(F.coalesce(F.col("boost"), F.lit(1.0)), F.lit(0.1)), F.lit(10.0))
@@ -68,20 +93,85 @@ def build_docs(posts: DataFrame) -> DataFrame:
     )
 
 
-def write_index(terms: DataFrame, docs: DataFrame, path: str) -> None:
-    """The index as Parquet, by language; terms are range-partitioned and sorted, so probes skip row groups."""
-    terms.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").write.mode("overwrite").partitionBy(
-        "lang"
-    ).parquet(f"{path}/terms")
-    docs.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/docs")
+_VERSIONS = "number long, folder string, rules string"
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """The published versions of an index: ``(number, folder, rules)``."""
+    try:
+        return spark.read.schema(_VERSIONS).parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _VERSIONS)
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(terms, docs)`` of a written index."""
-    return tuple(
-        spark.read.option("mergeSchema", "false").parquet(f"{path}/{name}").withColumn("lang", F.col("lang").cast("string"))
-        for name in ("terms", "docs")
+def publish_index(terms: DataFrame, docs: DataFrame, path: str, rules: str = "") -> int:
+    """The index as a new version, which readers see once it is whole: its files go to a folder of their own, then one
+    row names it. Readers of older versions are not disturbed.
+
+    Terms are range-partitioned and sorted by language and term, the vocabulary
+    by language and first letters, so probes skip row groups.
+    """
+    spark = terms.sparkSession
+    number = (versions(spark, path).agg(F.max("number")).first()[0] or 0) + 1
+    folder = f"v{number}-{uuid.uuid4().hex}"
+    terms.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").write.partitionBy("lang").parquet(f"{path}/{folder}/terms")
+    docs.write.partitionBy("lang").parquet(f"{path}/{folder}/docs")
+    known = vocabulary_of(_read(spark, f"{path}/{folder}/terms"))
+    known.repartitionByRange("lang", "head", "term").sortWithinPartitions("lang", "head", "term").write.partitionBy("lang").parquet(
+        f"{path}/{folder}/vocabulary"
     )
+    spark.createDataFrame([(number, folder, rules)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return number
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "false").parquet(path).withColumn("lang", F.col("lang").cast("string"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A published index; ``vocabulary`` has a row per term."""
+
+    terms: DataFrame
+    docs: DataFrame
+    vocabulary: DataFrame
+
+
+def read_index(spark: SparkSession, path: str, number: int | None = None) -> Index:
+    """The newest published version, or the given one."""
+    known = versions(spark, path)
+    row = (known if number is None else known.where(F.col("number") == number)).orderBy(F.desc("number")).first()
+    if row is None:
+        raise ValueError(f"no such published index: {path}")
+    return Index(*(_read(spark, f"{path}/{row['folder']}/{name}") for name in ("terms", "docs", "vocabulary")))
+
+
+def named_rows(names: DataFrame, field: str) -> DataFrame:
+    """``names(doc_id, lang, name)`` (tags, photo texts, guide places, custom values) as field rows."""
+    return names.where("name is not null").select("doc_id", "lang", F.lit(field).alias("field"), F.col("name").alias("text"), F.lit(100).alias("strength"))
+
+
+def taxonomy_rows(tags: DataFrame, places: DataFrame) -> DataFrame:
+    """``tags(doc_id, lang, tag_id, name)`` as field rows, without those that are ``places(doc_id, tag_id)``."""
+    return named_rows(tags.join(places.select("doc_id", "tag_id").distinct(), ["doc_id", "tag_id"], "left_anti"), "taxonomy")
+
+
+def concept_rows(concepts: DataFrame) -> DataFrame:
+    """``concepts(doc_id, lang, slug, confidence)`` as field rows: the slug as a term, its confidence in percent."""
+    strength = F.greatest(F.least(F.round(F.col("confidence") * 100).cast("int"), F.lit(100)), F.lit(1))
+    return concepts.select("doc_id", "lang", F.lit("concept").alias("field"), F.concat(F.lit("#"), "slug").alias("text"), strength.alias("strength"))
+
+
+def hub_rows(closure: DataFrame, titles: DataFrame) -> DataFrame:
+    """``hub_closure`` with ``titles(doc_id, lang, title)`` as field rows: a hub's title in its own language."""
+    own = titles.select("doc_id", "lang")
+    named = titles.select(F.col("doc_id").alias("hub"), "lang", F.col("title").alias("text"))
+    return (
+        closure.where("depth > 0").join(own, "doc_id").join(named, ["hub", "lang"])
+        .select("doc_id", "lang", F.lit("hub").alias("field"), "text", F.col("strength").cast("int").alias("strength"))
+    )
 
 
 def place_rows(places: DataFrame) -> DataFrame:

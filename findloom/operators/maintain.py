@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..sources.storage import stored
+from .index import Index
 
 
 def eligible(posts: DataFrame, noindex: DataFrame, post_types: list[str]) -> DataFrame:
@@ -65,6 +67,40 @@ def apply_plan(plan: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
     return old.join(keep, "doc_id", "left_semi").unionByName(new.join(fresh, "doc_id", "left_semi"))
 
 
+def refresh(index: Index, terms: DataFrame, docs: DataFrame, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A new build against a published index: ``(plan, terms, docs)`` of the version to publish.
+
+    ``errors(doc_id, error)`` lists documents that could not be read: they keep
+    their old terms and are marked as failed. Documents that are gone, and terms
+    without a document, go.
+    """
+    none = docs.sparkSession.createDataFrame([], "doc_id long, error string")
+    errors = none if errors is None else errors
+    old = index.docs.withColumn("status", F.lit("indexed")) if "status" not in index.docs.columns else index.docs
+    new = docs.select("doc_id", "source_hash").join(errors, "doc_id", "full_outer").select("doc_id", "source_hash", "error")
+    plan = stored(index_plan(new, old.select("doc_id", "source_hash", "status")), "plan")
+    kept = apply_plan(plan, docs.withColumn("status", F.lit("indexed")), old.select(*docs.columns, "status"))
+    failed = plan.where("action = 'failed'").select("doc_id", F.lit(True).alias("failed"))
+    marked = kept.join(failed, "doc_id", "left").withColumn("status", F.when(F.col("failed"), "failed").otherwise(F.col("status")))
+    return plan, apply_plan(plan, terms, index.terms.select(terms.columns)), marked.drop("failed")
+
+
+def orphan_terms(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """Terms whose document is not there."""
+    return terms.join(docs.select("doc_id"), "doc_id", "left_anti")
+
+
+def failures(docs: DataFrame) -> DataFrame:
+    """Documents marked as failed."""
+    return docs.where("status = 'failed'")
+
+
+def whole_summary(found: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: counts by state, the index' sizes, and documents by language."""
+    by_lang = docs.groupBy("lang").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n")))).alias("by_lang"))
+    return status_summary(found).join(index_stats(terms), F.lit(True)).join(by_lang, F.lit(True))  # a row each
+
+
 def index_stats(terms: DataFrame) -> DataFrame:
     """Rows, distinct terms, and rows per field."""
     return terms.agg(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import decode as dc
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..sources.storage import cut
@@ -21,10 +22,11 @@ def parse(
 ) -> tuple[DataFrame, DataFrame]:
     """``(q, qv)`` with word, plural and synonym variants; the first of these kinds that makes a term wins.
 
-    Both are computed at once and kept: they are small beside an index and every later step uses them.
+    The words of the queries are computed at once and kept: they are small beside an index.
     """
     spark = queries.sparkSession
-    cleaned = queries.select("qid", "lang", tx.clean(F.col("query")).alias("query"))
+    read = dc.with_decoded(queries.select("qid", "lang", "query"), "query", "read")
+    cleaned = read.select("qid", "lang", tx.clean(F.col("read.text")).alias("query"))
     lang = F.col("lang")
     found = cleaned.select("qid", "lang", F.posexplode(tx.words(F.col("query"))).alias("pos", "raw"))
     found = found.withColumn("token", tx.fold(F.col("raw"))).where(tx.indexable(F.col("token"), lang, stopwords))
@@ -52,21 +54,23 @@ def parse(
         *keys, "term", F.get(F.array(*(F.lit(lx.VARIANTS[k]) for k in kinds)), F.col("prio")).alias("weight"),
         F.get(F.array(*map(F.lit, kinds)), F.col("prio")).alias("kind"),
     )
-    return cut(q), cut(qv)
+    return q, qv
 
 
-def expand_prefixes(qv: DataFrame, terms: DataFrame) -> DataFrame:
+def expand_prefixes(qv: DataFrame, terms: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """``qv`` with up to 30 longer terms of the index per word of four letters or more, in term order.
 
     An equi-join on language and the first four characters finds candidates;
     the cut to 30 comes before variants that exist already are left out.
+    ``vocabulary`` (of the index) saves making one of all terms.
     """
     groups = qv.select("qid", "lang", "g", "token", "raw").distinct()
     able = groups.where((F.char_length("token") >= lx.MIN_PREFIX) & ~F.col("token").rlike("^[0-9]+$"))
     head = lambda c: F.left(F.col(c), F.lit(lx.MIN_PREFIX))
-    vocabulary = terms.select("lang", "term").distinct().withColumn("head", head("term"))
+    if vocabulary is None:
+        vocabulary = terms.select("lang", "term").distinct().withColumn("head", head("term"))
     longer = (
-        able.withColumn("head", head("token")).join(vocabulary, ["lang", "head"])
+        able.withColumn("head", head("token")).join(vocabulary.select("lang", "head", "term"), ["lang", "head"])
         .where(F.col("term").startswith(F.col("token")) & (F.col("term") != F.col("token")))
     )
     order = Window.partitionBy("qid", "g").orderBy("term")
@@ -101,6 +105,25 @@ def attach_concepts(
     return qv.unionByName(more), found
 
 
+def highlight_sets(qv: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """``(qid, terms, prefixes)``: what to mark in texts found by a query.
+
+    The terms of its variants but for concepts, with ``matched(qid, terms)``
+    those that ranking found, and its words that prefixes are looked up for.
+    """
+    word = F.when((F.char_length("token") >= lx.MIN_PREFIX) & ~F.col("token").rlike("^[0-9]+$"), F.col("token"))
+    own = qv.groupBy("qid").agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind").isin("word", "plural", "synonym"), F.col("term")))).alias("terms"),
+        F.array_sort(F.collect_set(word)).alias("prefixes"),
+    )
+    if matched is None:
+        return own
+    more = matched.select("qid", F.explode("terms").alias("term")).where(~F.col("term").startswith("#"))
+    found = more.groupBy("qid").agg(F.collect_set("term").alias("more"))
+    both = F.array_sort(F.array_union("terms", F.coalesce("more", F.array().cast("array<string>"))))
+    return own.join(found, "qid", "left").select("qid", both.alias("terms"), "prefixes")
+
+
 def exact_concepts(q: DataFrame, qv: DataFrame, found: DataFrame) -> DataFrame:
     """``(qid, slug)``: the concept that covers all of a query's words; none for quoted phrases."""
     covered = qv.where("kind = 'concept'").groupBy("qid", F.substring("term", 2, 1000).alias("slug")).agg(

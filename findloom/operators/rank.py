@@ -11,6 +11,7 @@ do not depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,14 +19,25 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..sources.storage import stored
 
 
 @dataclass(frozen=True)
 class Options:
+    """``score`` changes the score of a row, ``(score, doc_id) -> score``; ``results`` changes or drops rows of the
+    ranking ``(qid, doc_id, score, ...)``, which is sorted again after it."""
+
     weights: dict[str, float] = field(default_factory=dict)
     post_types: tuple[str, ...] | None = None
     fallback: bool = True
     stopwords: dict[str, list[str]] | None = None
+    score: Callable[[Column, Column], Column] | None = None
+    results: Callable[[DataFrame], DataFrame] | None = None
+
+    def of_type(self, docs: DataFrame) -> DataFrame:
+        """Indexed documents of the wanted types; none given means all."""
+        live = docs.where("status = 'indexed'") if "status" in docs.columns else docs
+        return live.where(F.col("post_type").isin(*self.post_types)) if self.post_types else live
 
     def weight(self, name: str) -> float:
         return max(0.0, float((lx.WEIGHTS | self.weights)[name]))
@@ -78,7 +90,7 @@ def rank(
     boost, post_date`` and, optionally, ``status``.
     """
     options = options or Options()
-    best = contributions(qv, terms, options)
+    best = stored(contributions(qv, terms, options), "best")  # of what follows, three aggregates read it
     live = docs.where("status = 'indexed'") if "status" in docs.columns else docs
     counts = live.groupBy("lang").agg(F.count("*").alias("n_docs"))
     df = best.groupBy("qid", "g").agg(F.count("*").alias("df"))
@@ -120,24 +132,22 @@ def rank(
         .otherwise(n).cast("int").alias("required"),
     )
     kept = scored.join(modes, "qid").where(F.col("matched") >= F.col("required"))
-    if options.post_types is not None:
-        live = live.where(F.col("post_type").isin(*options.post_types) if options.post_types else F.lit(False))
+    live = options.of_type(docs)
     meta = live.select("doc_id", "lang", "title_norm", F.col("boost").cast("double").alias("boost"), "post_date")
     kept = kept.join(meta, ["doc_id", "lang"]).join(q.select("qid", "normalized", "tokens", "phrases"), "qid")
     coverage = F.col("matched") / n
-    score = F.col("base") * F.when(F.col("fallback") == "or", coverage * coverage).otherwise(1.0)
+    part = F.when(F.col("fallback") == "or", coverage * coverage).otherwise(1.0)
+    score = F.col("base") * part
     lang, title_norm = F.col("lang"), F.col("title_norm")
     plain = tx.without_stopwords(F.col("tokens"), lang, options.stopwords)
     plain_title = tx.without_stopwords(F.split("title_norm", " "), lang, options.stopwords)
     multi = F.size("tokens") >= 2
     exact = (title_norm != "") & ((title_norm == F.col("normalized")) | ((plain != "") & (plain_title == plain)))
-    bonus = (
-        F.when(exact, options.weight("title_exact"))
-        .when(multi & tx.has_phrase(title_norm, F.col("normalized")), options.weight("title_phrase"))
-        .otherwise(0.0)
-    )
+    in_title = multi & tx.has_phrase(title_norm, F.col("normalized"))
+    bonus = F.when(exact, options.weight("title_exact")).when(in_title, options.weight("title_phrase")).otherwise(0.0)
     all_titled = F.when((n >= 2) & (F.col("matched") == n) & F.col("titled"), options.weight("title_all")).otherwise(0.0)
-    kept = kept.withColumn("score", score + bonus + all_titled)
+    kept = kept.withColumn("part", part).withColumn("title_bonus", bonus).withColumn("all_titled", all_titled)
+    kept = kept.withColumn("score", score + F.col("title_bonus") + F.col("all_titled")).withColumn("phrase", F.lit(0.0))
 
     # The phrase in the text: for the best candidates only, whose text is joined now.
     is_quoted = F.size("phrases") > 0
@@ -150,21 +160,46 @@ def rank(
     near = placed.where(looked).join(bodies, ["doc_id", "lang"]).withColumn("body", text)
     near = near.where(F.forall("phrases", lambda p: tx.has_phrase(F.col("title_norm"), p) | tx.has_phrase(F.col("body"), p)))
     phrase = F.when(multi & tx.has_phrase(F.col("body"), F.col("normalized")), options.weight("content_phrase"))
-    near = near.withColumn("score", F.col("score") + F.coalesce(phrase, F.lit(0.0))).drop("content", "excerpt", "body")
+    near = near.withColumn("phrase", F.coalesce(phrase, F.lit(0.0))).withColumn("score", F.col("score") + F.col("phrase"))
     far = placed.where(~looked & ~is_quoted)
-    final = near.unionByName(far).withColumn("score", F.round(F.col("score") * F.col("boost"), 2))
+    boosted = F.col("score") * F.col("boost")
+    boosted = options.score(boosted, F.col("doc_id")) if options.score else boosted
+    final = near.drop("content", "excerpt", "body").unionByName(far).withColumn("score", boosted).where("score > 0")
+    final = final.withColumn("score", rounded(F.col("score")))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("post_date"), F.desc("doc_id"))
     ranked = (
-        final.where("score > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= lx.MAX_RESULTS)
+        final.withColumn("place", F.row_number().over(order)).where(F.col("place") <= lx.MAX_RESULTS)
         .select(
             "qid", "lang", "doc_id", "place", "score", "post_date", "fallback", "matched", "fields",
-            ((F.col("matched") == n) & F.col("guided")).alias("about"),
+            ((F.col("matched") == n) & F.col("guided")).alias("about"), "n_groups", "part", "title_bonus", "all_titled", "phrase", "boost",
         )
     )
+    if options.results:
+        changed = options.results(ranked).withColumn("score", rounded(F.col("score")))
+        ranked = changed.withColumn("place", F.row_number().over(order))
     missing = rare.where("df = 0").select("qid", "g", "raw")
     return {"ranked": ranked, "missing": missing, "modes": modes, "groups": rare}
 
 
+def matched_terms(qv: DataFrame, terms: DataFrame, results: DataFrame, options: Options | None = None) -> DataFrame:
+    """``(qid, doc_id, terms, concepts)`` of ``results(qid, doc_id)``: the variants that won in some field."""
+    options = options or Options()
+    wanted = terms.join(results.select("doc_id").distinct(), "doc_id", "left_semi")
+    best = contributions(qv, wanted, options, winners=True).join(results.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+    won = F.array_compact(F.array(*(F.col(f"w_{f}.term") for f in lx.FIELDS if f"w_{f}" in best.columns)))
+    found = best.groupBy("qid", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(won)))).alias("all"))
+    concept = lambda t: t.startswith("#")
+    return found.select(
+        "qid", "doc_id", F.filter("all", lambda t: ~concept(t)).alias("terms"),
+        F.transform(F.filter("all", concept), lambda t: F.substring(t, 2, 1000)).alias("concepts"),
+    )
+
+
+def rounded(score: Column) -> Column:
+    """Two decimals; what binary fractions leave just below a half is rounded up like the half it stands for."""
+    return F.round(score.cast("decimal(18,6)"), 2).cast("double")
+
+
 def explain(best: DataFrame, groups: DataFrame, options: Options | None = None) -> DataFrame:
     """``(qid, doc_id, g, field, term, kind, value, points)`` of ``contributions(..., winners=True)``."""
     options = options or Options()
@@ -174,27 +209,59 @@ def explain(best: DataFrame, groups: DataFrame, options: Options | None = None)
         F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("gain"), F.col(f"w_{f}").alias("won")) for f in fields))),
     ).where("gain is not null")
     return rows.join(groups.select("qid", "g", "rarity"), ["qid", "g"]).select(
-        "qid", "doc_id", "g", "field", "won.term", "won.kind", "won.value",
-        F.round(F.col("gain") * F.col("rarity"), 2).alias("points"),
+        "qid", "doc_id", "g", "field", "won.term", "won.kind", "won.value", rounded(F.col("gain") * F.col("rarity")).alias("points"),
     )
 
 
-def apply_pins(ranked: DataFrame, q: DataFrame, pins: DataFrame, docs: DataFrame) -> DataFrame:
+def explain_whole(ranked: DataFrame) -> DataFrame:
+    """``(qid, doc_id, what, factor, points)`` of what moves a document beyond its words: a partial match, the title,
+    the phrase in the text, its boost and, in ``apply_pins``' results, a best bet."""
+    none = F.lit(None).cast("double")
+    row = lambda when, what, factor, points: F.when(
+        when, F.struct(F.lit(what).alias("what"), factor.alias("factor"), points.alias("points"))
+    )
+    plus = lambda name, what: row(F.col(name) > 0, what, none, F.col(name).cast("double"))
+    rows = [
+        row(F.col("fallback") == "or", "partial match", F.col("part"), none), plus("title_bonus", "title"),
+        plus("all_titled", "every word in the title"), plus("phrase", "phrase in the text"),
+        row(F.col("boost") != 1, "document boost", F.col("boost"), none),
+    ]
+    if "pinned" in ranked.columns:
+        rows.append(row(F.col("pinned"), "best bet", none, none))
+    return ranked.select("qid", "doc_id", F.inline(F.array_compact(F.array(*rows))))
+
+
+def read_pins(lines: DataFrame) -> DataFrame:
+    """``lines(line, text)``, each like ``query = 12, 7``, to ``(line, query, norm, doc_id, pos)``: the documents pinned
+    for a query, in written order. Lines without a query or a number are left out."""
+    split = lines.where(F.contains("text", F.lit("=")))
+    query = tx.clean(F.regexp_extract("text", r"^([^=]*)=", 1))
+    ids = F.transform(F.regexp_extract_all(F.regexp_extract("text", r"(?s)=(.*)$", 1), F.lit(r"(?<![^\s,;])-?([0-9]{1,18})"), 1), lambda i: i.cast("long"))
+    named = split.select("line", query.alias("query"), F.array_distinct(F.filter(ids, lambda i: i > 0)).alias("ids"))
+    named = named.withColumn("norm", tx.normalize(F.col("query"))).where("norm <> ''")
+    return named.select("line", "query", "norm", F.posexplode("ids").alias("pos", "doc_id"))
+
+
+def apply_pins(
+    ranked: DataFrame, q: DataFrame, pins: DataFrame, docs: DataFrame, options: Options | None = None
+) -> DataFrame:
     """``pins(line, query, doc_id, pos)`` before the ranking, in written order, for identical normalized queries.
 
-    A pin outside the language or the index is dropped; one that the ranking
-    did not find has score 0. Adds ``pinned`` and renumbers ``place``.
+    A pin outside the language, the index or the wanted types is dropped; one
+    that the ranking did not find has score 0. Where only pins remain there is
+    no fallback any more. Adds ``pinned`` and renumbers ``place``.
     """
-    wanted = q.join(pins.withColumn("normalized", tx.normalize(F.col("query"))).drop("query"), "normalized")
-    known = wanted.join(docs.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
-    first = known.groupBy("qid", "lang", "doc_id").agg(F.min(F.struct("line", "pos")).alias("pin"))
+    wanted = q.where("normalized <> ''").join(pins.withColumn("normalized", tx.normalize(F.col("query"))).drop("query"), "normalized")
+    able = (options or Options()).of_type(docs).select("doc_id", "lang")
+    first = wanted.join(able, ["doc_id", "lang"], "left_semi").groupBy("qid", "lang", "doc_id").agg(F.min(F.struct("line", "pos")).alias("pin"))
     both = ranked.join(first, ["qid", "lang", "doc_id"], "full_outer")
     order = Window.partitionBy("qid").orderBy(F.col("pin").isNull(), "pin", "place")
-    return both.select(
-        "qid", "lang", "doc_id", F.row_number().over(order).alias("place"), F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce("about", F.lit(False)).alias("about"), F.coalesce("fallback", F.lit("none")).alias("fallback"),
-        F.col("pin").isNotNull().alias("pinned"), "fields",
-    )
+    others = F.count_if(F.col("pin").isNull()).over(Window.partitionBy("qid")) > 0
+    known = {
+        "place": F.row_number().over(order), "score": F.coalesce("score", F.lit(0.0)), "about": F.coalesce("about", F.lit(False)),
+        "fallback": F.when(others, F.coalesce("fallback", F.lit("none"))).otherwise("none"),
+    }
+    return both.select(*(known[c].alias(c) if c in known else c for c in ranked.columns), F.col("pin").isNotNull().alias("pinned"))
 
 
 def split_guides(results: DataFrame, hubs: DataFrame, most: int) -> DataFrame:

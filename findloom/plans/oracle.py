@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..operators.present import TEMPLATE
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
@@ -81,15 +82,17 @@ field_rows as (
 )"""
 
 
+ASKED = f"array_to_string(list_slice({words('text')}, 1, item_id % 3 + 1), ' ')"
+
+
+def _all_asked(quotes: bool) -> str:
+    text = f"case when item_id % 5 = 1 then '\"' || {ASKED} || '\"' else {ASKED} end" if quotes else ASKED
+    return f"""select item_id * 4 + k as qid, ['de', 'en', 'es', 'fr'][k + 1] as lang, {text} as query
+      from benchmark, (select unnest([0, 1, 2, 3]) as k)"""
+
+
 def _queries(quotes: bool) -> str:
-    text = f"array_to_string(list_slice({words('text')}, 1, item_id % 3 + 1), ' ')"
-    if quotes:
-        text = f"case when item_id % 5 = 1 then '\"' || {text} || '\"' else {text} end"
-    return f"""
-asked as (
-  select item_id * 4 + k as qid, ['de', 'en', 'es', 'fr'][k + 1] as lang, {text} as query
-  from benchmark, (select unnest([0, 1, 2, 3]) as k)
-)"""
+    return f"asked as ({_all_asked(quotes)})"
 
 
 def _singulars() -> str:
@@ -148,7 +151,7 @@ vocabulary as (select distinct lang, term from terms
 )"""
 
 
-def _ranked(fallback: bool, quotes: bool) -> str:
+def _ranked(fallback: bool, quotes: bool, asked: str | None = None) -> str:
     f = "true" if fallback else "false"
 
     def points(name, weight, strength=False):
@@ -156,7 +159,7 @@ def _ranked(fallback: bool, quotes: bool) -> str:
         return f"max(case when t.{name} > 0 then {weight}::double * {amount.replace(name, 't.' + name)} * v.weight end) as {name}"
 
     return f"""
-with {POSTS}, {TERMS}, {_queries(quotes)}, {PARSED}, {PREFIXED},
+with {POSTS}, {TERMS}, {asked or _queries(quotes)}, {PARSED}, {PREFIXED},
 best as (
   select v.qid, v.lang, t.doc_id, v.g, {points('title', 10)}, {points('content', 3)}, {points('taxonomy', 2)},
     {points('place', 7, True)}
@@ -185,26 +188,28 @@ best as (
     array_to_string(list_filter({tokens('p.title')}, lambda t: {indexable('t', 's.lang')}), ' ') as plain_title
   from scored s join modes m using (qid) join posts p on p.doc_id = s.doc_id and p.lang = s.lang join q on q.qid = s.qid
   where s.matched >= m.required
+), bonuses as (
+  select *, case when title_norm <> '' and (title_norm = normalized or (plain <> '' and plain_title = plain)) then 20.0
+           when len(tokens) >= 2 and {phrase_in('title_norm', 'normalized')} then 15.0 else 0.0 end::double as title_bonus,
+    case when n >= 2 and matched = n and titled then 6.0 else 0.0 end::double as all_titled from kept
 ), bonused as (
   select *, base * case when fallback = 'or' then (matched::double / n) * (matched::double / n) else 1.0 end
-    + case when title_norm <> '' and (title_norm = normalized or (plain <> '' and plain_title = plain)) then 20.0
-           when len(tokens) >= 2 and {phrase_in('title_norm', 'normalized')} then 15.0 else 0.0 end
-    + case when n >= 2 and matched = n and titled then 6.0 else 0.0 end as score0
-  from kept
+    + title_bonus + all_titled as score0
+  from bonuses
 ), placed as (select *, row_number() over (partition by qid order by score0 desc, doc_id) as nth from bonused
 ), looked as (
   select *, (len(phrases) > 0 or len(tokens) >= 2) and nth <= case when len(phrases) > 0 then 300 else 50 end as near,
     case when (len(phrases) > 0 or len(tokens) >= 2) and nth <= 300 then {normalize('content')} end as body from placed
 ), phrased as (
-  select *, score0 + case when near and len(tokens) >= 2 and {phrase_in('body', 'normalized')} then 4.0 else 0.0 end as score1
-  from looked
+  select *, score0 + phrase as score1 from (
+    select *, case when near and len(tokens) >= 2 and {phrase_in('body', 'normalized')} then 4.0 else 0.0 end::double as phrase from looked)
   where (near and len(list_filter(phrases, lambda p: not ({phrase_in('title_norm', 'p')} or {phrase_in('body', 'p')}))) = 0)
      or (not near and len(phrases) = 0)
 ), ranked as (
-  select qid, lang, doc_id, round(score1 * boost, 2) as score, fallback, matched,
-    (matched = n and titled) as about, post_date,
-    row_number() over (partition by qid order by round(score1 * boost, 2) desc, post_date desc, doc_id desc) as place
-  from phrased where round(score1 * boost, 2) > 0 qualify place <= 500
+  select qid, lang, doc_id, score, fallback, matched, (matched = n and titled) as about, post_date, n, boost, title_bonus, all_titled,
+    phrase, row_number() over (partition by qid order by score desc, post_date desc, doc_id desc) as place
+  from (select *, round(cast(score1 * boost as decimal(18,6)), 2)::double as score from phrased where score1 * boost > 0)
+  qualify place <= 500
 )"""
 
 
@@ -230,7 +235,7 @@ searches as (
   select query, lang, day, post_id, source, count(*) as clicks, sum(rank)::bigint as rank_total from fine group by all
 )"""
 
-AS_OF = "2024-01-30"
+AS_OF, NEXT_YEAR = "2024-01-30", "2025-01-15"
 _RECENT = f"day between date '{AS_OF}' - 30 and date '{AS_OF}'"
 _PROVEN = f"""
 proven as (
@@ -243,9 +248,9 @@ proven as (
 )"""
 
 
-def _report(where: str) -> str:
-    return f"""with {EVENTS} select query, lang, sum(searches)::bigint as searches, max(results) as results,
-      max(fallback) as fallback, max(day) as last_day from log where {_RECENT} group by 1, 2 having {where}
+def _report(where: str, thin: str = "") -> str:
+    return f"""with {EVENTS}{thin} select query, lang, sum(searches)::bigint as searches, max(results) as results,
+      max(fallback) as fallback, max(day) as last_day from {"thin" if thin else "log"} where {_RECENT} group by 1, 2 having {where}
       order by searches desc, last_day desc, query, lang limit 50"""
 
 
@@ -259,7 +264,7 @@ def _junk() -> str:
 
 def _page_text() -> str:
     out = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in ("script", "style", "noscript", "iframe", "svg", "template", "object"):
+    for tag in lx.UNSEEN_TAGS.split("|"):
         out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
     return out
 
@@ -271,10 +276,10 @@ def _entities(x: str) -> str:
 _LINE = r"trim(regexp_replace(x, '[\s\x{a0}\x{200b}]+', ' ', 'g'))"
 
 
-def _path_words() -> str:
+def _path_words(source: str = "pages") -> str:
     skip = ", ".join(f"'{s}'" for s in lx.SKIP_SEGMENTS)
     return rf"""with raw as (
-      select page_id, lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)) as path from pages
+      select page_id, lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)) as path from {source}
     ), parts as (select *, list_filter(string_split(path, '/'), lambda s: s <> '') as parts from raw
     ), useful as (
       select *, list_filter(case when parts[1] in ('fr', 'en', 'de') then parts[2:] else parts end,
@@ -291,9 +296,149 @@ def _path_words() -> str:
       then array_to_string(list_filter(found, lambda w, i: list_position(found, w) = i), ' ') else '' end as words from found"""
 
 
+def _escaped(x: str) -> str:
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\'\'", "&#039;")):
+        x = f"replace({x}, '{plain}', '{safe}')"
+    return x
+
+
+def _hit(p: str, lang: str) -> str:
+    """Whether a word is one of ``terms`` or begins with one of ``prefixes``."""
+    return f"""(length({fold(p)}) >= 2 and (list_contains(terms, {fold(p)}) or len(list_filter(prefixes, lambda b: starts_with({fold(p)}, b))) > 0
+      or ({lang} = 'de' and list_contains(terms, {german(p)}) and not {stopword(fold(p), "'de'")})))"""
+
+
+def marked(text: str, lang: str) -> str:
+    """The text with its matching words marked."""
+    before, after = TEMPLATE.split("%s")
+    parts = WORD + "|" + r"[^\p{L}\p{M}\p{N}]+"
+    return f"""array_to_string(list_transform(regexp_extract_all({text}, '{parts}'), lambda p:
+      case when regexp_matches(p, '^{WORD}') and {_hit('p', lang)} then '{before}' || {_escaped('p')} || '{after}' else {_escaped('p')} end), '')"""
+
+
+MARKS = """
+marks as (
+  select qid, list_sort(list_distinct(list(v.term) filter (kind <> 'prefix'))) as terms,
+    coalesce(list_sort(list_distinct(list(v.token) filter (length(v.token) >= 4 and not regexp_matches(v.token, '^[0-9]+$')))), []::varchar[]) as prefixes
+  from qv v group by 1
+)"""
+
+PINS = f"""
+pin_lines as (
+  select qid as line, query, {normalize('query')} as norm, unnest([qid % 40 + 1, qid % 40]) as doc_id, unnest([0, 1]) as pos
+  from ({_all_asked(False)}) where qid % 12 = 0
+), pins as (select line, query, norm, doc_id, row_number() over (partition by line order by pos) - 1 as pos from pin_lines where doc_id > 0 and norm <> '')"""
+
+PINNED = f"""{PINS}, pinned as (
+  select q.qid, q.lang, d.doc_id, min(line * 10 + pos) as pin from q join pins on norm = normalized
+  join documents d on d.doc_id = pins.doc_id and d.lang = q.lang where normalized <> '' group by 1, 2, 3
+), with_pins as (
+  select qid, doc_id, pin, coalesce(score, 0.0) as score, coalesce(about, false) as about,
+    case when count(*) filter (pin is null) over (partition by qid) > 0 then coalesce(fallback, 'none') else 'none' end as fallback,
+    row_number() over (partition by qid order by pin is null, pin, place) as place
+  from ranked r full join pinned p using (qid, doc_id)
+), able as (select *, about and pin is null and fallback = 'none' and doc_id % 4 = 0 as able from with_pins
+), cut as (select *, able and row_number() over (partition by qid, able order by place) <= 3 as chosen from able
+), told as (select *, chosen and count(*) filter (not chosen) over (partition by qid) > 0 as guide from cut
+), listed as (select *, row_number() over (partition by qid order by place) as rank from told where not guide
+)"""
+
+RAW = f"""
+raw as (
+  select lang, day, ts, fallback, case when results % 3 = 0 then 0 else results end as results, floor(epoch(ts::timestamp))::bigint as n, query as own,
+    'word' || translate(right(query, 1), '0123456789', 'abcdefghij') as word
+  from searches
+), typed as (
+  select *, case when n % 7 = 0 then word || ')' || chr(39) || '(,,).)"(' when n % 7 = 1 then word when n % 11 = 0 then ' ' || upper(own) || '%20x' else own end as query,
+    case when n % 7 = 1 then word when n % 11 = 0 then own || ' x' else own end as key
+  from raw
+), counted as (select key as query, lang, day, ts, results, fallback from typed where n % 7 <> 0
+), probes as (select distinct word, lang, day from typed where n % 7 = 0
+)"""
+
+_NOT_PROBED = "not (results = 0 and exists (select 1 from probes p where p.word = k.query and p.lang = k.lang and p.day = k.day))"
+
+
+def _log_of(source: str, where: str = "true") -> str:
+    return f"""select query, lang, day, count(*) as searches, arg_max(results, (ts, results, fallback)) as results,
+      arg_max(fallback, (ts, results, fallback)) as fallback from {source} where {where} group by 1, 2, 3"""
+
+
+def _explained() -> str:
+    damped = lambda f: f"(1.0::double + 0.6::double * ln(t.{f}::double))"
+    fields = [("title", 10, damped("title")), ("content", 3, damped("content")), ("taxonomy", 2, damped("taxonomy")), ("place", 7, "(t.place / 100.0::double)")]
+    rows = " union all ".join(
+        f"select v.qid, t.doc_id, v.g, '{f}' as field, v.term, v.kind, t.{f}::int as value, v.weight, {w}::double * {a} * v.weight as gain "
+        f"from qv v join terms t on t.lang = v.lang and t.term = v.term where t.{f} > 0"
+        for f, w, a in fields
+    )
+    return f"""{_ranked(True, False)}, gains as ({rows}),
+      won as (select * from gains qualify row_number() over (partition by qid, doc_id, g, field order by gain desc, weight desc, term, kind, value) = 1)
+      select w.qid, doc_id, w.g, field, term, kind, value, round(cast(gain * rarity as decimal(18,6)), 2)::double as points from won w join rare using (qid, g)"""
+
+
+def _explained_whole() -> str:
+    rows = [
+        ("fallback = 'or'", "partial match", "(matched::double / n) * (matched::double / n)", "null"), ("title_bonus > 0", "title", "null", "title_bonus"),
+        ("all_titled > 0", "every word in the title", "null", "all_titled"), ("phrase > 0", "phrase in the text", "null", "phrase"),
+        ("boost <> 1", "document boost", "boost", "null"),
+    ]
+    return f"{_ranked(True, True)} " + " union all ".join(
+        f"select qid, doc_id, '{what}' as what, round(({factor})::double, 6) as factor, ({points})::double as points from ranked where {when}"
+        for when, what, factor, points in rows
+    )
+
+
+def _excerpts() -> str:
+    """The rules of an excerpt, from the places of words on."""
+    budget = "(strlen(content) * 450 // greatest(length(content), 1))"
+    text = r"trim(regexp_replace(piece, '\s*\n\s*', ' ', 'g'))"
+    closing = ", ".join(f"'{c}'" for c in lx.CLOSING)
+    return rf"""{_ranked(True, False)}, {MARKS}, shown as (
+        select r.qid, r.doc_id, r.place, r.lang, p.content, m.terms, m.prefixes, {budget} as budget
+        from ranked r join posts p using (doc_id) join marks m on m.qid = r.qid where r.place <= 10
+      ), part_rows as (
+        select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as pos from (
+          select doc_id, regexp_extract_all(content, '{WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+') as parts from (select distinct doc_id, content from shown))
+      ), ends as (
+        select *, sum(strlen(part)) over w as e, sum(length(part)) over w as ce from part_rows window w as (partition by doc_id order by pos)
+      ), word_rows as (
+        select doc_id, pos, part, e - strlen(part) as b, e, ce - length(part) as cb, ce, {fold('part')} as norm
+        from ends where regexp_matches(part, '^{WORD}')
+      ), hits as (select s.qid, w.*, s.budget from shown s join word_rows w using (doc_id) where {_hit('w.part', 's.lang')}
+      ), stretches as (
+        select a.qid, a.doc_id, a.pos, a.b, a.cb, max(z.e) as e, max(z.ce) as ce, count(*) as n, 10 * count(distinct z.norm) + count(*) as score
+        from hits a join hits z on z.qid = a.qid and z.doc_id = a.doc_id and z.pos >= a.pos and (z.pos = a.pos or z.e <= a.b + a.budget) group by 1, 2, 3, 4, 5
+      ), best_one as (select * from stretches qualify row_number() over (partition by qid, doc_id order by score desc, pos) = 1
+      ), led as (
+        select s.*, b.b, b.cb, b.e, b.ce, b.n, greatest(budget - (b.e - b.b), 0) as slack,
+          regexp_extract(left(content, b.cb::int), '(?s)^(.*(?:
+|[.!?] ))', 1) as sentence
+        from shown s left join best_one b using (qid, doc_id)
+      ), started as (
+        select l.*, case when b is null then null when sentence <> '' and b - strlen(sentence) <= slack then strlen(sentence) when b <= slack // 3 then 0
+            else (select min(w.b) from word_rows w where w.doc_id = l.doc_id and w.b >= l.b - l.slack // 3) end as first_byte,
+          case when b is null then null when sentence <> '' and b - strlen(sentence) <= slack then length(sentence) when b <= slack // 3 then 0
+            else (select min(w.cb) from word_rows w where w.doc_id = l.doc_id and w.b >= l.b - l.slack // 3) end as first
+        from led l
+      ), ended as (
+        select s.*, greatest(coalesce((select max(w.ce) from word_rows w where w.doc_id = s.doc_id and w.b >= s.first_byte and w.e - s.first_byte <= s.budget), 0), s.ce) as last0
+        from started s
+      ), last_ as (select *, last0 + case when substr(content, last0::int + 1, 1) in ({closing}) then 1 else 0 end as last from ended
+      ), pieces as (
+        select *, case when b is not null then substr(content, first::int + 1, (last - first)::int) when length(content) <= 450 then content
+          when regexp_extract(left(content, 450), '(?s)^(.*[\p{{L}}\p{{M}}\p{{N}}])[^\p{{L}}\p{{M}}\p{{N}}]', 1) <> ''
+            then regexp_extract(left(content, 450), '(?s)^(.*[\p{{L}}\p{{M}}\p{{N}}])[^\p{{L}}\p{{M}}\p{{N}}]', 1) else left(content, 450) end as piece
+        from last_
+      )
+      select qid, doc_id, place, case when first > 0 then '… ' else '' end || {marked(text, 'lang')} ||
+        case when coalesce(last, length(piece)) < length(regexp_replace(content, '\s+$', '')) then ' …' else '' end as html,
+        case when b is null then 'summary' else 'content' end as source, coalesce(n, 0)::int as hits from pieces"""
+
+
 def _closest() -> str:
     return f"""with {POSTS}, {TERMS},
-    tokens as (select distinct lang, left(term, 2) || substr(term, 4) as token from terms where length(term) between 5 and 9 and doc_id % 50 = 0),
+    tokens as (select distinct lang, left(term, 2) || substr(term, 4) as token from terms where length(term) between 5 and 9),
     known as (select lang, term, count(*) as n, count(*) filter (title > 0 or place > 0) as strong from terms group by 1, 2)
     select t.lang, t.token, k.term, levenshtein(t.token, k.term) as distance
     from tokens t join known k on k.lang = t.lang and left(k.term, 1) = left(t.token, 1)
@@ -307,7 +452,50 @@ def all_sql() -> dict[str, str]:
     parsed = f"with {POSTS}, {TERMS}, {_queries(True)}, {PARSED}, {PREFIXED}"
     log = f"with {EVENTS}"
     nodes = "select doc_id as id, doc_id // 7 as hub from documents where doc_id % 3 <> 0"
+    closure = f"""edges as ({nodes}), hubs as (select doc_id as hub from documents where doc_id % 2 = 0),
+          up as (select hub as id, hub, 0 as depth from hubs union all select id, hub, 1 from edges where id <> hub
+            union all select a.id, b.hub, 2 from edges a join edges b on a.hub = b.id where a.id <> b.hub)"""
+    abroad = f"""asked as (
+      select (item_id * 4 + k) * 4 + j as qid, ['de', 'en', 'es', 'fr'][j + 1] as lang, {ASKED} as query
+      from benchmark, (select unnest([0, 1, 2, 3]) as k), (select unnest([0, 1, 2, 3]) as j) where j <> k)"""
+    by_path = f"asked as (select page_id as qid, 'en' as lang, words as query from ({_path_words(f"(select qid as page_id, 'https://x.example/en/' || replace(query, ' ', '-') || '.html' as url from ({_all_asked(False)}) where lang = 'en')")}) where words <> '')"
+    sparse = """, thin as (select query, lang, day, searches, fallback, case substr(query, 2)::int % 5 when 0 then 0 when 1 then results % 4 else results end as results from log)"""
+    season = f"""{log}, proven as (
+            select query, lang, sum(searches) as searches from log where day between date '{NEXT_YEAR}' - 386 and date '{NEXT_YEAR}' - 344
+            group by 1, 2 having sum(searches) >= 3 and min(results) >= 5 and max(fallback) = ''
+          ), top as (select *, row_number() over (partition by lang order by searches desc, query) as nth from proven)
+          select lang, query, row_number() over (partition by lang order by nth) as place from top where nth <= 2 and length(query) between 3 and 40"""
     return {
+        "rank_explain": _explained(),
+        "explain_whole": _explained_whole(),
+        "pin_lines": f"with {PINS} select line, query, norm, doc_id, pos from pins",
+        "search_page": f"{quoted}, {PINNED} select qid, doc_id, rank, pin is not null as pinned, score, false as image_alt_only from listed where rank between 11 and 20",
+        "search_totals": f"""{quoted}, {PINNED}, sums as (select qid, count(*) as total, max(fallback) as fallback from listed group by 1),
+          lost as (select qid, string_agg(raw, '|' order by g) as words from rare where df = 0 group by 1)
+          select qid, coalesce(total, 0) as total, ceil(coalesce(total, 0) / 10)::int as pages, coalesce(s.fallback, 'none') as fallback,
+            coalesce(words, '') as missing_words from q left join sums s using (qid) left join lost using (qid)""",
+        "search_guides": f"{quoted}, {PINNED} select qid, doc_id, score from told where guide",
+        "highlight_sets": f"{parsed}, {MARKS} select qid, array_to_string(terms, '|') as terms, array_to_string(prefixes, '|') as prefixes from marks",
+        "highlights": f"{ranked}, {MARKS} select qid, doc_id, {marked('p.title', 'r.lang')} as html from ranked r join posts p using (doc_id) join marks using (qid) where place <= 10",
+        "excerpts": _excerpts(),
+        "other_languages": f"{_ranked(False, False, abroad)} select qid // 4 as qid, lang, count(*) as results from ranked group by 1, 2",
+        "path_results": f"{_ranked(True, False, by_path)} select qid, doc_id, place from ranked where place <= 5",
+        "recorded_log": f"""{log}, {RAW}, firsts as (select query, lang, day from counted group by 1, 2, 3 qualify row_number() over (partition by day order by min(ts), query, lang) <= 40),
+          kept as ({_log_of("counted join firsts using (query, lang, day)")}) select * from kept k where {_NOT_PROBED}""",
+        "recorded_clicks": f"{log} select query, lang, case when substr(query, 2)::int < 100 and post_id between 7 * substr(query, 2)::int and 7 * substr(query, 2)::int + 6 then 'pinned' else source end as source, count(*) as clicks from clicked group by all",
+        "suggestions_season": season,
+        "eligible_docs": "select doc_id from documents where doc_id % 5 <> 0 and doc_id % 3 <> 0 and doc_id % 7 <> 0",
+        "affected_docs": f"""with {closure}, changed as (select doc_id as id, ['post', 'hub', 'image'][doc_id % 3 + 1] as kind from documents where doc_id < 30)
+          select id as doc_id from changed where kind in ('post', 'hub')
+          union select u.id from up u join changed c on c.kind = 'hub' and c.id = u.hub where u.hub in (select hub from hubs)
+          union select d.doc_id from documents d join changed c on c.kind = 'image' and c.id = d.doc_id % 50""",
+        "place_tags": "select doc_id, source as name from documents where doc_id % 30 <> doc_id % 20",
+        "result_image": """with i as (select doc_id % 50 as doc_id, doc_id as image_id, source as slug, n_chars % 100 as c, doc_id % 9 = 0 as featured from documents)
+          select r.doc_id, arg_min(image_id, (i.slug <> r.source, case when i.slug = r.source then -c else 0 end, image_id)) as image_id
+          from documents r join i on i.doc_id = r.doc_id where r.doc_id < 50 and (i.slug = r.source or featured) group by 1""",
+        "refreshed": f"""with {POSTS}, {TERMS}, n as (select doc_id, count(*) as n from terms group by 1),
+          a as (select doc_id, case when doc_id % 13 = 0 then 'removed' when doc_id % 11 = 0 then 'failed' when doc_id % 5 = 0 then 'indexed' else 'unchanged' end as action from documents)
+          select doc_id, action, case when action = 'removed' then 0 else coalesce(n, 0) end as n_terms from a left join n using (doc_id)""",
         "token_counts": f"with {POSTS} select doc_id, lang, term, count(*) as tf from (select doc_id, lang, {fold('raw')} as term from (select doc_id, lang, unnest({words('content')}) as raw from posts)) group by all",
         "fold_distinct": f"select count(distinct {fold('text')}) as folded, count(distinct lower(text)) as lowered from documents",
         "terms_wide": f"with {POSTS}, {TERMS} select doc_id, lang, term, title, content, taxonomy, place from terms",
@@ -337,8 +525,8 @@ def all_sql() -> dict[str, str]:
         "stream_log_counts": f"{log} select * from log",
         "click_counts": f"{log} select * from clicks",
         "log_top": _report("true"),
-        "log_zero": _report("max(results) = 0"),
-        "log_low": _report("max(results) between 1 and 3"),
+        "log_zero": _report("max(results) = 0", sparse),
+        "log_low": _report("max(results) between 1 and 3", sparse),
         "log_fallback": _report("max(fallback) <> ''"),
         "log_by_lang": f"{log} select lang, sum(searches)::bigint as searches, count(distinct query) as queries, coalesce(sum(searches) filter (results = 0), 0)::bigint as without_results from log where {_RECENT} group by 1",
         "clicks_report": f"""{log}, posts_ as (select query, lang, post_id, sum(clicks) as n, sum(rank_total) as ranks from clicks where {_RECENT} group by 1, 2, 3),
@@ -353,14 +541,14 @@ def all_sql() -> dict[str, str]:
         "suggestions": f"{log}, {_PROVEN} select lang, query, row_number() over (partition by lang order by nth) as place from merged where nth <= 30 qualify place <= 10",
         "related": f"{log}, {_PROVEN}, me as (select distinct query, lang from merged) select m.lang || ':' || m.query as qid, o.query, 1::bigint as shared, row_number() over (partition by m.lang, m.query order by o.nth) as place from (select lang, 'q1 ' || query as query from me) m join merged o on o.lang = m.lang and o.query in (string_split(m.query, ' ')[2], 'q1') where length(o.query) >= 3 qualify place <= 6",
         "daily_cap": f"with {EVENTS}, firsts as (select query, lang, day, row_number() over (partition by day order by min(ts), query, lang) as nth from searches group by 1, 2, 3) select day, count(*) as searches from searches join firsts using (query, lang, day) where nth <= 40 group by 1",
-        "baseline_forget": f"{log} select l.* from log l where not (results = 0 and exists (select 1 from clicked c where c.query = l.query and c.lang = l.lang and c.day = l.day))",
+        "baseline_forget": f"{log}, {RAW}, kept as ({_log_of('counted')}) select * from kept k where {_NOT_PROBED}",
         "prune": f"{log} select * from log where day >= date '{AS_OF}' - 7",
-        "purge": f"{log} select l.* from log l where l.query not in (select query from clicked where post_id % 10 = 0)",
-        "junk_filter": f"with c as (select item_id, query from (select item_id, [left(text, 60), left(text, 140), left(text, 10) || ')''(,,).)\"(', 'sleep(' || item_id || ')', '/fr-fr/' || item_id, left(text, 8) || '\"a\" ''b''', 'porto ' || item_id] as qs from benchmark), unnest(qs) as u(query)) select item_id, query, {_junk()} as junk from c",
+        "purge": f"{log}, {RAW}, kept as ({_log_of('typed', 'n % 7 <> 0')}) select * from kept k where {_NOT_PROBED}",
+        "junk_filter": f"with c as (select item_id, query, replace(query, '%C3%A9', 'é') as q from (select item_id, [left(text, 6) || 'v%C3%A9lo', left(text, 6) || 'v%25C3%25A9lo', 'bavi%C3', left(text, 60), left(text, 140), left(text, 10) || ')''(,,).)\"(', 'sleep(' || item_id || ')', '/fr-fr/' || item_id, left(text, 8) || '\"a\" ''b''', 'porto ' || item_id] as qs from benchmark), unnest(qs) as u(query)) select item_id, query, contains(query, '%25') or query = 'bavi%C3' or ({_junk().replace('query', 'q')}) as junk from c",
         "path_query": _path_words(),
         "fuzzy_closest": _closest(),
         "html_text": rf"""with p as (select page_id, {_page_text()} as page from pages),
-          b as (select page_id, regexp_replace(regexp_replace(regexp_replace(page, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</?(?:p|div|section|article|aside|header|footer|blockquote|figure|figcaption|li|ul|ol|dl|dt|dd|table|thead|tbody|tr|td|th|h[1-6]|pre|hr|details|summary)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') as t from p)
+          b as (select page_id, regexp_replace(regexp_replace(regexp_replace(page, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</?(?:{lx.BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') as t from p)
           select page_id, array_to_string(list_filter(list_transform(string_split({_entities('t')}, chr(10)), lambda x: {_LINE}), lambda x: x <> ''), chr(10)) as text from b""",
         "html_headings": rf"""with p as (select page_id, {_page_text()} as page from pages)
           select page_id, array_to_string(list_filter(list_transform(regexp_extract_all(page, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>', 1), lambda x: {_LINE.replace('(x', "(" + _entities("regexp_replace(x, '<[^>]*>', '', 'g')"), 1)}), lambda x: x <> ''), '|') as headings from p""",
@@ -379,7 +567,7 @@ def all_sql() -> dict[str, str]:
         "index_plan": "select coalesce(n.doc_id, o.doc_id) as doc_id, case when n.doc_id is null then 'removed' when n.doc_id % 11 = 0 then 'failed' when o.doc_id is not null and n.doc_id % 5 <> 0 then 'unchanged' else 'indexed' end as action from (select doc_id from documents where doc_id % 13 <> 0) n full join (select doc_id from documents where doc_id % 17 <> 0) o on n.doc_id = o.doc_id",
         "index_stats": f"with {POSTS}, {TERMS} select count(*) as rows, count(distinct term) as terms, count(*) filter (title > 0) as in_title, count(*) filter (content > 0) as in_content, count(*) filter (taxonomy > 0) as in_taxonomy, count(*) filter (place > 0) as in_place from terms",
         "docs_per_lang": "select lang, count(*) as docs from documents group by 1",
-        "doc_terms": f"with {POSTS}, {TERMS} select doc_id, term, title from terms where doc_id = 7 and title > 0",
+        "doc_terms": f"with {POSTS}, {TERMS} select doc_id, term, title from terms where title > 0",
     }
 
 

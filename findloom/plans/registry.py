@@ -16,6 +16,7 @@ from ..operators import parse as ps
 from ..operators import present as pr
 from ..operators import rank as rk
 from ..operators import recover as rc
+from ..operators import search as sr
 from ..sources import html as ht
 from ..sources import tables as tb
 from ..sources.storage import new_folder
@@ -35,18 +36,22 @@ def _docs(spark, d):
     return tb.table(spark, d, "documents")
 
 
+def _texts(spark, d):
+    return tb.wide_table(spark, d, "documents")
+
+
 # --- text and index ---------------------------------------------------------
 
 
 @_query
 def token_counts(spark, d):
-    rows = _docs(spark, d).select("doc_id", "lang", F.explode(tx.words(tx.fold(F.col("text")))).alias("term"))
+    rows = _texts(spark, d).select("doc_id", "lang", F.explode(tx.words(tx.fold(F.col("text")))).alias("term"))
     return rows.groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf"))
 
 
 @_query
 def fold_distinct(spark, d):
-    return _docs(spark, d).agg(
+    return _texts(spark, d).agg(
         F.count_distinct(tx.fold(F.col("text"))).alias("folded"), F.count_distinct(F.lower("text")).alias("lowered")
     )
 
@@ -64,14 +69,14 @@ def term_df(spark, d):
 
 @_query
 def stopword_filtered(spark, d):
-    rows = _docs(spark, d).select("lang", F.explode(tx.words(tx.fold(F.col("text")))).alias("term"))
+    rows = _texts(spark, d).select("lang", F.explode(tx.words(tx.fold(F.col("text")))).alias("term"))
     kept = F.count_if(tx.indexable(F.col("term"), F.col("lang")))
     return rows.groupBy("lang").agg(F.count("*").alias("words"), kept.alias("kept"))
 
 
 @_query
 def german_forms(spark, d):
-    rows = _docs(spark, d).where("lang = 'de'").select(F.explode(tx.words(F.col("text"))).alias("raw")).distinct()
+    rows = _texts(spark, d).where("lang = 'de'").select(F.explode(tx.words(F.col("text"))).alias("raw")).distinct()
     found = rows.select("raw", tx.fold(F.col("raw")).alias("norm"), tx.german(F.col("raw")).alias("spelled"))
     return found.where("spelled <> norm")
 
@@ -99,13 +104,13 @@ def image_concepts(spark, d):
 
 @_query
 def html_text(spark, d):
-    return tb.table(spark, d, "pages").select("page_id", ht.plain_text(ht.readable(F.col("html"))).alias("text"))
+    return tb.wide_table(spark, d, "pages").select("page_id", ht.plain_text(ht.readable(F.col("html"))).alias("text"))
 
 
 @_query
 def html_headings(spark, d):
     found = F.array_join(ht.headings(ht.readable(F.col("html"))), "|")
-    return tb.table(spark, d, "pages").select("page_id", found.alias("headings"))
+    return tb.wide_table(spark, d, "pages").select("page_id", found.alias("headings"))
 
 
 # --- queries ----------------------------------------------------------------
@@ -130,7 +135,8 @@ def query_variants(spark, d):
 
 @_query
 def prefix_expand(spark, d):
-    qv = ps.expand_prefixes(_parsed(spark, d, True)[1], tb.index(spark, d)[0])
+    at = tb.index(spark, d)
+    qv = ps.expand_prefixes(_parsed(spark, d, True)[1], at.terms, at.vocabulary)
     return qv.where("kind = 'prefix'").select("qid", "g", "term", "weight")
 
 
@@ -146,9 +152,9 @@ def concept_exact(spark, d):
 
 
 def _rank(spark, d, quotes=False, **options):
-    terms, docs = tb.index(spark, d)
+    at = tb.index(spark, d)
     q, qv = _parsed(spark, d, quotes)
-    return rk.rank(q, ps.expand_prefixes(qv, terms), terms, docs, rk.Options(**options)), q, docs
+    return rk.rank(q, ps.expand_prefixes(qv, at.terms, at.vocabulary), at.terms, at.docs, rk.Options(**options)), q, at.docs
 
 
 @_query
@@ -202,28 +208,87 @@ def rank_guides(spark, d):
 
 @_query
 def rank_explain(spark, d):
-    terms, docs = tb.index(spark, d)
+    at = tb.index(spark, d)
     q, qv = _parsed(spark, d)
-    qv = ps.expand_prefixes(qv, terms)
-    return rk.explain(rk.contributions(qv, terms, rk.Options(), winners=True), rk.rank(q, qv, terms, docs)["groups"])
+    qv = ps.expand_prefixes(qv, at.terms, at.vocabulary)
+    groups = rk.rank(q, qv, at.terms, at.docs)["groups"]
+    return rk.explain(rk.contributions(qv, at.terms, rk.Options(), winners=True), groups)
+
+
+@_query
+def explain_whole(spark, d):
+    ranked = _rank(spark, d, quotes=True)[0]["ranked"]
+    return rk.explain_whole(ranked).withColumn("factor", F.round("factor", 6))
+
+
+def _pin_lines(spark, d):
+    """Best-bet lines for every third query: two documents each, and lines that are none."""
+    q = tb.benchmark_queries(spark, d).where("qid % 12 = 0").select(F.col("qid").alias("line"), "query", (F.col("qid") % 40).alias("k"))
+    text = F.concat("query", F.lit(" = "), (F.col("k") + 1).cast("string"), F.lit(", "), F.col("k").cast("string"), F.lit("; 0 x7"))
+    return q.select("line", F.explode(F.array(text, F.lit("no line"), F.lit("= 3"))).alias("text"))
+
+
+@_query
+def pin_lines(spark, d):
+    return rk.read_pins(_pin_lines(spark, d))
+
+
+def _search(spark, d, **request):
+    pins = rk.read_pins(_pin_lines(spark, d)).drop("norm")
+    hubs = _docs(spark, d).where("doc_id % 4 = 0").select(F.col("doc_id").alias("hub"))
+    asked = tb.benchmark_queries(spark, d, True)
+    request = sr.Request(languages=("de", "en", "es", "fr"), guides=3, **request)
+    return sr.search(asked, tb.index(spark, d), request, pins, hubs)
+
+
+@_query
+def search_page(spark, d):
+    """The second page of every query: pins first, guides apart, partial matches where nothing has all words."""
+    return _search(spark, d, page=2, excerpts=False).results.select("qid", "doc_id", "rank", "pinned", "score", "image_alt_only")
+
+
+@_query
+def search_totals(spark, d):
+    found = _search(spark, d, excerpts=False).totals
+    return found.select("qid", "total", "pages", "fallback", F.array_join("missing_words", "|").alias("missing_words"))
+
+
+@_query
+def search_guides(spark, d):
+    return _search(spark, d, excerpts=False).guides.select("qid", "doc_id", "score")
+
+
+@_query
+def search_results(spark, d):
+    """The first page of every query with titles, excerpts and what matched."""
+    return _search(spark, d).results
+
+
+def _page(spark, d):
+    """The first page of every query with its documents and what to mark in them."""
+    at = tb.index(spark, d)
+    q, qv = _parsed(spark, d)
+    ranked = rk.rank(q, ps.expand_prefixes(qv, at.terms, at.vocabulary), at.terms, at.docs)["ranked"]
+    marks = ps.highlight_sets(qv)
+    return rk.page(ranked, 1, 10).select("qid", "lang", "doc_id", "place").join(marks, "qid").join(at.docs, ["doc_id", "lang"])
 
 
 @_query
 def excerpts(spark, d):
     """The first page of every query with its excerpt; texts are joined for those rows only."""
-    found, q, docs = _rank(spark, d)
-    top = rk.page(found["ranked"], 1, 10).join(q.select("qid", "tokens"), "qid").join(docs, ["doc_id", "lang"])
-    none = F.array().cast("array<string>")
-    made = pr.excerpt(F.col("content"), F.col("excerpt"), F.col("tokens"), none, F.col("lang"))
-    return top.select("qid", "doc_id", "place", made.alias("e")).select("qid", "doc_id", "place", "e.html", "e.source", "e.hits")
+    return pr.excerpts(_page(spark, d)).select("qid", "doc_id", "place", "html", "source", "hits")
 
 
 @_query
 def highlights(spark, d):
-    found, q, docs = _rank(spark, d)
-    top = rk.page(found["ranked"], 1, 10).join(q.select("qid", "tokens"), "qid").join(docs, ["doc_id", "lang"])
-    none = F.array().cast("array<string>")
-    return top.select("qid", "doc_id", pr.highlight(F.col("title"), F.col("tokens"), none, F.col("lang")).alias("html"))
+    marked = pr.highlight(F.col("title"), F.col("terms"), F.col("prefixes"), F.col("lang"))
+    return _page(spark, d).select("qid", "doc_id", marked.alias("html"))
+
+
+@_query
+def highlight_sets(spark, d):
+    found = ps.highlight_sets(_parsed(spark, d, True)[1])
+    return found.select("qid", F.array_join("terms", "|").alias("terms"), F.array_join("prefixes", "|").alias("prefixes"))
 
 
 # --- recovery ---------------------------------------------------------------
@@ -231,31 +296,40 @@ def highlights(spark, d):
 
 @_query
 def fuzzy_closest(spark, d):
-    terms = tb.index(spark, d)[0]
+    """The nearest terms of every term of five to nine letters with its third letter left out."""
+    known = tb.index(spark, d).vocabulary
     broken = F.concat(F.left("term", F.lit(2)), F.substring("term", 4, 100))
-    asked = terms.where("length(term) between 5 and 9 and doc_id % 50 = 0").select("lang", broken.alias("token")).distinct()
-    return rc.closest_terms(asked, terms)
+    asked = known.where("length(term) between 5 and 9").select("lang", broken.alias("token")).distinct()
+    return rc.closest_terms(asked, tb.index(spark, d).terms, known)
 
 
 @_query
 def did_you_mean(spark, d):
-    terms, docs = tb.index(spark, d)
+    at = tb.index(spark, d)
     asked = tb.benchmark_queries(spark, d).select(
         "qid", "lang", F.concat(F.left("query", F.lit(3)), F.substring("query", 5, 200)).alias("query")
     )
-    return rc.did_you_mean(asked, terms, docs)
+    return rc.did_you_mean(asked, at.terms, at.docs, vocabulary=at.vocabulary)
 
 
 @_query
 def other_languages(spark, d):
-    terms, docs = tb.index(spark, d)
-    asked = tb.benchmark_queries(spark, d).where("lang = 'es'")
-    return rc.other_languages(asked, terms, docs, ["de", "en", "fr"])
+    at = tb.index(spark, d)
+    return rc.other_languages(tb.benchmark_queries(spark, d), at.terms, at.docs, ["de", "en", "es", "fr"], vocabulary=at.vocabulary)
+
+
+@_query
+def path_results(spark, d):
+    """The best documents for the words of paths, made of the queries."""
+    at = tb.index(spark, d)
+    url = F.concat(F.lit("https://x.example/en/"), F.replace("query", F.lit(" "), F.lit("-")), F.lit(".html"))
+    asked = tb.benchmark_queries(spark, d).where("lang = 'en'").select("qid", "lang", url.alias("url"))
+    return rc.for_path(asked, at.terms, at.docs, vocabulary=at.vocabulary)
 
 
 @_query
 def path_query(spark, d):
-    return tb.table(spark, d, "pages").select("page_id", rc.path_words(F.col("url")).alias("words"))
+    return rc.path_words(tb.table(spark, d, "pages"), "url").select("page_id", "words")
 
 
 # --- log and clicks ---------------------------------------------------------
@@ -302,14 +376,21 @@ def log_top(spark, d):
     return an.log_report(_log(spark, d), AS_OF, "top")
 
 
+def _thin_log(spark, d):
+    """A log in which every fifth query finds nothing and the next one little."""
+    k = F.substring("query", 2, 10).cast("int") % 5
+    few = F.when(k == 0, 0).when(k == 1, F.col("results") % 4).otherwise(F.col("results"))
+    return _log(spark, d).withColumn("results", few)
+
+
 @_query
 def log_zero(spark, d):
-    return an.log_report(_log(spark, d), AS_OF, "zero")
+    return an.log_report(_thin_log(spark, d), AS_OF, "zero")
 
 
 @_query
 def log_low(spark, d):
-    return an.log_report(_log(spark, d), AS_OF, "low")
+    return an.log_report(_thin_log(spark, d), AS_OF, "low")
 
 
 @_query
@@ -348,11 +429,17 @@ def suggestions(spark, d):
     return an.suggestions(_log(spark, d), AS_OF)
 
 
+@_query
+def suggestions_season(spark, d):
+    """A year later only last year's season suggests anything."""
+    return an.suggestions(_log(spark, d), oracle.NEXT_YEAR)
+
+
 @_query
 def related(spark, d):
     """Searches related to "q1 <query>" of each proven query."""
     log = _log(spark, d)
-    mine = an.suggestions(log, AS_OF, 1000).select("lang", F.concat(F.lit("q1 "), "query").alias("query"))
+    mine = an.known_queries(log, AS_OF).select("lang", F.concat(F.lit("q1 "), "query").alias("query"))
     asked = mine.select(F.concat_ws(":", "lang", "query").alias("qid"), "lang", "query")
     return an.related(asked, log, AS_OF)
 
@@ -363,11 +450,35 @@ def daily_cap(spark, d):
     return kept.groupBy("day").agg(F.count("*").alias("searches"))
 
 
+def _raw_searches(spark, d):
+    """Searches as they come in: every seventh with a probe glued to its word, every eleventh encoded."""
+    events = tb.table(spark, d, "events")
+    found = tb.search_events(events.select("*", F.col("event_id").alias("n"))).withColumn("results", F.when(F.col("results") % 3 == 0, 0).otherwise(F.col("results")))
+    n = F.unix_seconds(F.col("ts").cast("timestamp"))
+    word = F.concat(F.lit("word"), F.translate(F.right("query", F.lit(1)), "0123456789", "abcdefghij"))
+    query = F.when(n % 7 == 0, F.concat(word, F.lit(")'(,,).)\"("))).when(n % 7 == 1, word).when(n % 11 == 0, F.concat(F.lit(" "), F.upper("query"), F.lit("%20x")))
+    return found.withColumn("query", query.otherwise(F.col("query")))
+
+
+@_query
+def recorded_log(spark, d):
+    """Raw searches to the log: no junk, cleaned keys, forty new keys a day, no baselines."""
+    return an.record_searches(_raw_searches(spark, d), 40)
+
+
 @_query
 def baseline_forget(spark, d):
-    raw = tb.click_events(tb.table(spark, d, "events"))
-    probes = raw.select(F.col("query").alias("word"), "lang", F.to_date("ts").alias("day"))
-    return an.forget_baselines(_log(spark, d), probes)
+    counted, probes = an.read_searches(_raw_searches(spark, d))
+    return an.forget_baselines(an.log_counts(counted), probes)
+
+
+@_query
+def recorded_clicks(spark, d):
+    """Raw clicks, some on pins, under their log keys."""
+    raw = tb.click_events(tb.table(spark, d, "events")).withColumn("query", F.upper("query"))
+    pins = spark.createDataFrame([(f"q{i}", 7 * i + k) for i in range(100) for k in range(7)], "norm string, doc_id long")
+    read = an.read_clicks(raw, pins)
+    return read.groupBy("query", "lang", "source").agg(F.count("*").alias("clicks"))
 
 
 @_query
@@ -377,20 +488,22 @@ def prune(spark, d):
 
 @_query
 def purge(spark, d):
-    raw = tb.click_events(tb.table(spark, d, "events"))
-    return an.purge(_log(spark, d), raw.where("post_id % 10 = 0"))
+    """A log that was written without a junk filter, without what is junk."""
+    raw = _raw_searches(spark, d)
+    return an.purge_junk(an.log_counts(raw), _clicks(spark, d))[0]
 
 
 @_query
 def junk_filter(spark, d):
     text, item = F.col("text"), F.col("item_id").cast("string")
     asked = F.array(
+        F.concat(F.left(text, F.lit(6)), F.lit("v%C3%A9lo")), F.concat(F.left(text, F.lit(6)), F.lit("v%25C3%25A9lo")), F.lit("bavi%C3"),
         F.left(text, F.lit(60)), F.left(text, F.lit(140)), F.concat(F.left(text, F.lit(10)), F.lit(")'(,,).)\"(")),
         F.concat(F.lit("sleep("), item, F.lit(")")), F.concat(F.lit("/fr-fr/"), item),
         F.concat(F.left(text, F.lit(8)), F.lit("\"a\" 'b'")), F.concat(F.lit("porto "), item),
     )
     rows = tb.table(spark, d, "benchmark").select("item_id", F.explode(asked).alias("query"))
-    return rows.withColumn("junk", an.is_junk(F.col("query")))
+    return an.with_junk(rows)
 
 
 # --- maintenance ------------------------------------------------------------
@@ -441,7 +554,58 @@ def docs_per_lang(spark, d):
 
 @_query
 def doc_terms(spark, d):
-    return tb.index(spark, d)[0].where("doc_id = 7 and title > 0").select("doc_id", "term", "title")
+    """The title's terms of every document."""
+    return tb.index(spark, d).terms.where("title > 0").select("doc_id", "term", "title")
+
+
+@_query
+def eligible_docs(spark, d):
+    docs = _docs(spark, d).select(
+        "doc_id", F.when(F.col("doc_id") % 5 == 0, "draft").otherwise("publish").alias("post_status"),
+        F.when(F.col("doc_id") % 3 == 0, "page").otherwise("post").alias("post_type"),
+    )
+    return mt.eligible(docs, docs.where("doc_id % 7 = 0").select("doc_id"), ["post"]).select("doc_id")
+
+
+@_query
+def affected_docs(spark, d):
+    docs = _docs(spark, d)
+    edges = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("child"), F.floor(F.col("doc_id") / 7).alias("hub"))
+    closure = ix.hub_closure(edges, docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("hub")))
+    images = docs.select("doc_id", (F.col("doc_id") % 50).alias("image_id"))
+    kind = F.when(F.col("doc_id") % 3 == 0, "post").when(F.col("doc_id") % 3 == 1, "hub").otherwise("image")
+    changed = docs.where("doc_id < 30").select(kind.alias("kind"), F.col("doc_id").alias("id"))
+    return mt.affected_posts(changed, closure, images)
+
+
+@_query
+def place_tags(spark, d):
+    """Tags that are no places."""
+    docs = _docs(spark, d)
+    tags = docs.select("doc_id", "lang", (F.col("doc_id") % 30).alias("tag_id"), F.col("source").alias("name"))
+    return ix.taxonomy_rows(tags, docs.select("doc_id", (F.col("doc_id") % 20).alias("tag_id"))).select("doc_id", F.col("text").alias("name"))
+
+
+@_query
+def result_image(spark, d):
+    docs = _docs(spark, d)
+    images = docs.select(
+        (F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("image_id"), F.col("source").alias("slug"),
+        (F.col("n_chars") % 100 / 100).alias("confidence"), (F.col("doc_id") % 9 == 0).alias("featured"),
+    )
+    results = docs.where("doc_id < 50").select(F.col("doc_id").alias("qid"), "doc_id", F.array("source").alias("concepts"))
+    return pr.result_images(images, results).select("doc_id", "image_id")
+
+
+@_query
+def refreshed(spark, d):
+    """The actions of a build in which some documents changed, left, or could not be read."""
+    at = tb.index(spark, d)
+    docs = at.docs.where("doc_id % 13 <> 0").withColumn("source_hash", F.when(F.col("doc_id") % 5 == 0, "new").otherwise(F.col("source_hash")))
+    errors = docs.where("doc_id % 11 = 0").select("doc_id", F.lit("unreadable").alias("error"))
+    plan, terms, _ = mt.refresh(at, at.terms.where("doc_id % 13 <> 0 and doc_id % 11 <> 0"), docs, errors)
+    kept = terms.groupBy("doc_id").agg(F.count("*").alias("n_terms"))
+    return plan.join(kept, "doc_id", "left").select("doc_id", "action", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

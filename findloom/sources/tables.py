@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import index as ix
-from .storage import new_folder
+from .storage import new_folder, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, for work on all cores."""
+    return spread(table(spark, folder, name))
+
+
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as posts: first line as title, source as tag, labelled quality as boost, a date by id."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -45,18 +50,18 @@ def build_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     rows = ix.field_rows(
         p, {"title": "title", "content": "content", "taxonomy": "tag"}, ix.place_rows(places(spark, folder))
     )
-    return ix.build_terms(rows), ix.build_docs(p)
+    return ix.build_terms(rows, fields=["title", "content", "taxonomy", "place"]), ix.build_docs(p)
 
 
 _BUILT: dict[tuple[str, str], str] = {}
 
 
-def index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``(terms, docs)`` of the documents, built once per application and read from Parquet."""
+def index(spark: SparkSession, folder: str) -> ix.Index:
+    """The documents' index, published once per application and read from Parquet."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _BUILT:
         path = new_folder(spark, "index")
-        ix.write_index(*build_index(spark, folder), path)
+        ix.publish_index(*build_index(spark, folder), path, ix.rules_version())
         _BUILT[key] = path
     return ix.read_index(spark, _BUILT[key])
 

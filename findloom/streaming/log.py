@@ -1,46 +1,83 @@
-"""The search log as a stream: daily counters kept up to date from raw events."""
+"""The search log and clicks as streams: daily counters kept up to date from raw events.
+
+A batch of events becomes increments of daily counters, however late its events
+are; no state is kept between batches, so none can expire. Increments are added
+up when counters are read, and ``compact`` turns many into one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_KEYS = ["query", "lang", "day"]
 
-def counters(events: DataFrame, lateness: str = "40 days") -> DataFrame:
-    """Streaming ``events(query, lang, ts, results, fallback)`` to changed counters.
 
-    Grouped by the day's window itself: that keeps the watermark, so days
-    older than ``lateness`` leave the state.
-    """
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+def increments(events: DataFrame) -> DataFrame:
+    """``events(query, lang, ts, results, fallback)`` to ``(query, lang, day, searches, last)``."""
     last = F.max(F.struct("ts", "results", "fallback"))
-    return (
-        timed.groupBy(F.window("ts", "1 day"), "query", "lang").agg(F.count("*").alias("searches"), last.alias("last"))
-        .select(
-            "query", "lang", F.to_date("window.start").alias("day"), "searches",
-            F.col("last.results").alias("results"), F.col("last.fallback").alias("fallback"),
-        )
-    )
+    return events.groupBy("query", "lang", F.to_date("ts").alias("day")).agg(F.count("*").alias("searches"), last.alias("last"))
 
 
-def run_counters(events: DataFrame, folder: str, lateness: str = "40 days") -> None:
-    """Feed all that is available into ``folder``; changed counters are added under their batch's number.
+def _feed(events: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> None:
+    query = events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
 
-    A batch that is run again replaces its own files, so each counts once.
-    """
+
+def run_counters(events: DataFrame, folder: str, read: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Feed all that is available into ``folder``. ``read`` makes counted searches of raw ones (as
+    ``analytics.read_searches`` does). A batch that is run again replaces its own files, so each counts once."""
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/counters/n={number}")
+        counted = read(batch) if read else batch
+        increments(counted).write.mode("overwrite").parquet(f"{folder}/increments/n={number}")
+
+    _feed(events, folder, add)
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_KEYS).agg(F.sum("searches").alias("searches"), F.max("last").alias("last"))
+
+
+def _files(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """All increments that no compaction holds, with the compaction itself; and the last batch's number."""
+    rows = spark.read.option("basePath", f"{folder}/increments").parquet(f"{folder}/increments/*")
+    last = rows.agg(F.max("n")).first()[0]
+    return rows, -1 if last is None else last
 
-    query = (
-        counters(events, lateness).writeStream.outputMode("update").foreachBatch(add)
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+def compact(spark: SparkSession, folder: str, into: str) -> int:
+    """The counters of all batches so far as one batch's increments in the folder ``into``, whose later batches go
+    there too; gives the number of the last one."""
+    rows, last = _files(spark, folder)
+    _added(rows.drop("n")).write.mode("overwrite").parquet(f"{into}/increments/n={last}")
+    return last
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
     """The counters as of the last batch."""
-    rows = spark.read.parquet(f"{folder}/counters/*")
-    order = Window.partitionBy("query", "lang", "day").orderBy(F.desc("batch"))
-    return rows.withColumn("at", F.row_number().over(order)).where("at = 1").drop("at", "batch")
+    return _added(_files(spark, folder)[0].drop("n")).select(
+        *_KEYS, "searches", F.col("last.results").alias("results"), F.col("last.fallback").alias("fallback")
+    )
+
+
+def distinct_clicks(clicks: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """A stream of ``clicks(view, source, post_id, ts, ...)`` with a view's first click on each post and source only."""
+    timed = clicks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    return timed.dropDuplicatesWithinWatermark(["view", "source", "post_id"])
+
+
+def run_clicks(clicks: DataFrame, folder: str, valid: Callable[[DataFrame], DataFrame]) -> None:
+    """Feed a click stream into ``folder``; ``valid`` keeps the clicks that count (``analytics.valid_clicks``)."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        valid(batch).write.mode("overwrite").parquet(f"{folder}/clicks/n={number}")
+
+    _feed(distinct_clicks(clicks), folder, add)
+
+
+def run_changes(changes: DataFrame, folder: str, index_again: Callable[[DataFrame], None], affected: Callable[[DataFrame], DataFrame]) -> None:
+    """Feed a stream of ``changes(kind, id)``: each batch's affected posts, once each, go to ``index_again``."""
+    _feed(changes, folder, lambda batch, _: index_again(affected(batch.distinct())))

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
@@ -43,4 +43,4 @@ def test_query_gives_the_rows_of_its_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(names)
     assert len(mine) == len(theirs)
     assert mine == theirs
-    assert mine or name in ("rank_phrase", "log_zero", "suggestions", "proven", "related", "doc_terms", "fuzzy_closest")
+    assert mine, "an empty result proves nothing"
