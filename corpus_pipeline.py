@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from findloom.llm import packing, pii, quality, simhash
-from findloom.sources.storage import new_folder
+from findloom.sources.storage import new_folder, spread
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The folder is the caller's to clear: the result is read from it.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     folder = new_folder(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
