@@ -43,7 +43,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 BUCKETS = 1024
 TOKENS = 4_000_000  # chunks of a batch
-CHARS = 64_000_000  # characters of its texts
+CHARS = 256_000_000  # characters of its texts
+LEVEL = 5  # of compression: what is shuffled is several times the distinct chunks
 _SLICE = 256
 _CHUNK = re.compile(" *[^ ]+| +")
 
@@ -103,7 +104,7 @@ class Batch:
 def _packed(values: np.ndarray) -> bytes:
     """Integers by byte planes, compressed."""
     planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(planes)
 
 
 def _unpacked(data: bytes, dtype) -> np.ndarray:
@@ -114,7 +115,7 @@ def _unpacked(data: bytes, dtype) -> np.ndarray:
 
 def _joined(chunks: list[str]) -> bytes:
     """Texts without markers as one."""
-    return zstandard.ZstdCompressor(level=1).compress(MARK.join(chunks).encode("utf-8", "surrogatepass"))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(MARK.join(chunks).encode("utf-8", "surrogatepass"))
 
 
 def _parted(data: bytes) -> list[str]:
