@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 BUCKETS = 1024
-TOKENS = 4_000_000  # chunks of a batch
+TOKENS = 8_000_000  # chunks of a batch
 CHARS = 256_000_000  # characters of its texts
 LEVEL = 5  # of compression: what is shuffled is several times the distinct chunks
 _SLICE = 256
