@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import cut
 
 
 def _state(links: DataFrame) -> tuple:
@@ -28,7 +28,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self-links, repeated links and rows with a null end add nothing. An empty
     table gives an empty result. Only linked nodes appear.
     """
-    links = stored(
+    links = cut(
         links.where("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
@@ -51,7 +51,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # ... and the smaller ones, with u itself, to the smallest of them.
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        links = stored(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct())
+        links = cut(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct())
         before, state = state, _state(links)
         if state == before:
             break

@@ -41,10 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-BUCKETS = 1024
+BUCKETS = 512
 TOKENS = 8_000_000  # chunks of a batch
 CHARS = 256_000_000  # characters of its texts
-LEVEL = 5  # of compression: what is shuffled is several times the distinct chunks
+LEVEL = 9  # of compression: what is shuffled is several times the distinct chunks
 _SLICE = 256
 _CHUNK = re.compile(" *[^ ]+| +")
 
