@@ -50,6 +50,7 @@ BLOCK = 4096
 SMALL = 48
 PART = 16  # of so many parts one is counted to find the keys that need blocks
 LISTED = 10_000  # keys that a broadcast may hold; more are joined by a shuffle
+LISTED_NODES = 1_000_000  # nodes, eight bytes each, that a broadcast may hold; more are joined by a shuffle
 COMMON = 100_000  # common shingles that go to every task, to be put last in the order of shingles
 SEEN = 1_000_000  # texts that a task knows again
 STARS = 3
@@ -286,31 +287,31 @@ def fingerprint_links(fps: DataFrame, max_bits: int, segments: int | None = None
 
 
 def _similar(links: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The links whose texts share at least ``least`` of their distinct shingles (Jaccard); ``docs(node, text)``."""
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    """The links whose texts share at least ``least`` of their distinct shingles (Jaccard); ``docs(node, text)``.
 
-    def run(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(low, _SLICE)
-                sets = [shingles(text, words).tobytes() for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "grams"])
+    Only the texts of links are shuffled: once by their own node, and once more
+    for each link to its other end. The list of nodes goes to every task if it
+    is short, so that the other texts stay where they are.
+    """
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    ends = F.broadcast(ends) if ends.count() <= LISTED_NODES else ends
 
     def compare(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(low, _SLICE)
-                keep = []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                part, known, keep = batch.slice(low, _SLICE), {}, []
+                for row in part.to_pylist():
+                    for node, text in ((row["a"], row["x"]), (row["b"], row["y"])):
+                        if node not in known:
+                            known[node] = shingles(text, words)
+                    x, y = known[row["a"]], known[row["b"]]
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(shared >= least * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     texts = docs.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    sets = texts.mapInArrow(run, "node long, grams binary")
-    both = links.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b"
+    both = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"
     )
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
