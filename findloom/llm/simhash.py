@@ -53,7 +53,7 @@ LISTED = 10_000  # keys that a broadcast may hold; more are joined by a shuffle
 LISTED_NODES = 1_000_000  # nodes, eight bytes each, that a broadcast may hold; more are joined by a shuffle
 COMMON = 100_000  # common shingles that go to every task, to be put last in the order of shingles
 SEEN = 1_000_000  # texts that a task knows again
-STARS = 3
+STARS = 2
 MAX_BITS = 4  # of the SimHashes that name the first candidates of similar texts
 _FAMILY, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SLICE = 256
@@ -483,7 +483,7 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
     sets themselves before it links anything. The first candidates are the pairs
     whose SimHashes are equal or pass the pigeonring filter within ``MAX_BITS``
     bits: they find most near copies. SimHash alone cannot find all at such a
-    similarity, so the rest follow exactly: pairs that share no shingle of their
+    similarity, so the rest follow exactly, the first stars along with them: pairs that share no shingle of their
     prefixes (``_prefixes``) cannot be similar; of the others, first those with
     one node under each shingle are compared, in ``STARS`` rounds with other
     nodes, so that groups of near copies become few components; then every pair
@@ -518,10 +518,11 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
         rows.repartition(parts, "token").sortWithinPartitions("token", "node")
         .mapInArrow(_met, "token long, node long, size int, at int")
     )
-    tried, links = hashed, cut(_similar(hashed, docs, words, least))
-    groups = cut(connected_components(links))
+    links = tried = groups = None
     for turn in range(STARS + 1):
-        now = met.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = met.withColumn("component", F.col("node"))
+        if groups is not None:
+            now = met.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn < STARS:
             sort = ["token", F.xxhash64("node", F.lit(turn)), "node"]
             pairs = (
@@ -545,8 +546,10 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
                 .repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_cross(least), "a long, b long")
             )
         pairs = pairs.distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.union(pairs), links.union(cut(_similar(pairs, docs, words, least)))
+        # The first turn's pairs are SimHash's and the first stars', checked together.
+        pairs = cut(pairs.union(hashed).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = cut(_similar(pairs, docs, words, least))
+        tried, links = (pairs, found) if links is None else (tried.union(pairs), links.union(found))
         groups = cut(connected_components(links))
     return groups
 
