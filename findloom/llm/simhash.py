@@ -316,6 +316,17 @@ def _similar(links: DataFrame, docs: DataFrame, words: int, least: float) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _cut_in_small_batches(df: DataFrame) -> DataFrame:
+    """``cut`` while Python gets few rows at a time: two whole texts in a row make large batches."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(_SLICE))
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles, split and folded as for fingerprints; one for all texts without words."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
@@ -548,7 +559,7 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
         pairs = pairs.distinct()
         # The first turn's pairs are SimHash's and the first stars', checked together.
         pairs = cut(pairs.union(hashed).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = cut(_similar(pairs, docs, words, least))
+        found = _cut_in_small_batches(_similar(pairs, docs, words, least))
         tried, links = (pairs, found) if links is None else (tried.union(pairs), links.union(found))
         groups = cut(connected_components(links))
     return groups
