@@ -53,7 +53,7 @@ LISTED = 10_000  # keys that a broadcast may hold; more are joined by a shuffle
 LISTED_NODES = 1_000_000  # nodes, eight bytes each, that a broadcast may hold; more are joined by a shuffle
 COMMON = 100_000  # common shingles that go to every task, to be put last in the order of shingles
 SEEN = 1_000_000  # texts that a task knows again
-STARS = 2
+STARS = 3
 MAX_BITS = 4  # of the SimHashes that name the first candidates of similar texts
 _FAMILY, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SLICE = 256
