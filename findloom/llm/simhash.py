@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import mixed, word_hashes
-from ..sources.storage import cut
+from ..sources.storage import cut, stored
 
 BITS = 64
 SEED = 42
@@ -286,6 +286,61 @@ def fingerprint_links(fps: DataFrame, max_bits: int, segments: int | None = None
     return grouped.mapInArrow(_linker(segments, max_bits), "a long, b long")
 
 
+def odd_sketch(token: np.ndarray) -> np.ndarray:
+    """Packed bits that say which of two to four bins per shingle hold an odd number of a set's shingles.
+
+    The XOR of two sketches has at most as many bits as the sets have shingles
+    in only one of them. A sketch folds to half its bins by the XOR of its halves.
+    """
+    bins = max(BITS, 1 << (2 * len(token) - 1).bit_length())
+    odd = np.bincount((token & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(bool), bitorder="little")
+
+
+def _sketches_may_match(x: np.ndarray, size_x: int, y: np.ndarray, size_y: int, least: float) -> bool:
+    """Whether the sets may have Jaccard similarity ``least``; never false for those that do."""
+    short, long = sorted((x, y), key=len)
+    folded = np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)
+    differing = int(np.bitwise_count(folded ^ short).sum())
+    return differing * (1 + least) <= (1 - least) * (size_x + size_y) + 1e-9
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """``docs(node, text)`` to ``(node, size, sketch)``, one row per node: how many distinct shingles, and their odd sketch."""
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(low, _SLICE)
+                found = [shingles(text, words) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(map(len, found), pa.int64()), pa.array([odd_sketch(x).tobytes() for x in found], pa.binary())],
+                    ["node", "size", "sketch"],
+                )
+
+    return docs.mapInArrow(run, "node long, size long, sketch binary").dropDuplicates(["node"])
+
+
+def _maybe_similar(links: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The links that ``known``'s sketches do not rule out: few of what is left is far from similar."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [
+                _sketches_may_match(
+                    np.frombuffer(row["x"], dtype=np.uint8), row["size_x"], np.frombuffer(row["y"], dtype=np.uint8), row["size_y"], least
+                )
+                for low in range(0, batch.num_rows, _SLICE) for row in batch.slice(low, _SLICE).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def side(end, size, sketch):
+        return known.select(F.col("node").alias(end), F.col("size").alias(size), F.col("sketch").alias(sketch))
+
+    both = links.join(side("a", "size_x", "x"), "a").join(side("b", "size_y", "y"), "b")
+    return both.select("a", "b", "size_x", "x", "size_y", "y").mapInArrow(run, "a long, b long")
+
+
 def _similar(links: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The links whose texts share at least ``least`` of their distinct shingles (Jaccard); ``docs(node, text)``.
 
@@ -498,7 +553,8 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
     prefixes (``_prefixes``) cannot be similar; of the others, first those with
     one node under each shingle are compared, in ``STARS`` rounds with other
     nodes, so that groups of near copies become few components; then every pair
-    under a shingle that is not yet in one component, in blocks.
+    under a shingle that is not yet in one component, in blocks. Candidates whose
+    odd sketches differ too much go before their texts are moved.
     """
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     prints = cut(
@@ -525,10 +581,12 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
     order = np.argsort(common)
     rank = np.array([r["count"] for r in listed], dtype=np.int64)[order]
     rows = docs.mapInArrow(_prefixes(words, least, common[order], rank), "token long, node long, size int, at int")
-    met = cut(
+    met = stored(
         rows.repartition(parts, "token").sortWithinPartitions("token", "node")
-        .mapInArrow(_met, "token long, node long, size int, at int")
+        .mapInArrow(_met, "token long, node long, size int, at int"),
+        "prefixes",
     )
+    known = stored(sketches(docs, words), "sketches")
     links = tried = groups = None
     for turn in range(STARS + 1):
         now = met.withColumn("component", F.col("node"))
@@ -559,9 +617,9 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
         pairs = pairs.distinct()
         # The first turn's pairs are SimHash's and the first stars', checked together.
         pairs = cut(pairs.union(hashed).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = _cut_in_small_batches(_similar(pairs, docs, words, least))
+        found = _cut_in_small_batches(_similar(cut(_maybe_similar(pairs, known, least)), docs, words, least))
         tried, links = (pairs, found) if links is None else (tried.union(pairs), links.union(found))
-        groups = cut(connected_components(links))
+        groups = stored(connected_components(links), "groups")
     return groups
 
 
@@ -585,8 +643,8 @@ def similar_groups(
         F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("node"), docs[text_col].alias("text"),
     )
     components = similar_components(rows.select("node", "text"), words, min_similarity)
-    named = rows.drop("text").join(components, "node", "left").select(
-        "row", "doc_id", F.coalesce("component", "node").alias("group")
+    named = stored(
+        rows.drop("text").join(components, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("group")), "named"
     )
     least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "group").select("row", "doc_id", "component_id", "group")
@@ -650,6 +708,12 @@ def keep_one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id")
     smallest row hash), so every group keeps one row, whether or not its
     documents have ids and whether or not their ids repeat elsewhere.
     """
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    named = docs.withColumn("__row", row_hash(docs)).join(first.select(F.col("first.row").alias("__row")), "__row", "left_semi")
-    return named.dropDuplicates(["__row"]).select(docs.columns)
+    rows = groups.groupBy("group", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    stays = F.col("row") == F.col("first.row")
+    others = stored(rows.join(first, "group").where(~stays | (F.col("n") > 1)).select(F.col("row").alias("__row"), stays.alias("__stays")), "others")
+    others = F.broadcast(others) if others.count() <= LISTED_NODES else others
+    # Documents that stay and are there once move nowhere, if the list of the others is short.
+    marked = docs.withColumn("__row", row_hash(docs))
+    again = marked.join(others.where("__stays").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    return marked.join(others.select("__row"), "__row", "left_anti").unionByName(again).select(docs.columns)

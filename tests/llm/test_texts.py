@@ -190,6 +190,23 @@ def plain_similar(texts, least=0.8):
     return plain_components(sets, near), near
 
 
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for n in (1, 2, 9, 60, 700, 5000):
+        for kept in (1.0, 0.95, 0.9, 0.85, 0.6, 0.0):
+            for size in (n, n + n // 5, 4 * n):
+                x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                own = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+                y = np.unique(np.concatenate((x[: int(kept * len(x))], own[: max(0, size - int(kept * len(x)))])))
+                shared = len(np.intersect1d(x, y))
+                similar = shared >= 0.8 * (len(x) + len(y) - shared)
+                match = simhash._sketches_may_match(simhash.odd_sketch(x), len(x), simhash.odd_sketch(y), len(y), 0.8)
+                assert match or not similar
+                ruled_out += not match
+    assert ruled_out > 40  # and most others are
+
+
 def test_every_pair_of_similar_texts_is_linked(spark, docs):
     rng = np.random.default_rng(8)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
