@@ -33,11 +33,12 @@ from __future__ import annotations
 
 import itertools
 from collections import deque
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -56,7 +57,8 @@ SEEN = 1_000_000  # texts that a task knows again
 STARS = 3
 MAX_BITS = 4  # of the SimHashes that name the first candidates of similar texts
 _FAMILY, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_SLICE = 256
+_SLICE = 256  # texts at a time
+_ROWS = 2048  # rows of an Arrow batch
 
 
 def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -371,15 +373,16 @@ def _similar(links: DataFrame, docs: DataFrame, words: int, least: float) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _cut_in_small_batches(df: DataFrame) -> DataFrame:
-    """``cut`` while Python gets few rows at a time: two whole texts in a row make large batches."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(_SLICE))
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int):
+    """What is planned inside gives Python so many rows at a time: whole texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
     try:
-        return cut(df)
+        yield
     finally:
-        conf.set(name, before)
+        spark.conf.set(name, before)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -617,7 +620,9 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
         pairs = pairs.distinct()
         # The first turn's pairs are SimHash's and the first stars', checked together.
         pairs = cut(pairs.union(hashed).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = _cut_in_small_batches(_similar(cut(_maybe_similar(pairs, known, least)), docs, words, least))
+        near = cut(_maybe_similar(pairs, known, least))
+        with _batches_of(docs.sparkSession, _SLICE):
+            found = cut(_similar(near, docs, words, least))
         tried, links = (pairs, found) if links is None else (tried.union(pairs), links.union(found))
         groups = stored(connected_components(links), "groups")
     return groups
@@ -642,7 +647,8 @@ def similar_groups(
         row_hash(docs).alias("row"), docs[id_col].alias("doc_id"),
         F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("node"), docs[text_col].alias("text"),
     )
-    components = similar_components(rows.select("node", "text"), words, min_similarity)
+    with _batches_of(docs.sparkSession, _ROWS):
+        components = similar_components(rows.select("node", "text"), words, min_similarity)
     named = stored(
         rows.drop("text").join(components, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("group")), "named"
     )
