@@ -26,6 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ MAX_EXAMPLES = 40_000
 SAMPLE_DOCS = 8_000
 CERTAIN = 0.95
 ROUNDS = 8
-_SLICE = 256
+_SLICE = 256  # texts of one graph at most
+_BYTES = 4 << 20  # and their bytes, unless one text alone has more
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -297,6 +299,18 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in order)
 
 
+def _slices(batch: pa.RecordBatch, at: int):
+    """The batch in runs of rows whose texts, in column ``at``, make a graph of bounded size."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    low = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > low and (i - low == _SLICE or held + size > _BYTES):
+            yield batch.slice(low, i - low)
+            low, held = i, 0
+        held += size
+    yield batch.slice(low)
+
+
 _EXAMPLE = "mark long, place int, x array<double>, gold int, before int, after int, skips array<double>"
 
 
@@ -308,8 +322,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(low, _SLICE)
+            for part in _slices(batch, 1):
                 graph = Graph([t or "" for t in part.column(1).to_pylist()])
                 n = len(graph.x)
                 before, after, skips = np.full(n, -1), np.full(n, -1), np.zeros((n, Y))
@@ -346,15 +359,11 @@ def pii_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for batch in batches:
-            base, full = [], []
-            for low in range(0, batch.num_rows, _SLICE):
-                texts = [t or "" for t in batch.column(1).slice(low, _SLICE).to_pylist()]
-                for rules, more in find_spans(texts, model):
-                    base.append(_joined(rules))
-                    full.append(_joined(rules + more))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base, pa.string()), pa.array(full, pa.string())], ["doc_id", "base", "spans"]
-            )
+            for part in _slices(batch, 1):
+                found = find_spans([t or "" for t in part.column(1).to_pylist()], model)
+                base = pa.array([_joined(rules) for rules, _ in found], pa.string())
+                full = pa.array([_joined(rules + more) for rules, more in found], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), base, full], ["doc_id", "base", "spans"])
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return picked.mapInArrow(run, f"doc_id {kind}, base string, spans string")
@@ -379,14 +388,13 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text", length_col: st
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for low in range(0, batch.num_rows, _SLICE):
-                part = batch.column(at).slice(low, _SLICE).to_pylist()
-                found = find_spans([t or "" for t in part], model)
-                texts += [t and mask(t, rules + more) for t, (rules, more) in zip(part, found, strict=True)]
-            cols = list(batch.columns)
-            cols[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names)
+            for part in _slices(batch, at):
+                texts = part.column(at).to_pylist()
+                found = find_spans([t or "" for t in texts], model)
+                masked = [t and mask(t, rules + more) for t, (rules, more) in zip(texts, found, strict=True)]
+                cols = list(part.columns)
+                cols[at] = pa.array(masked, part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     out = docs.mapInArrow(run, docs.schema)
     if length_col:
