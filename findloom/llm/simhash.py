@@ -58,7 +58,7 @@ STARS = 3
 MAX_BITS = 4  # of the SimHashes that name the first candidates of similar texts
 _FAMILY, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SLICE = 256  # texts at a time
-_ROWS = 2048  # rows of an Arrow batch
+_ROWS = 512  # rows of an Arrow batch
 
 
 def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -422,9 +422,8 @@ def _prefixes(words: int, least: float, common: np.ndarray, rank: np.ndarray):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            out = []
             for low in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(low, _SLICE)
+                part, out = batch.slice(low, _SLICE), []
                 for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if node in seen:
                         continue  # a copy; those of other tasks go when their rows meet
@@ -438,12 +437,12 @@ def _prefixes(words: int, least: float, common: np.ndarray, rank: np.ndarray):
                         token = token[np.argsort(weight, kind="stable")]
                     token = token[: n - int(np.ceil(least * n - 1e-9)) + 1]
                     out.append((token, np.full(len(token), node), np.full(len(token), n), np.arange(len(token))))
-            if out:
-                token, node, size, at = map(np.concatenate, zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))],
-                    ["token", "node", "size", "at"],
-                )
+                if out:
+                    token, node, size, at = map(np.concatenate, zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(token.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))],
+                        ["token", "node", "size", "at"],
+                    )
 
     return run
 
