@@ -2,11 +2,12 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from findloom.llm import chat, embeddings, skew, urls
+from findloom.llm import chat, embeddings, oracle, quality, skew, urls
 from findloom.llm import queries as queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -291,3 +292,44 @@ def test_contract_columns(spark, name):
         "op7_skip_chain_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     }
     assert want[name] <= set(queries.queries()[name](spark, FOLDER).columns)
+
+
+def _sql_rows(rows, names, sql, table):
+    con = duckdb.connect()
+    con.execute(f"create table {table} ({names})")
+    con.executemany(f"insert into {table} values ({', '.join('?' * len(names.split(',')))})", rows)
+    con.execute(sql)
+    found = [c[0] for c in con.description]
+    return sorted((tuple(dict(zip(found, r, strict=True)).items()) for r in con.fetchall()), key=repr)
+
+
+def test_odd_turns_give_the_rows_of_the_sql(spark):
+    rows = [
+        (1, 0, "system", "be brief"), (1, 1, "user", "hi \"there\"\n\t\\ é/"), (1, 2, "assistant", "yes"), (1, 2, "assistant", "no"),
+        (1, 2, "assistant", None), (1, 3, "user", ""), (1, 3, "user", "x" * 2001), (1, 5, "user", "more"), (1, 5, "system", "late"),
+        (2, 0, "user", None), (2, 4, "user", "gap"), (2, 1, "assistant", "ok"), (2, 9, "assistant", "nothing asked"),
+        (2, None, "assistant", "when?"), (None, 1, "assistant", "who?"), (None, 1, "user", "q"), (2, None, "user", "q"),
+        (3, 0, "tool", "t"), (3, 1, None, "t"), (3, 1, "assistant", "after a tool"), (3, 1, "assistant", "after a tool"),
+        (3, -1, "user", "early"), (4, 0, "user", "same"), (4, 0, "user", "same"), (4, 0, "configure", "same"), (None, None, None, None),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.link_tool_calls(*chat.turns_as_calls(turns), chat.TURN_TOOLS)
+    theirs = _sql_rows(rows, "conv_id bigint, turn bigint, role varchar, text varchar", oracle.TOOL_CALLS, "conversations")
+    mine = sorted((tuple(r.asDict().items()) for r in got.collect()), key=repr)
+    assert mine == theirs
+    answered = [r for r in map(dict, theirs) if r["tool"] is not None and r["n_results"]]
+    assert len(mine) == len(rows) - len(answered)  # only a first result shares its call's row
+
+
+def test_odd_texts_give_the_rows_of_the_sql(spark):
+    phrase = "one two three four five six seven"
+    rows = [
+        (1, None), (2, ""), (None, " \t\n\x0b "), (3, "a b c d e f g h i j"), (3, f"{phrase} {phrase} and so on"), (4, "x " * 40),
+        (5, f"{phrase}\n{phrase}\n\n\n {phrase}\nß é 漢字 #*$%&|<>"), (6, " ".join(f"w{i % 61}" for i in range(30_000))),
+        (7, " ".join(f"w{i}" for i in range(200)) + f" {phrase} x {phrase}"), (8, "nine words are one too few for the rule"),
+        (9, "ten\u00a0words with\u2003other\x85blanks " * 2), (10, "a b c d e a b c d e f g h i j k l m n o p q r s t u v w x y z " + phrase),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    theirs = _sql_rows(rows, "doc_id bigint, text varchar", oracle.QUALITY, "documents")
+    assert sorted((tuple(r.asDict().items()) for r in quality.quality_rules(docs).collect()), key=repr) == theirs
+    assert {r[-1][1] for r in theirs} == {True, False}
