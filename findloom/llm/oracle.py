@@ -123,5 +123,126 @@ from lines
 """
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _plain_words(table: str, columns: str) -> str:
+    lower = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+    return f"select {columns}, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from {table}"
+
+
+BENCHMARK = f"""
+with words as (
+  {_plain_words("documents", "row_number() over () as rid, doc_id")}
+), items as (
+  {_plain_words("benchmark", "item_id")}
+), windows as (
+  select distinct item_id, least(len(w), 10) as size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as words
+  from items, unnest(range(1, len(w) - least(len(w), 10) + 2)) as t(i) where len(w) > 0
+), sizes as (
+  select distinct size from windows
+), spots as (
+  select rid, i, size, array_to_string(w[i : i + size - 1], ' ') as words
+  from words, sizes, unnest(range(1, len(w) - size + 2)) as t(i)
+), hits as (
+  select rid, i, size, item_id from spots join windows using (size, words)
+), places as (
+  select rid, count(distinct p) as n_hit from (select distinct rid, i, size from hits) as h, unnest(range(i, i + size)) as t(p) group by rid
+), found as (
+  select rid, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct rid, cast(item_id as varchar) as item from hits where item_id is not null) as h group by rid
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join places using (rid) left join found using (rid)
+"""
+
+
+def _nearest(i: int) -> str:
+    return f"""assigned{i} as materialized (
+  select rid, part, arg_min(entry, (square, entry)) as entry, min(square) as square
+  from (
+    select c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) as square
+    from components as c join books{i} as b using (part, pos) group by c.rid, c.part, b.entry
+  ) as d group by rid, part
+)"""
+
+
+def _moved(i: int) -> str:
+    return f"""books{i + 1} as materialized (
+  select part, entry, pos, coalesce(m.x, b.x) as x
+  from books{i} as b left join (
+    select part, entry, pos, (total - ((total % n) + n) % n) // n as x
+    from (
+      select part, entry, pos, sum(x)::bigint as total, count(*) as n
+      from components join assigned{i} using (rid, part) group by part, entry, pos
+    ) as s
+  ) as m using (part, entry, pos)
+)"""
+
+
+CODES = f"""
+with kept as materialized (
+  select row_number() over (order by vec_id nulls last, embedding) as rid, vec_id, label, embedding from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), components as materialized (
+  select rid, (i - 1) // (len(embedding) // 16) as part, (i - 1) % (len(embedding) // 16) as pos,
+    cast(floor(256 * cast(embedding[i] as double)) as bigint) as x
+  from kept, unnest(range(1, len(embedding) + 1)) as t(i)
+), books0 as materialized (
+  select part, rid - 1 as entry, pos, x from components where rid <= 64
+), {_nearest(0)}, {_moved(0)}, {_nearest(1)}, {_moved(1)}, {_nearest(2)}, codes as (
+  select rid, string_agg(printf('%02x', entry), '' order by part) as code, sum(square)::bigint as error from assigned2 group by rid
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+  (select sha256(string_agg(cast(x as varchar), ',' order by part, entry, pos)) from books2) as codebooks_sha256
+from kept join codes using (rid)
+"""
+
+# The checksum is the usual one (reflected polynomial 0xEDB88320), a byte at a time.
+SPELLINGS = f"""
+with recursive steps as (
+  select list(list_reduce(range(8), lambda c, b: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n) order by n) as step
+  from range(256) as t(n)
+), runs as (
+  select coalesce(cast(doc_id as varchar), '') as id, translate(run, '{_UPPER}', '{_UPPER.lower()}') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) as r
+  where length(run) >= 6 group by 1, 2
+), bytes as (
+  select run, n, hex(encode(id || ':' || run)) as h from runs
+), marked as (
+  select run, n, 4294967295 - list_reduce(
+    list_transform(range(1, length(h) // 2 + 1), lambda i: cast('0x' || h[2 * i - 1 : 2 * i] as bigint)),
+    lambda c, b: xor(c >> 8, step[xor(c, b) % 256 + 1]), cast(4294967295 as bigint)
+  ) as mark from bytes, steps
+), spelled as (
+  select case when mark % 199 = 0 then left(run, mark % length(run)) || substr(run, mark % length(run) + 2) else run end as word, n from marked
+), words as materialized (
+  select word, cast(sum(n) as bigint) as n from spelled where length(word) >= 6 group by word having sum(n) >= 5
+), spots as materialized (
+  select word, n, i, left(word, i - 1) as head, substr(word, i + 1) as rest from words, unnest(range(1, length(word) + 1)) as t(i)
+), near as materialized (
+  select a.word, b.word as near, b.n as near_n
+  from spots as a join spots as b on a.i = b.i and a.head = b.head and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from spots as a join words as b on a.head || a.rest = b.word
+  union select b.word, a.word, a.n from spots as a join words as b on a.head || a.rest = b.word
+), best as (
+  select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from near group by word
+), forms as materialized (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 5 * w.n then near end as form,
+    case when near_n >= 5 * w.n then near_n end as form_n
+  from words as w left join best using (word)
+), paths(word, root) as (
+  select word, word from forms
+  union all select p.word, f.form from paths as p join forms as f on f.word = p.root where f.form is not null
+)
+select f.word, f.form, p.root, f.n, f.n_near, f.form_n
+from forms as f join paths as p using (word) join forms as e on e.word = p.root where e.form is null
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tool_call_linking": TOOL_CALLS, "op10_quality_rules": QUALITY}
+    return {
+        "op4_tool_call_linking": TOOL_CALLS, "op10_quality_rules": QUALITY, "op11_benchmark_decontamination": BENCHMARK,
+        "op12_elkan_codes": CODES, "op13_spelling_neighbourhoods": SPELLINGS,
+    }

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import spread
-from . import chat, embeddings, lm, oracle, packing, pieces, pii, quality, sharding, simhash, urls
+from ..sources.storage import spread, stored
+from . import chat, codes, decontaminate, embeddings, lm, oracle, packing, pieces, pii, quality, sharding, simhash, spelling, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_windows(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.fit_and_encode(codes.usable(_table(spark, sf_dir, "embeddings")))
+    digest = F.lit(codes.books_digest(books))
+    return codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_spelling_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), typo_one_in=199)
+    return spelling.spelling_groups(stored(words, "words"))
+
+
 def queries() -> dict:
     return {
         "op1_weighted_tree_sharding": op1_weighted_tree_sharding,
@@ -75,6 +94,9 @@ def queries() -> dict:
         "op8_path_template_filter": op8_path_template_filter,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_benchmark_decontamination": op11_benchmark_decontamination,
+        "op12_elkan_codes": op12_elkan_codes,
+        "op13_spelling_neighbourhoods": op13_spelling_neighbourhoods,
     }
 
 
