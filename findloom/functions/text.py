@@ -124,6 +124,17 @@ def has_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
+def grams(normalized: Column, longest: int) -> Column:
+    """Every run of one to ``longest`` words of normalized text, each once: what ``has_phrase`` finds in it."""
+    found = F.filter(F.split(normalized, " "), lambda w: w != "")
+    n = F.size(found)
+    runs = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), n)),
+        lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(found, i, k), " ")),
+    )
+    return F.when(n > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+
 def quoted(query: Column) -> Column:
     """Quoted phrases of two words or more, normalized and distinct, in the order of the query."""
     pattern = r'"[^"]+"|“[^”]+”|«[^»]+»|„[^“”]+[“”]'

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
@@ -93,11 +94,46 @@ def build_docs(posts: DataFrame) -> DataFrame:
     )
 
 
-_VERSIONS = "number long, folder string, rules string"
+DELETION_CHARS = 16  # of a term's beginning; two words two edits apart share a key of their beginnings, too
+HIDDEN_MOST = 2_000_000  # ids that readers broadcast at most; a version that would hide more is folded
+SEGMENTS_MOST = 12
+_VERSIONS = "number long, segments array<string>, buckets int, hidden long, rules string, schemas map<string,string>"
+
+
+def deletion_keys(word: Column, depth: int) -> Column:
+    """The beginning of a word with ``depth`` letters (0 to 2) left out, each text once; its first letter stays."""
+    w = F.left(word, F.lit(DELETION_CHARS))
+    n, rest = F.char_length(w), F.lit(DELETION_CHARS)
+    if depth == 0:
+        return F.array(w)
+    if depth == 1:
+        cut = F.transform(F.sequence(F.lit(2), n), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, rest)))
+        return F.when(n >= 2, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+    cut = F.flatten(
+        F.transform(
+            F.sequence(F.lit(2), n - 1),
+            lambda i: F.transform(
+                F.sequence(i + 1, n),
+                lambda j: F.concat(F.left(w, i - 1), F.substring(w, i + 1, j - i - 1), F.substring(w, j + 1, rest)),
+            ),
+        )
+    )
+    return F.when(n >= 3, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+
+def deletions_of(vocabulary: DataFrame) -> DataFrame:
+    """``(lang, depth, key, term)``: the deletion neighbourhood of each term of three letters or more."""
+    words = vocabulary.where((F.char_length("term") >= 3) & ~F.col("term").startswith("#")).select("lang", "term")
+    keys = F.array(*(F.struct(F.lit(k).alias("depth"), deletion_keys(F.col("term"), k).alias("keys")) for k in range(3)))
+    return words.select("lang", "term", F.inline(keys)).select("lang", "depth", F.explode("keys").alias("key"), "term")
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("lang", "term"), F.lit(buckets)).cast("int")
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
-    """The published versions of an index: ``(number, folder, rules)``."""
+    """The published versions of an index: ``(number, segments, buckets, hidden, rules, schemas)``."""
     try:
         return spark.read.schema(_VERSIONS).parquet(f"{path}/versions")
     except AnalysisException as e:
@@ -106,46 +142,175 @@ def versions(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], _VERSIONS)
 
 
-def publish_index(terms: DataFrame, docs: DataFrame, path: str, rules: str = "") -> int:
-    """The index as a new version, which readers see once it is whole: its files go to a folder of their own, then one
-    row names it. Readers of older versions are not disturbed.
+def _write(df: DataFrame, path: str, name: str, segment: str, by: list[str], order: list[str]) -> None:
+    """One table of a segment: rows that belong together meet, and what is too large for a task is split."""
+    df.hint("rebalance", *by).sortWithinPartitions(*by, *order).write.partitionBy(*by).parquet(f"{path}/{name}/segment={segment}")
+
+
+def _parts(number: int) -> str:
+    return f"{number:08d}-{uuid.uuid4().hex}"
+
+
+def _publish(spark: SparkSession, path: str, row: tuple) -> int:
+    spark.createDataFrame([row], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return row[0]
+
+
+def _with_status(docs: DataFrame) -> DataFrame:
+    return docs if "status" in docs.columns else docs.withColumn("status", F.lit("indexed"))
+
+
+def _table_of(spark: SparkSession, path: str, name: str, segments: list[str], kind: StructType) -> DataFrame:
+    folders = [f"{path}/{name}/segment={s}" for s in segments]
+    return spark.read.schema(kind).option("basePath", f"{path}/{name}").parquet(*folders)
+
+
+def _kinds(terms: DataFrame, docs: DataFrame) -> dict[str, str]:
+    """The columns of the tables, with those that are folders, to read also what has no rows."""
+    found = {}
+    for name, df, more in (("terms", terms, [StructField("bucket", IntegerType())]), ("docs", docs, [])):
+        found[name] = StructType([*df.schema, *more, StructField("segment", StringType())]).json()
+    return found
 
-    Terms are range-partitioned and sorted by language and term, the vocabulary
-    by language and first letters, so probes skip row groups.
+
+def publish_index(terms: DataFrame, docs: DataFrame, path: str, rules: str = "", buckets: int = 32) -> int:
+    """The index as a new version of one segment, which readers see once it is whole: its files go to folders of their
+    own, then one row names it. Readers of older versions are not disturbed.
+
+    Terms lie in folders by language and by a hash bucket of language and term,
+    so that a search reads the buckets of its words only; ``buckets`` should
+    grow with the index. The vocabulary is sorted by its first letters.
     """
     spark = terms.sparkSession
     number = (versions(spark, path).agg(F.max("number")).first()[0] or 0) + 1
-    folder = f"v{number}-{uuid.uuid4().hex}"
-    terms.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").write.partitionBy("lang").parquet(f"{path}/{folder}/terms")
-    docs.write.partitionBy("lang").parquet(f"{path}/{folder}/docs")
-    known = vocabulary_of(_read(spark, f"{path}/{folder}/terms"))
-    known.repartitionByRange("lang", "head", "term").sortWithinPartitions("lang", "head", "term").write.partitionBy("lang").parquet(
-        f"{path}/{folder}/vocabulary"
-    )
-    spark.createDataFrame([(number, folder, rules)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
-    return number
+    segment, docs = _parts(number), _with_status(docs)
+    schemas = _kinds(terms, docs)
+    _write(terms.withColumn("bucket", bucket_of(buckets)), path, "terms", segment, ["lang", "bucket"], ["term"])
+    _write(docs, path, "docs", segment, ["lang"], ["doc_id"])
+    kept = _table_of(spark, path, "terms", [segment], StructType.fromJson(json.loads(schemas["terms"])))
+    _write_words(spark, path, segment, vocabulary_of(kept))
+    return _publish(spark, path, (number, [segment], buckets, 0, rules, schemas))
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "false").parquet(path).withColumn("lang", F.col("lang").cast("string"))
+_WORDS = "lang string, term string, docs long, strong long, head string, segment string"
+_KEYS = "lang string, depth int, key string, term string, segment string"
+_GONE = "doc_id {0}, terms boolean, segment string"
+
+
+def _write_words(spark: SparkSession, path: str, segment: str, vocabulary: DataFrame, known: DataFrame | None = None) -> None:
+    """A segment's vocabulary, and the deletions of its terms that are not ``known`` already."""
+    _write(vocabulary, path, "vocabulary", segment, ["lang"], ["head", "term"])
+    own = _table_of(spark, path, "vocabulary", [segment], StructType.fromDDL(_WORDS))
+    own = own if known is None else own.join(known.select("lang", "term"), ["lang", "term"], "left_anti")
+    _write(deletions_of(own), path, "deletions", segment, ["lang", "depth"], ["key"])
 
 
 @dataclass(frozen=True)
 class Index:
-    """A published index; ``vocabulary`` has a row per term."""
+    """A published index, as of one version: ``vocabulary`` has a row per term, ``deletions`` one per term and key."""
 
     terms: DataFrame
     docs: DataFrame
     vocabulary: DataFrame
+    deletions: DataFrame
+    number: int
+    rules: str
 
 
-def read_index(spark: SparkSession, path: str, number: int | None = None) -> Index:
-    """The newest published version, or the given one."""
+def _version(spark: SparkSession, path: str, number: int | None = None):
     known = versions(spark, path)
     row = (known if number is None else known.where(F.col("number") == number)).orderBy(F.desc("number")).first()
     if row is None:
         raise ValueError(f"no such published index: {path}")
-    return Index(*(_read(spark, f"{path}/{row['folder']}/{name}") for name in ("terms", "docs", "vocabulary")))
+    return row
+
+
+def read_index(spark: SparkSession, path: str, number: int | None = None) -> Index:
+    """The newest published version, or the given one: its segments as one, without the rows that later ones hide."""
+    row = _version(spark, path, number)
+    kinds = {name: StructType.fromJson(json.loads(kind)) for name, kind in row["schemas"].items()}
+    terms, docs = (_table_of(spark, path, name, row["segments"], kinds[name]) for name in ("terms", "docs"))
+    words = _table_of(spark, path, "vocabulary", row["segments"], StructType.fromDDL(_WORDS))
+    keys = _table_of(spark, path, "deletions", row["segments"], StructType.fromDDL(_KEYS)).drop("segment")
+    if row["hidden"]:
+        gone = _gone(spark, path, row["segments"], docs)
+        few = row["hidden"] <= HIDDEN_MOST
+        terms, docs = _live(terms, gone.where("terms"), few), _live(docs, gone, few)
+    if len(row["segments"]) > 1:
+        counts = words.groupBy("lang", "term", "head").agg(F.sum("docs").alias("docs"), F.sum("strong").alias("strong"))
+        words = counts.where("docs > 0")
+    bucket = F.col("bucket").alias("bucket", metadata={"buckets": row["buckets"]})
+    terms = terms.drop("segment").withColumn("bucket", bucket)
+    return Index(terms, docs.drop("segment"), words.select("lang", "term", "head", "docs", "strong"), keys, row["number"], row["rules"])
+
+
+def _gone(spark: SparkSession, path: str, segments: list[str], docs: DataFrame) -> DataFrame:
+    """``(doc_id, terms, segment)`` of all segments but the first, which hides nothing."""
+    kind = StructType.fromDDL(_GONE.format(docs.schema["doc_id"].dataType.simpleString()))
+    return _table_of(spark, path, "gone", segments[1:], kind)
+
+
+def _live(rows: DataFrame, gone: DataFrame, few: bool) -> DataFrame:
+    """Rows that no later segment hides. Ids are broadcast if they are ``few``; only folding reads versions with more."""
+    last = gone.groupBy(F.col("doc_id").alias("__gone")).agg(F.max("segment").alias("__upto"))
+    last = F.broadcast(last) if few else last
+    return rows.join(last, (rows["doc_id"] == last["__gone"]) & (rows["segment"] < last["__upto"]), "left_anti")
+
+
+def add_segment(
+    spark: SparkSession, path: str, terms: DataFrame, docs: DataFrame, removed: DataFrame | None = None,
+    kept_terms: DataFrame | None = None, rules: str | None = None,
+) -> int:
+    """A new version of the newest one and a segment of changed documents: only what changed is written.
+
+    ``docs`` and their ``terms`` are added and hide what older segments have of
+    the same ids, as do ``removed(doc_id)``; of ``kept_terms(doc_id)``, documents
+    that could not be read again, the old terms stay. The new segment's
+    vocabulary has the changes of counts, so hidden documents count negatively.
+    A version of many segments or hidden ids is folded into one at once.
+    """
+    row, index = _version(spark, path), read_index(spark, path)
+    number = row["number"] + 1
+    segment = _parts(number)
+    docs = _with_status(docs).select(index.docs.columns)
+    _write(docs, path, "docs", segment, ["lang"], ["doc_id"])
+    kinds = {name: StructType.fromJson(json.loads(kind)) for name, kind in row["schemas"].items()}
+    mine = _table_of(spark, path, "docs", [segment], kinds["docs"])
+    ids = mine.select("doc_id")
+    if removed is not None:
+        ids = ids.union(removed.select("doc_id"))
+    ids = ids.distinct().withColumn("terms", F.lit(True))
+    if kept_terms is not None:
+        stay = kept_terms.select("doc_id", F.lit(False).alias("stay")).distinct()
+        ids = ids.join(stay, "doc_id", "left").select("doc_id", F.coalesce("stay", "terms").alias("terms"))
+    ids.join(index.docs.select("doc_id"), "doc_id", "left_semi").write.parquet(f"{path}/gone/segment={segment}")
+    kind = StructType.fromDDL(_GONE.format(index.docs.schema["doc_id"].dataType.simpleString()))
+    hidden = _table_of(spark, path, "gone", [segment], kind)
+    _write(
+        terms.select(*(c for c in index.terms.columns if c != "bucket")).withColumn("bucket", bucket_of(row["buckets"])),
+        path, "terms", segment, ["lang", "bucket"], ["term"],
+    )
+    n_hidden = hidden.count()
+    old = hidden.where("terms").select("doc_id")
+    before = index.terms.join(F.broadcast(old) if n_hidden <= HIDDEN_MOST else old, "doc_id", "left_semi")
+    less = vocabulary_of(before).select("lang", "term", "head", F.negative("docs").alias("docs"), F.negative("strong").alias("strong"))
+    more = vocabulary_of(_table_of(spark, path, "terms", [segment], kinds["terms"])).select(less.columns)
+    change = more.union(less).groupBy("lang", "term", "head").agg(F.sum("docs").alias("docs"), F.sum("strong").alias("strong"))
+    ever = _table_of(spark, path, "vocabulary", row["segments"], StructType.fromDDL(_WORDS))
+    _write_words(spark, path, segment, change.where("docs <> 0 or strong <> 0"), ever)
+    rules = row["rules"] if rules is None else rules
+    segments, n_hidden = [*row["segments"], segment], row["hidden"] + n_hidden
+    _publish(spark, path, (number, segments, row["buckets"], n_hidden, rules, row["schemas"]))
+    if n_hidden > HIDDEN_MOST or len(segments) > SEGMENTS_MOST:
+        return fold_segments(spark, path)
+    return number
+
+
+def fold_segments(spark: SparkSession, path: str, buckets: int | None = None) -> int:
+    """A new version with the rows of the newest one in one segment, in other ``buckets`` if they are given."""
+    row, index = _version(spark, path), read_index(spark, path)
+    terms = index.terms.drop("bucket")
+    return publish_index(terms, index.docs, path, row["rules"], buckets or row["buckets"])
 
 
 def named_rows(names: DataFrame, field: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..sources.storage import stored
-from .index import Index
+from .index import Index, add_segment, read_index
 
 
 def eligible(posts: DataFrame, noindex: DataFrame, post_types: list[str]) -> DataFrame:
@@ -79,12 +81,37 @@ def refresh(index: Index, terms: DataFrame, docs: DataFrame, errors: DataFrame |
     old = index.docs.withColumn("status", F.lit("indexed")) if "status" not in index.docs.columns else index.docs
     new = docs.select("doc_id", "source_hash").join(errors, "doc_id", "full_outer").select("doc_id", "source_hash", "error")
     plan = stored(index_plan(new, old.select("doc_id", "source_hash", "status")), "plan")
-    kept = apply_plan(plan, docs.withColumn("status", F.lit("indexed")), old.select(*docs.columns, "status"))
+    kept = apply_plan(plan, docs.withColumn("status", F.lit("indexed")), old.select(*(c for c in docs.columns if c != "status"), "status"))
     failed = plan.where("action = 'failed'").select("doc_id", F.lit(True).alias("failed"))
     marked = kept.join(failed, "doc_id", "left").withColumn("status", F.when(F.col("failed"), "failed").otherwise(F.col("status")))
     return plan, apply_plan(plan, terms, index.terms.select(terms.columns)), marked.drop("failed")
 
 
+def refresh_published(
+    spark: SparkSession, path: str, docs: DataFrame, terms_of: Callable[[DataFrame], DataFrame], errors: DataFrame | None = None,
+    rules: str | None = None,
+) -> DataFrame:
+    """A published index brought up to date with ``docs`` (``index.build_docs``' rows of all posts) by one more segment.
+
+    Only documents that ``index_plan`` finds new or changed are indexed again:
+    ``terms_of(docs)`` makes their terms. Documents that are gone are hidden,
+    and those with ``errors(doc_id, error)`` keep their terms, marked as failed.
+    Other ``rules`` than the index has index everything again. Gives the plan.
+    """
+    index = read_index(spark, path)
+    none = spark.createDataFrame([], "doc_id long, error string")
+    new = docs.select("doc_id", "source_hash").join(none if errors is None else errors, "doc_id", "full_outer").select("doc_id", "source_hash", "error")
+    old = index.docs.select("doc_id", "source_hash", "status")
+    if rules is not None and rules != index.rules:
+        old = old.withColumn("source_hash", F.lit(None).cast("string"))
+    plan = stored(index_plan(new, old), "plan")
+    named = lambda action: plan.where(F.col("action") == action).select("doc_id")
+    fresh = docs.join(named("indexed"), "doc_id", "left_semi").withColumn("status", F.lit("indexed")).select(index.docs.columns)
+    failed = index.docs.join(named("failed"), "doc_id", "left_semi").withColumn("status", F.lit("failed"))
+    add_segment(spark, path, terms_of(fresh), fresh.unionByName(failed), named("removed"), named("failed"), rules)
+    return plan
+
+
 def orphan_terms(terms: DataFrame, docs: DataFrame) -> DataFrame:
     """Terms whose document is not there."""
     return terms.join(docs.select("doc_id"), "doc_id", "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import decode as dc
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..sources.storage import cut
+from ..sources.storage import cut, stored
 
 
 def parse(
@@ -77,7 +77,7 @@ def expand_prefixes(qv: DataFrame, terms: DataFrame, vocabulary: DataFrame | Non
     capped = longer.withColumn("at", F.row_number().over(order)).where(F.col("at") <= lx.PREFIX_TERMS)
     new = capped.join(qv.select("qid", "g", "term"), ["qid", "g", "term"], "left_anti")
     longer_terms = new.select(*qv.columns[:5], "term", F.lit(lx.VARIANTS["prefix"]).alias("weight"), F.lit("prefix").alias("kind"))
-    return cut(qv.unionByName(longer_terms))
+    return stored(qv.unionByName(longer_terms), "variants")
 
 
 def attach_concepts(
@@ -85,11 +85,14 @@ def attach_concepts(
 ) -> tuple[DataFrame, DataFrame]:
     """Concepts named in queries as variants of the words that name them, and ``(qid, slug, confidence)``.
 
-    ``labels(lang, slug, label)`` match as whole folded words; ``matches(qid,
-    slug, confidence, matched)`` of an own matcher come first.
+    ``labels(lang, slug, label)`` match as whole folded words: the runs of a
+    query's words, up to the longest label's length, are joined with them.
+    ``matches(qid, slug, confidence, matched)`` of an own matcher come first.
     """
-    named = q.join(labels.withColumn("words", tx.tokens(F.col("label"))), "lang").where(F.size("words") > 0)
-    named = named.where(tx.has_phrase(F.col("normalized"), F.array_join("words", " "))).select(
+    known = stored(labels.select("lang", "slug", tx.tokens(F.col("label")).alias("words")).where(F.size("words") > 0).distinct(), "labels")
+    longest = known.agg(F.max(F.size("words"))).first()[0] or 1
+    runs = q.select("qid", "lang", F.explode(tx.grams(F.col("normalized"), longest)).alias("gram"))
+    named = runs.join(known.withColumn("gram", F.array_join("words", " ")), ["lang", "gram"]).select(
         "qid", "slug", F.lit(1.0).alias("confidence"), "words"
     )
     if matches is not None:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..sources.storage import stored
+from .index import bucket_of
 
 
 @dataclass(frozen=True)
@@ -54,15 +55,39 @@ def rarity(docs: Column, df: Column) -> Column:
     return F.when(df > 0, F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.2))).otherwise(F.lit(0.0))
 
 
-def contributions(qv: DataFrame, terms: DataFrame, options: Options, winners: bool = False) -> DataFrame:
+VARIANTS_MOST = 2_000_000  # rows of asked variants that are broadcast at most
+
+
+def probe(qv: DataFrame, terms: DataFrame, fields: list[str]) -> DataFrame:
+    """The rows of ``terms`` that the variants ask for, one per variant.
+
+    The variants are broadcast if they are few, so that the index is neither
+    shuffled nor broadcast, and of an index in buckets only those are read that
+    the variants name: Spark prunes folders by the broadcast, when it runs.
+    More variants than that are dealt out with the buckets' rows they ask for.
+    """
+    asked = qv.select("qid", "lang", "g", "term", "weight", "kind").where("weight > 0")
+    keys, columns = ["lang", "term"], ["doc_id", "lang", "term", *fields]
+    if "bucket" in terms.columns:
+        n = terms.schema["bucket"].metadata["buckets"]
+        asked, keys, columns = asked.withColumn("bucket", bucket_of(n)), [*keys, "bucket"], [*columns, "bucket"]
+    asked = stored(asked, "variants")
+    if asked.count() <= VARIANTS_MOST:
+        asked = F.broadcast(asked.where("weight > 0"))  # a condition, without which Spark expects no pruning
+    return terms.select(*columns).join(asked, keys).drop("bucket")
+
+
+def contributions(
+    qv: DataFrame, terms: DataFrame, options: Options, winners: bool = False, results: DataFrame | None = None
+) -> DataFrame:
     """``(qid, lang, doc_id, g, <fields>)``: the best contribution of any variant, null where there is none.
 
     With ``winners`` also ``w_<field>``, the variant that gave it. Fields of
-    weight 0 are not read.
+    weight 0 are not read. ``results(qid, doc_id)`` restricts what is returned.
     """
     fields = [f for f in lx.FIELDS if options.weight(f) > 0]
-    probe = terms.select("doc_id", "lang", "term", *fields)
-    hits = probe.join(qv.select("qid", "lang", "g", "term", "weight", "kind"), ["lang", "term"])
+    hits = probe(qv, terms, fields)
+    hits = hits if results is None else hits.join(results.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
     points = {
         f: F.when(F.col(f) > 0, F.lit(options.weight(f)) * amount(f, F.col(f).cast("double")) * F.col("weight"))
         for f in fields
@@ -148,20 +173,24 @@ def rank(
     all_titled = F.when((n >= 2) & (F.col("matched") == n) & F.col("titled"), options.weight("title_all")).otherwise(0.0)
     kept = kept.withColumn("part", part).withColumn("title_bonus", bonus).withColumn("all_titled", all_titled)
     kept = kept.withColumn("score", score + F.col("title_bonus") + F.col("all_titled")).withColumn("phrase", F.lit(0.0))
+    kept = stored(kept, "candidates")
 
-    # The phrase in the text: for the best candidates only, whose text is joined now.
+    # The phrase in the text: for the best candidates only, whose text is joined now. They are taken by a limit, so a task
+    # hands on no more of a query than that; the others are those behind the last of them.
     is_quoted = F.size("phrases") > 0
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    placed = kept.withColumn("at", F.row_number().over(by_score))
     limit = F.when(is_quoted, lx.QUOTED_CANDIDATES).otherwise(lx.PHRASE_CANDIDATES)
-    looked = (is_quoted | multi) & (F.col("at") <= limit)
+    first = kept.where(is_quoted | multi).withColumn("at", F.row_number().over(by_score))
+    first = first.where(F.col("at") <= max(lx.QUOTED_CANDIDATES, lx.PHRASE_CANDIDATES)).where(F.col("at") <= limit).drop("at")
+    behind = F.struct(F.negative("score").alias("score"), "doc_id")
+    last = first.groupBy("qid").agg(F.max(behind).alias("last"))
     text = tx.normalize(F.concat_ws("\n", F.coalesce("content", F.lit("")), F.coalesce("excerpt", F.lit(""))))
     bodies = live.select("doc_id", "lang", "content", "excerpt")
-    near = placed.where(looked).join(bodies, ["doc_id", "lang"]).withColumn("body", text)
+    near = first.join(bodies, ["doc_id", "lang"]).withColumn("body", text)
     near = near.where(F.forall("phrases", lambda p: tx.has_phrase(F.col("title_norm"), p) | tx.has_phrase(F.col("body"), p)))
     phrase = F.when(multi & tx.has_phrase(F.col("body"), F.col("normalized")), options.weight("content_phrase"))
     near = near.withColumn("phrase", F.coalesce(phrase, F.lit(0.0))).withColumn("score", F.col("score") + F.col("phrase"))
-    far = placed.where(~looked & ~is_quoted)
+    far = kept.where(~is_quoted).join(last, "qid", "left").where(F.col("last").isNull() | (behind > F.col("last"))).drop("last")
     boosted = F.col("score") * F.col("boost")
     boosted = options.score(boosted, F.col("doc_id")) if options.score else boosted
     final = near.drop("content", "excerpt", "body").unionByName(far).withColumn("score", boosted).where("score > 0")
@@ -184,8 +213,7 @@ def rank(
 def matched_terms(qv: DataFrame, terms: DataFrame, results: DataFrame, options: Options | None = None) -> DataFrame:
     """``(qid, doc_id, terms, concepts)`` of ``results(qid, doc_id)``: the variants that won in some field."""
     options = options or Options()
-    wanted = terms.join(results.select("doc_id").distinct(), "doc_id", "left_semi")
-    best = contributions(qv, wanted, options, winners=True).join(results.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+    best = contributions(qv, terms, options, winners=True, results=results)
     won = F.array_compact(F.array(*(F.col(f"w_{f}.term") for f in lx.FIELDS if f"w_{f}" in best.columns)))
     found = best.groupBy("qid", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(won)))).alias("all"))
     concept = lambda t: t.startswith("#")

@@ -120,7 +120,6 @@ def search(
     guides = split.where("guide").select("qid", "doc_id", "score", "place")
     more = {}
     if request.explain:
-        best = rk.contributions(full, terms.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), options, winners=True)
-        best = best.join(rows.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
+        best = rk.contributions(full, terms, options, winners=True, results=rows)
         more = {"explain": rk.explain(best, found["groups"], options), "explain_whole": rk.explain_whole(rows)}
     return Answer(request.hits(results) if request.hits else results, totals, guides, q, **more)

@@ -465,7 +465,7 @@ def all_sql() -> dict[str, str]:
             group by 1, 2 having sum(searches) >= 3 and min(results) >= 5 and max(fallback) = ''
           ), top as (select *, row_number() over (partition by lang order by searches desc, query) as nth from proven)
           select lang, query, row_number() over (partition by lang order by nth) as place from top where nth <= 2 and length(query) between 3 and 40"""
-    return {
+    found = {
         "rank_explain": _explained(),
         "explain_whole": _explained_whole(),
         "pin_lines": f"with {PINS} select line, query, norm, doc_id, pos from pins",
@@ -569,6 +569,20 @@ def all_sql() -> dict[str, str]:
         "docs_per_lang": "select lang, count(*) as docs from documents group by 1",
         "doc_terms": f"with {POSTS}, {TERMS} select doc_id, term, title from terms where title > 0",
     }
+    index = f"with {POSTS}, {TERMS}"
+    return found | {
+        "stream_recorded_log": found["recorded_log"],
+        "stream_click_counts": found["click_counts"],
+        "view_clicks": """with c as (select user_id as post_id, ['result', 'pinned', 'photos', 'other'][event_id % 4 + 1] as source,
+            case when user_id % 3 <> 0 then 'v' || (event_id % 9) end as view from events where event_type = 'click')
+          select source, view is null as nameless,
+            count(*) filter (view is null) + count(distinct (view, post_id)) filter (view is not null) as clicks from c group by 1, 2""",
+        "suggestions_blocked": f"""{log}, {_PROVEN}
+          select lang, query, row_number() over (partition by lang order by nth) as place from merged
+          where nth <= 30 and not (substr(query, 2)::int % 3 = 0 and substr(query, 2)::int % 2 <> 0) qualify place <= 10""",
+        "indexed_in_steps": f"{index} select * from terms where doc_id % 13 <> 0",
+        "words_in_steps": f"{index} select lang, term, count(*) as docs, count(*) filter (title > 0 or place > 0) as strong from terms where doc_id % 13 <> 0 group by 1, 2",
+    }
 
 
 _STATE = "case when p.doc_id is null then 'orphan' when d.doc_id is null then 'missing' when d.doc_id % 19 = 0 then 'failed' when d.doc_id % 6 <> 0 then 'current' else 'stale' end"

@@ -300,7 +300,7 @@ def fuzzy_closest(spark, d):
     known = tb.index(spark, d).vocabulary
     broken = F.concat(F.left("term", F.lit(2)), F.substring("term", 4, 100))
     asked = known.where("length(term) between 5 and 9").select("lang", broken.alias("token")).distinct()
-    return rc.closest_terms(asked, tb.index(spark, d).terms, known)
+    return rc.closest_terms(asked, tb.index(spark, d).terms, known, tb.index(spark, d).deletions)
 
 
 @_query
@@ -309,7 +309,7 @@ def did_you_mean(spark, d):
     asked = tb.benchmark_queries(spark, d).select(
         "qid", "lang", F.concat(F.left("query", F.lit(3)), F.substring("query", 5, 200)).alias("query")
     )
-    return rc.did_you_mean(asked, at.terms, at.docs, vocabulary=at.vocabulary)
+    return rc.did_you_mean(asked, at.terms, at.docs, vocabulary=at.vocabulary, deletions=at.deletions)
 
 
 @_query
@@ -366,6 +366,45 @@ def stream_log_counts(spark, d):
     return sl.latest(spark, folder)
 
 
+def _live_events(spark, d):
+    """``events`` as a stream that brings them in order of time, in four batches."""
+    events = tb.table(spark, d, "events")
+    folder = new_folder(spark, "arriving")
+    marks = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01)
+    at, bounds = F.unix_micros(F.col("ts").cast("timestamp")), [None, *marks, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        inside = (at >= low if low is not None else F.lit(True)) & (at < high if high is not None else F.lit(True))
+        events.where(inside).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@_query
+def stream_recorded_log(spark, d):
+    """``recorded_log`` from a stream of several batches."""
+    folder = new_folder(spark, "stream")
+    sl.run_recorder(_raw_searches_of(_live_events(spark, d)), folder, 40)
+    return sl.recorded(spark, folder)
+
+
+@_query
+def stream_click_counts(spark, d):
+    """``click_counts`` from a stream of clicks that meets a stream of searches."""
+    folder = new_folder(spark, "stream")
+    live = _live_events(spark, d)
+    docs = _docs(spark, d)
+    sl.run_clicks(tb.click_events(live), folder, lambda batch: an.possible_clicks(batch, docs), tb.search_events(live))
+    return sl.counted_clicks(spark, folder)
+
+
+@_query
+def view_clicks(spark, d):
+    """Clicks of page views, every third of which has no name: those all count, the others once a post and source."""
+    events = tb.table(spark, d, "events")
+    view = F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("v"), (F.col("event_id") % 9).cast("string")))
+    read = an.read_clicks(tb.click_events(events, view.alias("view")))
+    return read.groupBy("source", F.col("view").isNull().alias("nameless")).agg(F.count("*").alias("clicks"))
+
+
 @_query
 def click_counts(spark, d):
     return _clicks(spark, d)
@@ -429,6 +468,15 @@ def suggestions(spark, d):
     return an.suggestions(_log(spark, d), AS_OF)
 
 
+@_query
+def suggestions_blocked(spark, d):
+    """Suggestions without the queries that a table of phrases names: every third, and some in other spellings."""
+    log = _log(spark, d)
+    k = F.substring("query", 2, 10).cast("int")
+    phrases = log.where(k % 3 == 0).select(F.concat(F.lit(" "), F.upper("query"), F.when(k % 2 == 0, " nowhere").otherwise(" ")).alias("phrase"))
+    return an.suggestions(log, AS_OF, blocked=phrases)
+
+
 @_query
 def suggestions_season(spark, d):
     """A year later only last year's season suggests anything."""
@@ -452,7 +500,10 @@ def daily_cap(spark, d):
 
 def _raw_searches(spark, d):
     """Searches as they come in: every seventh with a probe glued to its word, every eleventh encoded."""
-    events = tb.table(spark, d, "events")
+    return _raw_searches_of(tb.table(spark, d, "events"))
+
+
+def _raw_searches_of(events):
     found = tb.search_events(events.select("*", F.col("event_id").alias("n"))).withColumn("results", F.when(F.col("results") % 3 == 0, 0).otherwise(F.col("results")))
     n = F.unix_seconds(F.col("ts").cast("timestamp"))
     word = F.concat(F.lit("word"), F.translate(F.right("query", F.lit(1)), "0123456789", "abcdefghij"))
@@ -608,6 +659,32 @@ def refreshed(spark, d):
     return plan.join(kept, "doc_id", "left").select("doc_id", "action", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
+def _in_steps(spark, d):
+    """An index built in three steps: two thirds of the documents, some in an older form; the others and those anew;
+    then some that left, and some that could not be read again."""
+    p, places, path, i = tb.posts(spark, d), tb.places(spark, d), new_folder(spark, "steps"), F.col("doc_id")
+    first, again = i % 3 != 0, (i % 3 == 0) | (i % 10 == 0)
+    older = p.withColumn("title", F.when(i % 10 == 0, F.lit("an older title")).otherwise(F.col("title")))
+    ix.publish_index(*tb.indexed(older.where(first), places.where(first)), path, "r1")
+    ix.add_segment(spark, path, *tb.indexed(p.where(again), places.where(again)))
+    failed = ix.read_index(spark, path).docs.where((i % 17 == 0) & (i % 13 != 0)).withColumn("status", F.lit("failed"))
+    no_terms = ix.read_index(spark, path).terms.where("false")
+    ix.add_segment(spark, path, no_terms, failed, p.where(i % 13 == 0).select("doc_id"), failed.select("doc_id"))
+    return ix.read_index(spark, path)
+
+
+@_query
+def indexed_in_steps(spark, d):
+    """The terms of an index of three segments."""
+    return _in_steps(spark, d).terms.select("doc_id", "lang", "term", "title", "content", "taxonomy", "place")
+
+
+@_query
+def words_in_steps(spark, d):
+    """The vocabulary of an index of three segments: counts of each added up, those of hidden documents taken off."""
+    return _in_steps(spark, d).vocabulary.select("lang", "term", "docs", "strong")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -44,13 +44,15 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", "lang", F.inline(chain), F.lit(None).cast("string").alias("tag"))
 
 
+def indexed(posts: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(terms, docs)`` of posts and the places of them."""
+    rows = ix.field_rows(posts, {"title": "title", "content": "content", "taxonomy": "tag"}, ix.place_rows(places))
+    return ix.build_terms(rows, fields=["title", "content", "taxonomy", "place"]), ix.build_docs(posts)
+
+
 def build_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """``(terms, docs)`` of the documents, computed anew."""
-    p = posts(spark, folder)
-    rows = ix.field_rows(
-        p, {"title": "title", "content": "content", "taxonomy": "tag"}, ix.place_rows(places(spark, folder))
-    )
-    return ix.build_terms(rows, fields=["title", "content", "taxonomy", "place"]), ix.build_docs(p)
+    return indexed(posts(spark, folder), places(spark, folder))
 
 
 _BUILT: dict[tuple[str, str], str] = {}
@@ -92,10 +94,10 @@ def search_events(events: DataFrame) -> DataFrame:
     )
 
 
-def click_events(events: DataFrame) -> DataFrame:
-    """``click`` events as clicks."""
+def click_events(events: DataFrame, *more: Column) -> DataFrame:
+    """``click`` events as clicks, with ``more`` columns of the events."""
     source = F.get(F.array(*map(F.lit, ["result", "pinned", "photos", "other"])), (F.col("event_id") % 4).cast("int"))
     return events.where("event_type = 'click'").select(
         *_event_fields(), F.col("user_id").alias("post_id"), (F.lit(1) + F.col("event_id") % 10).alias("rank"),
-        source.alias("source"),
+        source.alias("source"), *more,
     )
