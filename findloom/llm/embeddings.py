@@ -41,7 +41,7 @@ from ..sources.storage import cut, stored
 from .skew import spread_join
 
 SAMPLE = 20_000
-LEAF = 256
+LEAF = 32  # vectors of a label that a leaf may have before it is split
 LEAST = 24  # sampled vectors that a split needs
 BLOCK = 1024
 TREES = 4
@@ -279,7 +279,7 @@ def embedding_groups(
     unit = np.array(sample.column("vector").to_pylist(), dtype=np.float64).reshape(-1, dim)
     unit = _unit(unit) if len(unit) else unit
     margin = math.sqrt(max(0.0, 2 - 2 * min_cosine) / dim)
-    forest = Forest(unit, trees if depth else 1, depth, margin)
+    forest = Forest(unit, trees, depth, margin)
 
     def route(batches):
         for batch in batches:
