@@ -53,6 +53,7 @@ PART = 16  # of so many parts one is counted to find the keys that need blocks
 LISTED = 10_000  # keys that a broadcast may hold; more are joined by a shuffle
 LISTED_NODES = 1_000_000  # nodes, eight bytes each, that a broadcast may hold; more are joined by a shuffle
 COMMON = 100_000  # common shingles that go to every task, to be put last in the order of shingles
+SHARED_NAMES = 10_000  # far more than 64-bit names of 10^11 texts are expected to be shared
 SEEN = 1_000_000  # texts that a task knows again
 STARS = 3
 MAX_BITS = 4  # of the SimHashes that name the first candidates of similar texts
@@ -627,10 +628,34 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
     return groups
 
 
+def _named(column: str):
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def _free(taken: list[str], name: str) -> str:
+    """A name like ``name`` that no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def row_hash(docs: DataFrame):
-    """A hash of a row's columns; which of them are null counts too."""
-    columns = [docs[c] for c in docs.columns]
-    return F.xxhash64(*columns, *(c.isNull() for c in columns))
+    """A 128-bit hash of a row's columns, of any kind and with any names, as text; which of them are null counts too."""
+    return F.md5(F.to_json(F.struct(*(_named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))))
+
+
+def _text_names(docs: DataFrame, text_col: str):
+    """The 64-bit name of each text, as a column of ``docs``. Texts that share one, told apart by another 64 bits, are
+    named anew, so that unlike texts are not one."""
+    text = F.coalesce(_named(text_col), F.lit(""))
+    name, mark = F.xxhash64(text), F.xxhash64(F.lit(1), text)  # the second one is seeded by the hash of 1
+    marks = docs.select(name.alias("node"), mark.alias("mark")).groupBy("node").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
+    shared = [r["node"] for r in marks.where("first <> last").select("node").limit(SHARED_NAMES + 1).collect()]
+    if not shared:
+        return name
+    if len(shared) > SHARED_NAMES:
+        raise ValueError("too many texts share a 64-bit name")
+    return F.when(name.isin(shared), F.xxhash64(F.lit(2), text)).otherwise(name)
 
 
 def similar_groups(
@@ -643,9 +668,8 @@ def similar_groups(
     (null if it has none), ``group`` its own name, and ``row`` is ``row_hash``.
     """
     rows = docs.select(
-        row_hash(docs).alias("row"), docs[id_col].alias("doc_id"),
-        F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("node"), docs[text_col].alias("text"),
-    )
+        row_hash(docs).alias("row"), _named(id_col).alias("doc_id"), _text_names(docs, text_col).alias("node"), _named(text_col).alias("text")
+    )
     with _batches_of(docs.sparkSession, _ROWS):
         components = similar_components(rows.select("node", "text"), words, min_similarity)
     named = stored(
@@ -706,6 +730,14 @@ def simhash_groups(
     )
 
 
+def _one_of_each(rows: DataFrame, name: str) -> DataFrame:
+    """One of the rows of each ``name``, which are equal, without it; grouped as structs, since maps can't be compared."""
+    columns = [c for c in rows.columns if c != name]
+    whole = F.struct(*(_named(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    one = rows.groupBy(name).agg(F.any_value(whole).alias("whole"))
+    return one.select(*(F.col(f"whole.c{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def keep_one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One document of each group of ``similar_groups``, with all its columns.
 
@@ -719,6 +751,7 @@ def keep_one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id")
     others = stored(rows.join(first, "group").where(~stays | (F.col("n") > 1)).select(F.col("row").alias("__row"), stays.alias("__stays")), "others")
     others = F.broadcast(others) if others.count() <= LISTED_NODES else others
     # Documents that stay and are there once move nowhere, if the list of the others is short.
-    marked = docs.withColumn("__row", row_hash(docs))
-    again = marked.join(others.where("__stays").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
-    return marked.join(others.select("__row"), "__row", "left_anti").unionByName(again).select(docs.columns)
+    name = _free(docs.columns, "row")
+    marked, listed = docs.withColumn(name, row_hash(docs)), others.withColumnRenamed("__row", name)
+    again = _one_of_each(marked.join(listed.where("__stays").select(name), name, "left_semi"), name)
+    return marked.join(listed.select(name), name, "left_anti").select(*map(_named, docs.columns)).union(again)

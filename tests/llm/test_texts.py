@@ -259,6 +259,34 @@ def test_one_of_each_group_stays_with_null_and_repeated_ids(spark):
     assert {r[1]: r[0] for r in found[0]} == {a: None, b: None, c: 1, d: 1, e: 3}
 
 
+def test_columns_of_any_name_and_kind_pass_the_near_dedup(spark):
+    text = "one two three four five six seven eight nine"
+    rows = [(1, text), (2, text), (2, text), (3, "another text of quite other words altogether"), (None, text + " ten"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(
+        "*", F.concat(F.lit("r"), F.coalesce("doc_id", F.lit(0))).alias("__row"), F.lit("kept").alias("row"), F.create_map(F.lit("k"), "doc_id").alias("group"),
+        F.lit("d").alias("a.b"), F.array(F.create_map(F.lit(1), F.lit(2))).alias("c`d"), F.struct("doc_id").alias("node"),
+    )
+    kept = simhash.keep_one_of_each(docs, simhash.similar_groups(docs, words=5, min_similarity=0.8))
+    assert [(f.name, f.dataType.simpleString()) for f in kept.schema] == [(f.name, f.dataType.simpleString()) for f in docs.schema]
+    got = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert {(r[0], r[2], r[4]["k"]) for r in got} == {(1, "r1", 1), (3, "r3", 3), (4, "r4", 4)} and len(got) == 3
+    assert all(r[3] == "kept" and r[5] == "d" and r[6] == [{1: 2}] and r[7][0] == r[0] for r in got)
+
+
+def test_texts_that_share_a_name_are_told_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i % 3} of three quite different ones {i % 3}") for i in range(6)], "doc_id long, text string")
+    real = F.xxhash64
+
+    def clash(*columns):  # every text has one name; a second hash still tells them apart
+        return F.lit(7).cast("long") if len(columns) == 1 else real(*columns)
+
+    monkeypatch.setattr(simhash.F, "xxhash64", clash)
+    names = docs.select("doc_id", simhash._text_names(docs, "text").alias("name"))
+    monkeypatch.undo()
+    found = {r["doc_id"]: r["name"] for r in names.collect()}
+    assert len(set(found.values())) == 3 and all(found[i] == found[i + 3] for i in range(3))
+
+
 def test_connected_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (5, 5)], "a long, b long")
     found = {r["node"]: r["component"] for r in components.connected_components(chain).collect()}
