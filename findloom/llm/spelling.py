@@ -34,7 +34,7 @@ from ..sources.storage import stored
 LETTERS = "A-Za-zÀ-ÿ"
 PIECE = 1 << 20  # characters of a text that are read at once
 TOGETHER = 300_000  # words that a task counts before it hands them on
-BROADCAST_WORDS, BROADCAST_BYTES = 4_000_000, 64 << 20
+BROADCAST_WORDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 WORDS_PER_TASK = 20_000
 _LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 
