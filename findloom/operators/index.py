@@ -122,10 +122,23 @@ def deletion_keys(word: Column, depth: int) -> Column:
 
 
 def deletions_of(vocabulary: DataFrame) -> DataFrame:
-    """``(lang, depth, key, term)``: the deletion neighbourhood of each term of three letters or more."""
-    words = vocabulary.where((F.char_length("term") >= 3) & ~F.col("term").startswith("#")).select("lang", "term")
-    keys = F.array(*(F.struct(F.lit(k).alias("depth"), deletion_keys(F.col("term"), k).alias("keys")) for k in range(3)))
-    return words.select("lang", "term", F.inline(keys)).select("lang", "depth", F.explode("keys").alias("key"), "term")
+    """``(lang, depth, key, term)``: the deletion neighbourhood of each term of three letters or more.
+
+    The keys are those of ``deletion_keys``, made a row at a time, since there
+    are many; a key that leaves out either of two like letters is there twice.
+    """
+    begin = F.left("term", F.lit(DELETION_CHARS))
+    words = vocabulary.where((F.char_length("term") >= 3) & ~F.col("term").startswith("#")).select("lang", "term", begin.alias("w"))
+    n, rest = F.char_length("w"), F.lit(DELETION_CHARS)
+    one = words.select("*", F.explode(F.sequence(F.lit(2), n)).alias("i"))
+    two = one.where(F.col("i") < n).select("*", F.explode(F.sequence(F.col("i") + 1, n)).alias("j"))
+    i, j = F.col("i"), F.col("j")
+    parts = [
+        (words, F.col("w")), (one, F.concat(F.left("w", i - 1), F.substring("w", i + 1, rest))),
+        (two, F.concat(F.left("w", i - 1), F.substring("w", i + 1, j - i - 1), F.substring("w", j + 1, rest))),
+    ]
+    found = [rows.select("lang", F.lit(k).alias("depth"), key.alias("key"), "term") for k, (rows, key) in enumerate(parts)]
+    return found[0].union(found[1]).union(found[2])
 
 
 def bucket_of(buckets: int) -> Column:
@@ -144,7 +157,8 @@ def versions(spark: SparkSession, path: str) -> DataFrame:
 
 def _write(df: DataFrame, path: str, name: str, segment: str, by: list[str], order: list[str]) -> None:
     """One table of a segment: rows that belong together meet, and what is too large for a task is split."""
-    df.hint("rebalance", *by).sortWithinPartitions(*by, *order).write.partitionBy(*by).parquet(f"{path}/{name}/segment={segment}")
+    dealt = df.hint("rebalance", *by)
+    (dealt.sortWithinPartitions(*by, *order) if order else dealt).write.partitionBy(*by).parquet(f"{path}/{name}/segment={segment}")
 
 
 def _parts(number: int) -> str:
@@ -202,7 +216,7 @@ def _write_words(spark: SparkSession, path: str, segment: str, vocabulary: DataF
     _write(vocabulary, path, "vocabulary", segment, ["lang"], ["head", "term"])
     own = _table_of(spark, path, "vocabulary", [segment], StructType.fromDDL(_WORDS))
     own = own if known is None else own.join(known.select("lang", "term"), ["lang", "term"], "left_anti")
-    _write(deletions_of(own), path, "deletions", segment, ["lang", "depth"], ["key"])
+    _write(deletions_of(own), path, "deletions", segment, ["lang", "depth"], [])
 
 
 @dataclass(frozen=True)
