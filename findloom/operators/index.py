@@ -141,6 +141,13 @@ def deletions_of(vocabulary: DataFrame) -> DataFrame:
     return found[0].union(found[1]).union(found[2])
 
 
+def positions_of(docs: DataFrame) -> DataFrame:
+    """``(doc_id, lang, term, at)``: where each folded word of a document's texts stands, stopwords included."""
+    text = tx.normalize(F.concat_ws("\n", F.coalesce("content", F.lit("")), F.coalesce("excerpt", F.lit(""))))
+    words = docs.repartition("doc_id").select("doc_id", "lang", F.posexplode(F.split(text, " ")).alias("pos", "term")).where("term <> ''")
+    return words.groupBy("doc_id", "lang", "term").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+
+
 def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64("lang", "term"), F.lit(buckets)).cast("int")
 
@@ -184,6 +191,9 @@ def _kinds(terms: DataFrame, docs: DataFrame) -> dict[str, str]:
     found = {}
     for name, df, more in (("terms", terms, [StructField("bucket", IntegerType())]), ("docs", docs, [])):
         found[name] = StructType([*df.schema, *more, StructField("segment", StringType())]).json()
+    if {"content", "excerpt"} <= set(docs.columns):
+        kind = StructType.fromDDL("term string, at array<int>, lang string, bucket int, segment string")
+        found["positions"] = StructType([docs.schema["doc_id"], *kind]).json()
     return found
 
 
@@ -193,7 +203,8 @@ def publish_index(terms: DataFrame, docs: DataFrame, path: str, rules: str = "",
 
     Terms lie in folders by language and by a hash bucket of language and term,
     so that a search reads the buckets of its words only; ``buckets`` should
-    grow with the index. The vocabulary is sorted by its first letters.
+    grow with the index. The vocabulary is sorted by its first letters. Where
+    documents have their texts, the places of their words are kept, too.
     """
     spark = terms.sparkSession
     number = (versions(spark, path).agg(F.max("number")).first()[0] or 0) + 1
@@ -201,11 +212,39 @@ def publish_index(terms: DataFrame, docs: DataFrame, path: str, rules: str = "",
     schemas = _kinds(terms, docs)
     _write(terms.withColumn("bucket", bucket_of(buckets)), path, "terms", segment, ["lang", "bucket"], ["term"])
     _write(docs, path, "docs", segment, ["lang"], ["doc_id"])
+    if "positions" in schemas:
+        _write(positions_of(docs).withColumn("bucket", bucket_of(buckets)), path, "positions", segment, ["lang", "bucket"], ["term"])
     kept = _table_of(spark, path, "terms", [segment], StructType.fromJson(json.loads(schemas["terms"])))
     _write_words(spark, path, segment, vocabulary_of(kept))
+    mine = _table_of(spark, path, "docs", [segment], StructType.fromJson(json.loads(schemas["docs"])))
+    _stats_of(kept, mine).write.parquet(f"{path}/stats/segment={segment}")
     return _publish(spark, path, (number, [segment], buckets, 0, rules, schemas))
 
 
+_COUNTS = ["rows", "docs", *(f"in_{f}" for f in lx.FIELDS)]
+_STATS = ", ".join(["lang string", *(f"{c} long" for c in _COUNTS), "words binary", "segment string"])
+
+
+def _stats_of(terms: DataFrame, docs: DataFrame, sign: int = 1) -> DataFrame:
+    """Counts by language, and a sketch of the distinct terms; with ``sign`` -1 what hidden documents take off."""
+    fields = [F.count_if(F.col(f) > 0).alias(f"in_{f}") for f in lx.FIELDS]
+    by_term = terms.groupBy("lang").agg(F.count("*").alias("rows"), *fields, F.hll_sketch_agg("term", F.lit(12)).alias("words"))
+    both = by_term.join(docs.groupBy("lang").agg(F.count("*").alias("docs")), "lang", "full_outer")
+    words = F.col("words") if sign > 0 else F.lit(None).cast("binary")
+    return both.select("lang", *((F.coalesce(c, F.lit(0)) * sign).alias(c) for c in _COUNTS), words.alias("words"))
+
+
+def statistics(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """An index' ``(lang, rows, docs, in_<field>..., words)`` from its segments' counts, without reading terms.
+
+    ``words`` estimates the distinct terms of all documents since the index was
+    last folded, hidden ones too, within some 5 %; the vocabulary has them exactly.
+    """
+    found = _table_of(spark, path, "stats", _version(spark, path, number)["segments"], StructType.fromDDL(_STATS))
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    return found.groupBy("lang").agg(*sums, F.hll_sketch_estimate(F.hll_union_agg("words")).alias("words")).where("rows > 0 or docs > 0")
+
+
 _WORDS = "lang string, term string, docs long, strong long, head string, segment string"
 _KEYS = "lang string, depth int, key string, term string, segment string"
 _GONE = "doc_id {0}, terms boolean, segment string"
@@ -229,6 +268,8 @@ class Index:
     deletions: DataFrame
     number: int
     rules: str
+    path: str | None = None
+    positions: DataFrame | None = None
 
 
 def _version(spark: SparkSession, path: str, number: int | None = None):
@@ -243,19 +284,21 @@ def read_index(spark: SparkSession, path: str, number: int | None = None) -> Ind
     """The newest published version, or the given one: its segments as one, without the rows that later ones hide."""
     row = _version(spark, path, number)
     kinds = {name: StructType.fromJson(json.loads(kind)) for name, kind in row["schemas"].items()}
-    terms, docs = (_table_of(spark, path, name, row["segments"], kinds[name]) for name in ("terms", "docs"))
+    terms, docs, places = (_table_of(spark, path, name, row["segments"], kinds[name]) if name in kinds else None for name in ("terms", "docs", "positions"))
     words = _table_of(spark, path, "vocabulary", row["segments"], StructType.fromDDL(_WORDS))
     keys = _table_of(spark, path, "deletions", row["segments"], StructType.fromDDL(_KEYS)).drop("segment")
     if row["hidden"]:
         gone = _gone(spark, path, row["segments"], docs)
         few = row["hidden"] <= HIDDEN_MOST
         terms, docs = _live(terms, gone.where("terms"), few), _live(docs, gone, few)
+        places = places if places is None else _live(places, gone.where("terms"), few)
     if len(row["segments"]) > 1:
         counts = words.groupBy("lang", "term", "head").agg(F.sum("docs").alias("docs"), F.sum("strong").alias("strong"))
         words = counts.where("docs > 0")
     bucket = F.col("bucket").alias("bucket", metadata={"buckets": row["buckets"]})
     terms = terms.drop("segment").withColumn("bucket", bucket)
-    return Index(terms, docs.drop("segment"), words.select("lang", "term", "head", "docs", "strong"), keys, row["number"], row["rules"])
+    places = places if places is None else places.drop("segment").withColumn("bucket", bucket)
+    return Index(terms, docs.drop("segment"), words.select("lang", "term", "head", "docs", "strong"), keys, row["number"], row["rules"], path, places)
 
 
 def _gone(spark: SparkSession, path: str, segments: list[str], docs: DataFrame) -> DataFrame:
@@ -304,11 +347,17 @@ def add_segment(
         terms.select(*(c for c in index.terms.columns if c != "bucket")).withColumn("bucket", bucket_of(row["buckets"])),
         path, "terms", segment, ["lang", "bucket"], ["term"],
     )
+    if "positions" in kinds:
+        again = mine if kept_terms is None else mine.join(kept_terms.select("doc_id"), "doc_id", "left_anti")
+        _write(positions_of(again).withColumn("bucket", bucket_of(row["buckets"])), path, "positions", segment, ["lang", "bucket"], ["term"])
     n_hidden = hidden.count()
     old = hidden.where("terms").select("doc_id")
     before = index.terms.join(F.broadcast(old) if n_hidden <= HIDDEN_MOST else old, "doc_id", "left_semi")
     less = vocabulary_of(before).select("lang", "term", "head", F.negative("docs").alias("docs"), F.negative("strong").alias("strong"))
-    more = vocabulary_of(_table_of(spark, path, "terms", [segment], kinds["terms"])).select(less.columns)
+    added = _table_of(spark, path, "terms", [segment], kinds["terms"])
+    gone = index.docs.join(hidden.select("doc_id"), "doc_id", "left_semi")
+    _stats_of(added, mine).unionByName(_stats_of(before, gone, -1)).write.parquet(f"{path}/stats/segment={segment}")
+    more = vocabulary_of(added).select(less.columns)
     change = more.union(less).groupBy("lang", "term", "head").agg(F.sum("docs").alias("docs"), F.sum("strong").alias("strong"))
     ever = _table_of(spark, path, "vocabulary", row["segments"], StructType.fromDDL(_WORDS))
     _write_words(spark, path, segment, change.where("docs <> 0 or strong <> 0"), ever)
@@ -369,6 +418,22 @@ def place_rows(places: DataFrame) -> DataFrame:
     )
 
 
+def signals_of(rows: DataFrame, photo_concepts: DataFrame | None = None) -> DataFrame:
+    """Field rows to ``(doc_id, lang, guide, places, hubs, alts, tags, photo_concepts)``: the names that a document has
+    beside its texts, weakest first (so the widest place), with ``photo_concepts(doc_id, slug, label)`` of its pictures."""
+    def names(field: str) -> Column:
+        told = F.array_sort(F.collect_set(F.when(F.col("field") == field, F.struct("strength", "text"))))
+        return F.transform(told, lambda s: s["text"])
+
+    columns = {"guide": "guide", "places": "place", "hubs": "hub", "alts": "alt", "tags": "taxonomy"}
+    found = rows.where(F.col("field").isin(*columns.values())).groupBy("doc_id", "lang").agg(*(names(f).alias(c) for c, f in columns.items()))
+    none = F.array().cast("array<struct<slug:string,label:string>>")
+    if photo_concepts is None:
+        return found.withColumn("photo_concepts", none)
+    shown = photo_concepts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("slug", "label"))).alias("photo_concepts"))
+    return found.join(shown, "doc_id", "left").withColumn("photo_concepts", F.coalesce("photo_concepts", none)).select(*found.columns, "photo_concepts")
+
+
 def hub_closure(edges: DataFrame, hubs: DataFrame) -> DataFrame:
     """``edges(child, hub)`` to ``(doc_id, hub, depth, strength)``: a hub itself, its parents and theirs.
 

@@ -58,6 +58,17 @@ def rarity(docs: Column, df: Column) -> Column:
 VARIANTS_MOST = 2_000_000  # rows of asked variants that are broadcast at most
 
 
+def _bucketed(asked: DataFrame, table: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, list[str]]:
+    """``asked`` with the bucket of ``table`` that each row is in, if it has buckets, to be broadcast if its rows are few;
+    and the keys to join both by."""
+    if "bucket" in table.columns:
+        asked, keys = asked.withColumn("bucket", bucket_of(table.schema["bucket"].metadata["buckets"])), [*keys, "bucket"]
+    asked = stored(asked, name)
+    few = asked.count() <= VARIANTS_MOST
+    # A condition, without which Spark expects no pruning.
+    return (F.broadcast(asked.where("term <> ''")) if few else asked), keys
+
+
 def probe(qv: DataFrame, terms: DataFrame, fields: list[str]) -> DataFrame:
     """The rows of ``terms`` that the variants ask for, one per variant.
 
@@ -67,14 +78,25 @@ def probe(qv: DataFrame, terms: DataFrame, fields: list[str]) -> DataFrame:
     More variants than that are dealt out with the buckets' rows they ask for.
     """
     asked = qv.select("qid", "lang", "g", "term", "weight", "kind").where("weight > 0")
-    keys, columns = ["lang", "term"], ["doc_id", "lang", "term", *fields]
-    if "bucket" in terms.columns:
-        n = terms.schema["bucket"].metadata["buckets"]
-        asked, keys, columns = asked.withColumn("bucket", bucket_of(n)), [*keys, "bucket"], [*columns, "bucket"]
-    asked = stored(asked, "variants")
-    if asked.count() <= VARIANTS_MOST:
-        asked = F.broadcast(asked.where("weight > 0"))  # a condition, without which Spark expects no pruning
-    return terms.select(*columns).join(asked, keys).drop("bucket")
+    asked, keys = _bucketed(asked, terms, ["lang", "term"], "variants")
+    return terms.select("doc_id", *keys, *fields).join(asked, keys).drop("bucket")
+
+
+def phrases_in(rows: DataFrame, positions: DataFrame) -> DataFrame:
+    """``rows(qid, doc_id, lang, wanted)``, each with the normalized phrases to look for in a document, to
+    ``(qid, doc_id, found)``: those that it has.
+
+    The places of each word, moved back by the word's place in the phrase, meet
+    where the phrase begins. Only the rows' documents and words are looked up.
+    """
+    phrases = rows.select("qid", "doc_id", "lang", F.explode("wanted").alias("phrase"))
+    split = phrases.withColumn("words", F.split("phrase", " "))
+    words = split.select("qid", "doc_id", "lang", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
+    asked, keys = _bucketed(words, positions, ["lang", "term", "doc_id"], "phrases")
+    begins = F.transform("at", lambda place: place - F.col("offset"))
+    starts = positions.join(asked, keys).select("qid", "doc_id", "phrase", "n", F.explode(begins).alias("start"))
+    whole = starts.groupBy("qid", "doc_id", "phrase", "n", "start").agg(F.count("*").alias("met")).where("met = n")
+    return whole.groupBy("qid", "doc_id").agg(F.collect_set("phrase").alias("found"))
 
 
 def contributions(
@@ -107,12 +129,13 @@ def _ordered_sum(entries: Column, value: str) -> Column:
 
 
 def rank(
-    q: DataFrame, qv: DataFrame, terms: DataFrame, docs: DataFrame, options: Options | None = None
+    q: DataFrame, qv: DataFrame, terms: DataFrame, docs: DataFrame, options: Options | None = None, positions: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Frames ``ranked``, ``missing``, ``modes`` and ``groups`` (df and rarity).
 
     ``docs`` has ``doc_id, lang, post_type, title_norm, content, excerpt,
-    boost, post_date`` and, optionally, ``status``.
+    boost, post_date`` and, optionally, ``status``. Phrases are looked up in an
+    index' ``positions``; without them, in the candidates' texts.
     """
     options = options or Options()
     best = stored(contributions(qv, terms, options), "best")  # of what follows, three aggregates read it
@@ -184,16 +207,22 @@ def rank(
     first = first.where(F.col("at") <= max(lx.QUOTED_CANDIDATES, lx.PHRASE_CANDIDATES)).where(F.col("at") <= limit).drop("at")
     behind = F.struct(F.negative("score").alias("score"), "doc_id")
     last = first.groupBy("qid").agg(F.max(behind).alias("last"))
-    text = tx.normalize(F.concat_ws("\n", F.coalesce("content", F.lit("")), F.coalesce("excerpt", F.lit(""))))
-    bodies = live.select("doc_id", "lang", "content", "excerpt")
-    near = first.join(bodies, ["doc_id", "lang"]).withColumn("body", text)
-    near = near.where(F.forall("phrases", lambda p: tx.has_phrase(F.col("title_norm"), p) | tx.has_phrase(F.col("body"), p)))
-    phrase = F.when(multi & tx.has_phrase(F.col("body"), F.col("normalized")), options.weight("content_phrase"))
+    if positions is None:
+        text = tx.normalize(F.concat_ws("\n", F.coalesce("content", F.lit("")), F.coalesce("excerpt", F.lit(""))))
+        near = first.join(live.select("doc_id", "lang", text.alias("body")), ["doc_id", "lang"])
+        holds = lambda p: tx.has_phrase(F.col("body"), p)
+    else:
+        wanted = F.array_distinct(F.concat("phrases", F.when(multi, F.array("normalized")).otherwise(F.array().cast("array<string>"))))
+        found = phrases_in(first.select("qid", "doc_id", "lang", wanted.alias("wanted")), positions)
+        near = first.join(found.withColumnRenamed("found", "body"), ["qid", "doc_id"], "left")
+        holds = lambda p: F.coalesce(F.array_contains("body", p), F.lit(False))
+    near = near.where(F.forall("phrases", lambda p: tx.has_phrase(F.col("title_norm"), p) | holds(p)))
+    phrase = F.when(multi & holds(F.col("normalized")), options.weight("content_phrase"))
     near = near.withColumn("phrase", F.coalesce(phrase, F.lit(0.0))).withColumn("score", F.col("score") + F.col("phrase"))
     far = kept.where(~is_quoted).join(last, "qid", "left").where(F.col("last").isNull() | (behind > F.col("last"))).drop("last")
     boosted = F.col("score") * F.col("boost")
     boosted = options.score(boosted, F.col("doc_id")) if options.score else boosted
-    final = near.drop("content", "excerpt", "body").unionByName(far).withColumn("score", boosted).where("score > 0")
+    final = near.drop("body").unionByName(far).withColumn("score", boosted).where("score > 0")
     final = final.withColumn("score", rounded(F.col("score")))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("post_date"), F.desc("doc_id"))
     ranked = (

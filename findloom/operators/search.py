@@ -13,12 +13,15 @@ from ..sources.storage import cut
 from . import parse as ps
 from . import present as pr
 from . import rank as rk
+from .cache import ranked_once
 from .index import Index
 
 
 @dataclass(frozen=True)
 class Request:
-    """How to search. ``query`` changes the raw query and ``hits`` the rows of a page, after excerpts."""
+    """How to search. ``query`` changes the raw query and ``hits`` the rows of a page, after excerpts; with ``keep``
+    rankings are kept with the index and queries asked before are not ranked again (without ``labels`` only).
+    ``reason`` changes the reason of a result."""
 
     page: int = 1
     per_page: int = 10
@@ -33,6 +36,8 @@ class Request:
     default_language: str = lx.LANGUAGES[0]
     query: Callable[[Column], Column] | None = None
     hits: Callable[[DataFrame], DataFrame] | None = None
+    keep: bool = False
+    reason: Callable[[Column], Column] | None = None
 
 
 def resolve_language(lang: Column, languages: tuple[str, ...] | list[str], default: str) -> Column:
@@ -59,15 +64,33 @@ def image_alt_only(fields: Column) -> Column:
     return F.array_contains(fields, "alt") & ~F.arrays_overlap(fields, F.array(*map(F.lit, ("title", "content", "excerpt", "heading"))))
 
 
+def _with_reason(page: DataFrame, signals: DataFrame, request: Request) -> tuple[DataFrame, list[str]]:
+    """A page's rows with the signals of their documents and ``reason``, and the columns to show."""
+    names = [c for c in signals.columns if c not in ("doc_id", "lang")]
+    own = signals.select("doc_id", "lang", *(F.col(c).alias(f"__{c}") for c in names))
+    page = page.join(own, ["doc_id", "lang"], "left")
+    s = {c: F.coalesce(F.col(f"__{c}"), F.array().cast(signals.schema[c].dataType)) for c in names}
+    marked = F.col("hits") > 0 if request.excerpts else F.lit(False)
+    fields = F.coalesce("fields", F.array().cast("array<string>"))
+    why = pr.reason(
+        marked, F.coalesce("title", F.lit("")), F.col("matched_terms"), F.col("concepts"), fields, F.col("lang"), s["guide"], s["places"],
+        s["hubs"], s["alts"], s["photo_concepts"], F.col("pinned"), s["tags"],
+    )
+    shown = {"reason": request.reason(why) if request.reason else why, "places": s["places"], "hubs": s["hubs"], "tags": s["tags"]}
+    return page.withColumns(shown), list(shown)
+
+
 def search(
     queries: DataFrame, index: Index, request: Request | None = None, pins: DataFrame | None = None, hubs: DataFrame | None = None,
-    labels: DataFrame | None = None,
+    labels: DataFrame | None = None, signals: DataFrame | None = None,
 ) -> Answer:
     """``queries(qid, lang, query)`` answered over an index.
 
     ``pins`` are ``rank.read_pins``' rows, ``hubs(hub)`` documents that are
-    guides, and ``labels(lang, slug, label)`` concepts. Texts are read for the
-    rows of the page only.
+    guides, and ``labels(lang, slug, label)`` concepts. With ``signals``
+    (``index.signals_of``) results have their documents' places, hubs and tags,
+    and the reason why they are there where neither title nor excerpt shows it.
+    Texts are read for the rows of the page only.
     """
     request = request or Request()
     options, size = request.rank, max(1, min(100, request.per_page))
@@ -79,7 +102,8 @@ def search(
     if labels is not None:
         qv, _ = ps.attach_concepts(q, qv, labels)
     full = ps.expand_prefixes(qv, terms, index.vocabulary)
-    found = rk.rank(q, full, terms, docs, options)
+    kept = request.keep and labels is None
+    found = ranked_once(q, qv, index, options, request.synonyms) if kept else rk.rank(q, full, terms, docs, options, index.positions)
     pins = spark.createDataFrame([], "line int, query string, doc_id long, pos int") if pins is None else pins
     ranked = rk.apply_pins(found["ranked"], q, pins, docs, options)
     hubs = spark.createDataFrame([], "hub long") if hubs is None else hubs
@@ -116,6 +140,9 @@ def search(
     if request.excerpts:
         page = pr.excerpts(page.drop("source", "hits", "html"), request.excerpt_chars, request.template)
         shown += [F.col("html").alias("excerpt"), F.col("source").alias("excerpt_source")]
+    if signals is not None:
+        page, told = _with_reason(page, signals, request)
+        shown += told
     results = page.select(*shown)
     guides = split.where("guide").select("qid", "doc_id", "score", "place")
     more = {}

@@ -570,9 +570,29 @@ def all_sql() -> dict[str, str]:
         "doc_terms": f"with {POSTS}, {TERMS} select doc_id, term, title from terms where title > 0",
     }
     index = f"with {POSTS}, {TERMS}"
+    wide = TERMS.replace(
+        "), raws as (",
+        f"""
+  union all select doc_id, lang, 'excerpt', split_part(content, chr(10), 2), 100 from posts
+  union all select doc_id, lang, 'heading', headings, 100 from posts join ({found["html_headings"]}) h on page_id = doc_id
+  union all select doc_id, lang, 'alt', p_type, 100 from posts join part on p_partkey = doc_id
+  union all select doc_id, lang, 'custom', p_name, 100 from posts join part on p_partkey = doc_id
+  union all select doc_id, lang, 'guide', n_name, 100 from posts join nation on n_nationkey = doc_id % 25 where doc_id % 4 = 0
+  union all select p.doc_id, p.lang, 'hub', h.title, [100, 60, 36][depth + 1]
+    from (select id, hub, min(depth) as depth from up where hub in (select hub from hubs) group by 1, 2) u
+    join posts p on p.doc_id = u.id join posts h on h.doc_id = u.hub and h.lang = p.lang where depth > 0
+), raws as (""", 1,
+    )
+    wide = wide[: wide.index("), terms as (")]
+    counted = ", ".join(f"count(*) filter (field = '{f}') as {f}" for f in lx.COUNT_FIELDS)
+    strongest = ", ".join(f"coalesce(max(case when field = '{f}' then strength end), 0) as {f}" for f in lx.STRENGTH_FIELDS)
     return found | {
         "stream_recorded_log": found["recorded_log"],
         "stream_click_counts": found["click_counts"],
+        "terms_all_fields": f"""with {POSTS}, {closure}, {wide}
+            union all select doc_id, lang, 'concept', greatest(n_chars % 100, 1), '#' || source from documents
+          ) select doc_id, lang, term, {counted}, {strongest} from mentions group by all""",
+        "rank_twice": found["rank_or"],
         "view_clicks": """with c as (select user_id as post_id, ['result', 'pinned', 'photos', 'other'][event_id % 4 + 1] as source,
             case when user_id % 3 <> 0 then 'v' || (event_id % 9) end as view from events where event_type = 'click')
           select source, view is null as nameless,
@@ -580,6 +600,10 @@ def all_sql() -> dict[str, str]:
         "suggestions_blocked": f"""{log}, {_PROVEN}
           select lang, query, row_number() over (partition by lang order by nth) as place from merged
           where nth <= 30 and not (substr(query, 2)::int % 3 = 0 and substr(query, 2)::int % 2 <> 0) qualify place <= 10""",
+        "stats_in_steps": f"""{index}, counts as (select lang, count(*) as docs from documents where doc_id % 13 <> 0 group by 1)
+          select lang, count(*) as rows, any_value(docs) as docs, count(*) filter (title > 0) as in_title, count(*) filter (content > 0) as in_content,
+            count(*) filter (taxonomy > 0) as in_taxonomy, count(*) filter (place > 0) as in_place
+          from terms join counts using (lang) where doc_id % 13 <> 0 group by 1""",
         "indexed_in_steps": f"{index} select * from terms where doc_id % 13 <> 0",
         "words_in_steps": f"{index} select lang, term, count(*) as docs, count(*) filter (title > 0 or place > 0) as strong from terms where doc_id % 13 <> 0 group by 1, 2",
     }

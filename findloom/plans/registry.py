@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import analytics as an
+from ..operators import cache as ch
 from ..operators import index as ix
 from ..operators import maintain as mt
 from ..operators import parse as ps
@@ -61,6 +62,12 @@ def terms_wide(spark, d):
     return tb.build_index(spark, d)[0].select("doc_id", "lang", "term", "title", "content", "taxonomy", "place")
 
 
+@_query
+def terms_all_fields(spark, d):
+    """The terms of documents with all eleven fields."""
+    return ix.build_terms(tb.wide_rows(spark, d)).select("doc_id", "lang", "term", *lx.FIELDS)
+
+
 @_query
 def term_df(spark, d):
     terms = tb.build_index(spark, d)[0]
@@ -154,7 +161,7 @@ def concept_exact(spark, d):
 def _rank(spark, d, quotes=False, **options):
     at = tb.index(spark, d)
     q, qv = _parsed(spark, d, quotes)
-    return rk.rank(q, ps.expand_prefixes(qv, at.terms, at.vocabulary), at.terms, at.docs, rk.Options(**options)), q, at.docs
+    return rk.rank(q, ps.expand_prefixes(qv, at.terms, at.vocabulary), at.terms, at.docs, rk.Options(**options), at.positions), q, at.docs
 
 
 @_query
@@ -168,6 +175,16 @@ def rank_or(spark, d):
     return ranked.select("qid", "doc_id", "score", "place", "fallback", "matched", "about")
 
 
+@_query
+def rank_twice(spark, d):
+    """``rank_or`` from kept rankings: half of the queries are asked first, then all, then all again."""
+    at, (q, qv) = tb.index(spark, d), _parsed(spark, d)
+    half = lambda df: df.where("qid % 2 = 0")
+    for asked in ((half(q), half(qv)), (q, qv)):
+        ch.ranked_once(*asked, at)
+    return ch.ranked_once(q, qv, at)["ranked"].select("qid", "doc_id", "score", "place", "fallback", "matched", "about")
+
+
 @_query
 def rank_phrase(spark, d):
     return _rank(spark, d, quotes=True)[0]["ranked"].select("qid", "doc_id", "score", "place")
@@ -673,6 +690,13 @@ def _in_steps(spark, d):
     return ix.read_index(spark, path)
 
 
+@_query
+def stats_in_steps(spark, d):
+    """The counts by language of an index of three segments, added up from theirs."""
+    fields = ["in_title", "in_content", "in_taxonomy", "in_place"]
+    return ix.statistics(spark, _in_steps(spark, d).path).select("lang", "rows", "docs", *fields)
+
+
 @_query
 def indexed_in_steps(spark, d):
     """The terms of an index of three segments."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import index as ix
+from . import html as ht
 from .storage import new_folder, spread
 
 
@@ -55,6 +56,29 @@ def build_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return indexed(posts(spark, folder), places(spark, folder))
 
 
+def wide_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all fields of the documents: beside ``build_index``' ones an excerpt (the second line), the headings of
+    the page of the same number, pictures and own fields (parts), guides (nations), hubs above, and concepts (sources)."""
+    p, docs = posts(spark, folder), table(spark, folder, "documents")
+    part, pages, nation = (table(spark, folder, name) for name in ("part", "pages", "nation"))
+    i, own = F.col("doc_id"), docs.select("doc_id", "lang")
+    second = F.split_part("content", F.lit("\n"), F.lit(2))
+    rows = ix.field_rows(p, {"title": "title", "content": "content", "taxonomy": "tag", "excerpt": second}, ix.place_rows(places(spark, folder)))
+    headings = F.array_join(ht.headings(ht.readable(F.col("html"))), "|")
+    named = [
+        ("heading", spread(pages).select(F.col("page_id").alias("doc_id"), headings.alias("name"))),
+        ("alt", part.select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("name"))),
+        ("custom", part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"))),
+        ("guide", own.where(i % 4 == 0).join(nation, F.col("n_nationkey") == i % 25).select("doc_id", F.col("n_name").alias("name"))),
+    ]
+    for field, names in named:
+        rows = rows.unionByName(ix.named_rows(own.join(names, "doc_id"), field))
+    edges = docs.where(i % 3 != 0).select(i.alias("child"), F.floor(i / 7).alias("hub"))
+    closure = ix.hub_closure(edges, docs.where(i % 2 == 0).select(i.alias("hub")))
+    concepts = docs.select("doc_id", "lang", F.col("source").alias("slug"), (F.col("n_chars") % 100 / 100).alias("confidence"))
+    return rows.unionByName(ix.hub_rows(closure, p)).unionByName(ix.concept_rows(concepts))
+
+
 _BUILT: dict[tuple[str, str], str] = {}
 
 
