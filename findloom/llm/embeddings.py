@@ -115,20 +115,29 @@ def _group_links(x, weight, node, leaves, sides, leaf, least):
     """(node, weighted links counted here, smallest node of its part) of one group of unit vectors."""
     n = len(x)
     part, links = np.arange(n), np.zeros(n, dtype=np.int64)
+    # Leaves before this one: a pair that shares one of them has been counted there.
+    row, column = np.nonzero((leaves != _NONE) & (leaves < leaf))
+    names, which, held = np.unique(leaves[row, column], return_inverse=True, return_counts=True)
+    row, which = row[held[which] > 1], which[held[which] > 1]  # what one row has, no pair shares
+    names, which = np.unique(which, return_inverse=True)
     pairs = []
     for low in range(0, n, BLOCK):
         a, b = np.nonzero(x[low : low + BLOCK] @ x.T >= least)
-        a = a + low
-        keep = a < b
+        keep = a + low < b
         a, b = a[keep], b[keep]
-        for cut_at in range(0, len(a), 50_000):
-            i, j = a[cut_at : cut_at + 50_000], b[cut_at : cut_at + 50_000]
-            same = (leaves[i][:, :, None] == leaves[j][:, None, :]) & (leaves[i] != _NONE)[:, :, None]
-            first = np.where(same.any(axis=2), leaves[i], np.iinfo(np.int64).max).min(axis=1)
-            # In two blocks, pairs inside one block count where it meets itself.
-            once = (first == leaf) & ((sides[i] != sides[j]) | (sides.min() == sides.max()))
-            np.add.at(links, i[once], weight[j[once]])
-            np.add.at(links, j[once], weight[i[once]])
+        if not len(a):
+            continue
+        met = np.zeros((min(BLOCK, n - low), n), dtype=bool)
+        for first in range(0, len(names), BLOCK):
+            now = (which >= first) & (which < first + BLOCK)
+            has = np.zeros((n, min(BLOCK, len(names) - first)), dtype=np.float32)
+            has[row[now], which[now] - first] = 1
+            met |= has[low : low + BLOCK] @ has.T > 0
+        # In two blocks, pairs inside one block count where it meets itself.
+        once = ~met[a, b] & ((sides[a + low] != sides[b]) | (sides.min() == sides.max()))
+        a = a + low
+        np.add.at(links, a[once], weight[b[once]])
+        np.add.at(links, b[once], weight[a[once]])
         pairs.append((a, b))
     while pairs:  # smallest position of each linked part
         before = part.copy()
