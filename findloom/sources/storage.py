@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of frames that nothing holds any more.
+
+    It does so once the driver has collected its garbage, which a long loop of
+    joins may not bring about by itself, since it needs little of its memory.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
