@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import cut, released
 
 
 def _state(links: DataFrame) -> tuple:
@@ -34,7 +34,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     state = _state(links)
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         if not state[0]:
             break
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
@@ -55,6 +55,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         before, state = state, _state(links)
         if state == before:
             break
+        if turn % 3 == 2:
+            released(links.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = links.groupBy("hi").agg(F.min("lo").alias("component"))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import mixed, word_hashes
-from ..sources.storage import cut, stored
+from ..sources.storage import cut, released, stored
 
 BITS = 64
 SEED = 42
@@ -590,6 +590,8 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
         "prefixes",
     )
     known = stored(sketches(docs, words), "sketches")
+    del rows, prints, first, same
+    released(docs.sparkSession)
     links = tried = groups = None
     for turn in range(STARS + 1):
         now = met.withColumn("component", F.col("node"))
@@ -625,6 +627,8 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
             found = cut(_similar(near, docs, words, least))
         tried, links = (pairs, found) if links is None else (tried.union(pairs), links.union(found))
         groups = stored(connected_components(links), "groups")
+        del now, pairs, near, found
+        released(docs.sparkSession)
     return groups
 
 
