@@ -60,6 +60,7 @@ CONTEXTS = 65_536
 TOKENS = 600_000  # of one packed batch
 LEAST_ENTRIES = 512  # tokens of a batch per destination, at least
 TYPES = 1_000_000  # distinct words that a task holds before it passes them on
+DEALT = 4  # destinations per shuffle partition
 STEP = 4  # cells of the deleted estimates per power of two
 BUCKETS = 64
 _SLICE = 256
@@ -576,8 +577,8 @@ def score_documents(
     picked = docs.select(
         docs[id_col].alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), docs[text_col].alias("text")
     )
-    # A destination gathers all its entries in Python, so it gets half of what a shuffle partition would.
-    parts = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # A destination gathers all its entries in Python, so it gets a part of what a shuffle partition would.
+    parts = DEALT * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     vocabulary = cut(
         picked.mapInArrow(_vocabulary, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     )
