@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import cut, released
 
+TASK_LINKS = 50_000  # links of a task, or fewer; so few links make few tasks, and small files
+
 
 def _state(links: DataFrame) -> tuple:
     row = links.agg(
@@ -22,6 +24,11 @@ def _state(links: DataFrame) -> tuple:
     return row["n"], row["mark"]
 
 
+def _each(*pairs: tuple[str, str], names: tuple[str, str]):
+    """Each row's pairs of columns as rows. Unlike a union, this leaves rows that are together where they are."""
+    return F.inline(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(pair, names, strict=True))) for pair in pairs)))
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``links(a, b)`` to ``(node, component)``: each linked node's smallest reachable node.
 
@@ -37,9 +44,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for turn in range(max_rounds):
         if not state[0]:
             break
-        both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
-            links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        )
+        links = links.coalesce(-(-state[0] // TASK_LINKS))
+        both = links.select(_each(("hi", "lo"), ("lo", "hi"), names=("u", "v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Larger neighbours of u move to the smallest node around u ...
         large = (
@@ -50,8 +56,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         # ... and the smaller ones, with u itself, to the smallest of them.
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        links = cut(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct())
+        moved = large.join(low, "hi").select(_each(("lo", "m"), ("hi", "m"), names=("hi", "lo")))
+        links = cut(moved.where("hi <> lo").distinct().coalesce(-(-state[0] // TASK_LINKS)))  # never more links than before
         before, state = state, _state(links)
         if state == before:
             break

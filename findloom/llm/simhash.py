@@ -56,6 +56,7 @@ COMMON = 100_000  # common shingles that go to every task, to be put last in the
 SHARED_NAMES = 10_000  # far more than 64-bit names of 10^11 texts are expected to be shared
 SEEN = 1_000_000  # texts that a task knows again
 STARS = 3
+BRIEF = 1024  # bins of the odd sketches that rows of a shingle carry
 MAX_BITS = 4  # of the SimHashes that name the first candidates of similar texts
 _FAMILY, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SLICE = 256  # texts at a time
@@ -289,13 +290,13 @@ def fingerprint_links(fps: DataFrame, max_bits: int, segments: int | None = None
     return grouped.mapInArrow(_linker(segments, max_bits), "a long, b long")
 
 
-def odd_sketch(token: np.ndarray) -> np.ndarray:
-    """Packed bits that say which of two to four bins per shingle hold an odd number of a set's shingles.
+def odd_sketch(token: np.ndarray, bins: int | None = None) -> np.ndarray:
+    """Packed bits that say which of two to four bins per shingle (or of so many in all) hold an odd number of a set's shingles.
 
     The XOR of two sketches has at most as many bits as the sets have shingles
     in only one of them. A sketch folds to half its bins by the XOR of its halves.
     """
-    bins = max(BITS, 1 << (2 * len(token) - 1).bit_length())
+    bins = bins or max(BITS, 1 << (2 * len(token) - 1).bit_length())
     odd = np.bincount((token & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(bool), bitorder="little")
 
@@ -309,19 +310,20 @@ def _sketches_may_match(x: np.ndarray, size_x: int, y: np.ndarray, size_y: int,
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``docs(node, text)`` to ``(node, size, sketch)``, one row per node: how many distinct shingles, and their odd sketch."""
+    """``docs(node, text)`` to ``(node, size, sketch, brief)``, one row per node: how many distinct shingles, their odd
+    sketch, and one of ``BRIEF`` bins, whatever their number."""
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(low, _SLICE)
                 found = [shingles(text, words) for text in part.column(1).to_pylist()]
+                told = [pa.array([odd_sketch(x, bins).tobytes() for x in found], pa.binary()) for bins in (None, BRIEF)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, found), pa.int64()), pa.array([odd_sketch(x).tobytes() for x in found], pa.binary())],
-                    ["node", "size", "sketch"],
+                    [part.column(0), pa.array(map(len, found), pa.int64()), *told], ["node", "size", "sketch", "brief"]
                 )
 
-    return docs.mapInArrow(run, "node long, size long, sketch binary").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, size long, sketch binary, brief binary").dropDuplicates(["node"])
 
 
 def _maybe_similar(links: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -493,12 +495,18 @@ def _stars(least: float):
 
 
 def _cross(least: float):
-    """Rows (token, block_a, block_b, own, node, size, at, component), sorted by the first three, to all their pairs."""
+    """Rows (token, block_a, block_b, own, node, size, at, component, brief), sorted by the first three, to their pairs that
+    may be similar. Most of a large group's are not, so their sketches are compared here, where no pair is a row yet."""
 
-    def pairs_of(token, block_a, block_b, own, node, size, at, part):
+    def pairs_of(token, block_a, block_b, own, node, size, at, part, brief):
         def good(i, j):
             ok = (part[i] != part[j]) & ((block_a[i] == block_b[i]) | (own[i] != own[j]))
-            return ok & _may_be_similar(size[i], at[i], size[j], at[j], least)
+            ok &= _may_be_similar(size[i], at[i], size[j], at[j], least)
+            left = np.flatnonzero(ok)
+            x, y = (i[left] if isinstance(i, np.ndarray) else i), j[left]
+            differing = np.bitwise_count(brief[x] ^ brief[y]).sum(axis=1)
+            ok[left] = differing * (1 + least) <= (1 - least) * (size[x] + size[y]) + 1e-9
+            return ok
 
         new = np.flatnonzero((token[1:] != token[:-1]) | (block_a[1:] != block_a[:-1]) | (block_b[1:] != block_b[:-1])) + 1
         edge = np.concatenate(([0], new, [len(token)]))
@@ -530,7 +538,8 @@ def _cross(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy() for c in batch.columns]
+            cols = [c.to_numpy() for c in batch.columns[:-1]]
+            cols.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), dtype=np.uint64).reshape(-1, BRIEF // 64))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
@@ -557,7 +566,8 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
     one node under each shingle are compared, in ``STARS`` rounds with other
     nodes, so that groups of near copies become few components; then every pair
     under a shingle that is not yet in one component, in blocks. Candidates whose
-    odd sketches differ too much go before their texts are moved.
+    odd sketches differ too much go before their texts are moved, those of the
+    blocks before they are rows.
     """
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     prints = cut(
@@ -610,12 +620,12 @@ def similar_components(docs: DataFrame, words: int, least: float) -> DataFrame:
             )
             key = ["token", "block_a", "block_b"]
             pairs = (
-                now.join(still, "token")
+                now.join(still, "token").join(known.select("node", "brief"), "node")
                 .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 .select(
                     "token", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
-                    "own", "node", "size", "at", "component",
+                    "own", "node", "size", "at", "component", "brief",
                 )
                 .repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_cross(least), "a long, b long")
             )
