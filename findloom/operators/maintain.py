@@ -132,7 +132,7 @@ def index_stats(terms: DataFrame) -> DataFrame:
     """Rows, distinct terms, and rows per field."""
     return terms.agg(
         F.count("*").alias("rows"), F.count_distinct("term").alias("terms"),
-        *(F.count_if(F.col(f) > 0).alias(f"in_{f}") for f in lx.FIELDS),
+        *(F.count_if(F.col(f) > 0 if f in terms.columns else F.lit(False)).alias(f"in_{f}") for f in lx.FIELDS),
     )
 
 
