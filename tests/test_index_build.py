@@ -9,6 +9,7 @@ from findloom.operators import index as ix
 from findloom.operators import parse as ps
 from findloom.operators import rank as rk
 from findloom.operators import recover as rc
+from findloom.operators import search as sr
 from findloom.sources import tables as tb
 
 SMALL = "/root/testdata/sf0.001"
@@ -120,3 +121,19 @@ def test_an_index_keeps_only_the_fields_that_it_is_told(spark, tmp_path):
         found[fields is None] = steps
     assert found[True] == found[False]
     assert [r[1] for r in found[True][1][0] if r[0] == 2] == [5]
+
+
+def test_texts_are_not_shuffled_to_a_page(spark, monkeypatch):
+    index = tb.index(spark, SMALL)
+    asked = tb.benchmark_queries(spark, SMALL).where("qid < 40")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffled = []
+    try:
+        for most in (rk.VARIANTS_MOST, -1):
+            monkeypatch.setattr(rk, "VARIANTS_MOST", most)
+            lines = plan_of(sr.search(asked, index, sr.Request(languages=("de", "en", "es", "fr"))).results)
+            shuffled.append([line for line in lines if "SortMergeJoin [doc_id" in line and "lang" in line and "Inner" in line])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not shuffled[0] and shuffled[1], shuffled
